@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import secrets, sharding
+from fogbank.llm import decontam, langid, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": langid.op3_language_id,
         "op4_sharding": sharding.op4_sharding,
+        "op7_decontamination": decontam.op7_decontamination,
         "op9_secrets": secrets.op9_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.OP4_SQL, "op9_secrets": secrets.OP9_SQL}
+    return {
+        "op4_sharding": sharding.OP4_SQL,
+        "op7_decontamination": decontam.OP7_SQL,
+        "op9_secrets": secrets.OP9_SQL,
+    }
