@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import decontam, langid, secrets, sharding
+from fogbank.llm import decontam, langid, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.op4_sharding,
         "op7_decontamination": decontam.op7_decontamination,
         "op9_secrets": secrets.op9_secrets,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
