@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import decontam, langid, secrets, sharding, toxicity
+from fogbank.llm import decontam, fingerprint, langid, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": langid.op3_language_id,
         "op4_sharding": sharding.op4_sharding,
+        "op6_fingerprints": fingerprint.op6_fingerprints,
         "op7_decontamination": decontam.op7_decontamination,
         "op9_secrets": secrets.op9_secrets,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_sharding": sharding.OP4_SQL,
+        "op6_fingerprints": fingerprint.op6_fingerprints,
         "op7_decontamination": decontam.OP7_SQL,
         "op9_secrets": secrets.OP9_SQL,
     }
