@@ -44,3 +44,19 @@ def ascii_lower(text: Column) -> Column:
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus (the fold rule of the learned operators)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
+
+
+def least_by_hash(df: DataFrame, id_col: str, most: int) -> list:
+    """At most ``most`` distinct ids of df, the least by hash: a repeatable random sample.
+
+    A first count sets a hash threshold with room to spare, so that about as many rows as wanted are compared,
+    not ``most`` rows from every task.
+    """
+    ids = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
+    n = ids.count()
+    if n > 2 * most:
+        bar = int((1 << 40) * min(1.0, (most + 8 * most**0.5 + 20) / n))
+        near = [r.i for r in ids.where(F.col("h") < bar).distinct().orderBy("h", "i").limit(most).collect()]
+        if len(near) == most:
+            return near
+    return [r.i for r in ids.distinct().orderBy("h", "i").limit(most).collect()]

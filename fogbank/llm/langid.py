@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import documents, id_remainder
+from fogbank.llm.common import documents, id_remainder, least_by_hash
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -159,9 +159,8 @@ def fit(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame(out, columns=["lang", "w"])
 
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(max_rows)
-    # At most max_rows ids: the broadcast is bounded by that parameter.
-    chosen = [r.i for r in picked.collect()]
+    # At most max_rows ids: the list is bounded by that parameter.
+    chosen = least_by_hash(rows, id_col, max_rows)
     if not chosen:
         return None
     sample = rows.where(F.col(id_col).isin(chosen)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"))

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import decontam, fingerprint, langid, secrets, sharding, toxicity
+from fogbank.llm import decontam, fingerprint, langid, mixing, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": langid.op3_language_id,
         "op4_sharding": sharding.op4_sharding,
+        "op5_warc_revisits": warc.op5_warc_revisits,
         "op6_fingerprints": fingerprint.op6_fingerprints,
         "op7_decontamination": decontam.op7_decontamination,
+        "op8_mixing": mixing.op8_mixing,
         "op9_secrets": secrets.op9_secrets,
         "op10_toxicity": toxicity.op10_toxicity,
     }
@@ -24,6 +26,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_sharding": sharding.OP4_SQL,
         "op6_fingerprints": fingerprint.op6_fingerprints,
+        "op5_warc_revisits": warc.OP5_SQL,
         "op7_decontamination": decontam.OP7_SQL,
+        "op8_mixing": mixing.OP8_SQL,
         "op9_secrets": secrets.OP9_SQL,
     }

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import documents, id_remainder
+from fogbank.llm.common import documents, id_remainder, least_by_hash
 
 MAX_TOXIC, MAX_CLEAN = 1200, 2400
 MAX_CHAIN = 128
@@ -299,8 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     marked = labels.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     want: dict = {}
     for y, most in ((1, max_toxic), (0, max_clean)):
-        for r in marked.where(F.col("y") == y).groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most).collect():
-            want.setdefault(r.i, y)
+        for i in least_by_hash(marked.where(F.col("y") == y), "i", most):
+            want.setdefault(i, y)
     if not want:
         return train([], [])
     # The ids are bounded by the parameters, and so are the rows that come back.
