@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import decontam, fingerprint, langid, minhash, mixing, secrets, sharding, toxicity, warc
+from fogbank.llm import decontam, fingerprint, langid, minhash, mixing, secrets, sharding, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": minhash.op1_minhash,
+        "op2_substring": substring.op2_substring,
         "op3_language_id": langid.op3_language_id,
         "op4_sharding": sharding.op4_sharding,
         "op5_warc_revisits": warc.op5_warc_revisits,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash": minhash.OP1_SQL,
+        "op2_substring": substring.OP2_SQL,
         "op4_sharding": sharding.OP4_SQL,
         "op6_fingerprints": fingerprint.op6_fingerprints,
         "op5_warc_revisits": warc.OP5_SQL,
