@@ -15,7 +15,6 @@ is written as an empty id; repeated rows are judged alike; empty tables give no
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
@@ -23,7 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank.llm.common import documents
@@ -179,35 +178,11 @@ def judge(docs: DataFrame, blocks: list, id_col: str = "doc_id", text_col: str =
     cleaned is the text without its hit spans where the hit words reach max_coverage of all words, else null: the
     text is to be kept as it is.
     """
-    share = Fraction(str(max_coverage))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            split = [words(t) for t in batch["t"]]
-            hits = [np.zeros(len(w), dtype=bool) for w in split]
-            items: list[set[str]] = [set() for _ in split]
-            longest = [0] * len(split)
-            for block in blocks:
-                sam = block.value
-                for k, ws in enumerate(split):
-                    ids = np.fromiter(map(sam.vocab.get, ws, repeat(0)), dtype=np.int64, count=len(ws))
-                    found, n = sam.stream(ids, hits[k])
-                    items[k] |= found
-                    longest[k] = max(longest[k], n)
-            for doc, text, hit, names, n in zip(batch["doc_id"], batch["t"], hits, items, longest, strict=True):
-                n_hit = int(hit.sum())
-                bad = n_hit > 0 and n_hit * share.denominator >= share.numerator * len(hit)
-                cleaned = None
-                if bad:
-                    keep, at = [], 0
-                    for gone, m in zip(hit.tolist(), WORD.finditer(text), strict=True):
-                        if gone:
-                            keep.append(text[at : m.start()])
-                            at = m.end()
-                    cleaned = (b"".join(keep) + text[at:]).decode()
-                out.append((doc, len(hit), n_hit, sorted(names), n, bad, cleaned))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "items", "longest", "contaminated", "cleaned"])
+            found = verdicts(batch["t"].tolist(), blocks, max_coverage)
+            yield pd.DataFrame([(d, *v) for d, v in zip(batch["doc_id"], found, strict=True)], columns=["doc_id", *VERDICT])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInPandas(
@@ -215,8 +190,49 @@ def judge(docs: DataFrame, blocks: list, id_col: str = "doc_id", text_col: str =
     )
 
 
-def item_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
+VERDICT = ["n_words", "n_hit", "items", "longest", "contaminated", "cleaned"]
+
+
+def verdicts(texts: list[bytes | None], blocks: list, max_coverage: float = MAX_COVERAGE) -> list[tuple]:
+    """VERDICT of each text."""
+    share = Fraction(str(max_coverage))
+    split = [words(t) for t in texts]
+    hits = [np.zeros(len(w), dtype=bool) for w in split]
+    items: list[set[str]] = [set() for _ in split]
+    longest = [0] * len(split)
+    for block in blocks:
+        sam = block.value
+        for k, ws in enumerate(split):
+            ids = np.fromiter(map(sam.vocab.get, ws, repeat(0)), dtype=np.int64, count=len(ws))
+            found, n = sam.stream(ids, hits[k])
+            items[k] |= found
+            longest[k] = max(longest[k], n)
+    out = []
+    for text, hit, names, n in zip(texts, hits, items, longest, strict=True):
+        n_hit = int(hit.sum())
+        bad = n_hit > 0 and n_hit * share.denominator >= share.numerator * len(hit)
+        out.append((len(hit), n_hit, sorted(names), n, bad, without(text, hit) if bad else None))
+    return out
+
+
+def without(text: bytes, hit: np.ndarray) -> str:
+    """The text without its hit words."""
+    keep, at = [], 0
+    for gone, m in zip(hit.tolist(), WORD.finditer(text), strict=True):
+        if gone:
+            keep.append(text[at : m.start()])
+            at = m.end()
+    return (b"".join(keep) + text[at:]).decode()
+
+
+def contaminated(docs: DataFrame, blocks: list, text_col: str = "text", max_coverage: float = MAX_COVERAGE) -> Column:
+    """Whether a text is contaminated, as a column: filters documents without moving them."""
+
+    @F.pandas_udf("boolean")
+    def bad(texts: pd.Series) -> pd.Series:
+        return pd.Series([v[4] for v in verdicts(texts.tolist(), blocks, max_coverage)], dtype=bool)
+
+    return bad(F.col(text_col).cast("binary"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank.llm.common import documents, id_remainder, least_by_hash
@@ -173,35 +173,38 @@ def fit(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text",
     return train(windows, np.array([langs.index(r.lang) for r in got]), langs)
 
 
+def classify(model: Network | None, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The language and score of each text; texts share matrix products."""
+    lang = np.full(len(texts), UNKNOWN, dtype=object)
+    score = np.zeros(len(texts))
+    some = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
+    i = 0
+    while i < len(some):
+        group, cuts, covers, size = [], [], [], 0
+        while i < len(some) and size < 8 * CHUNK:
+            w, c = windows_of(texts[some[i]])
+            group.append(some[i])
+            cuts.append(w)
+            covers.append(c)
+            size += len(w)
+            i += 1
+        p = model.probabilities(np.concatenate(cuts)) * np.concatenate(covers)[:, None]
+        starts = np.concatenate(([0], np.cumsum([len(c) for c in covers])[:-1]))
+        p = np.add.reduceat(p, starts, axis=0)
+        p /= p.sum(1, keepdims=True)
+        best = p.argmax(1)
+        lang[group] = np.array(model.langs, dtype=object)[best]
+        score[group] = np.clip(p[np.arange(len(p)), best], 0, 1)
+    return lang, score
+
+
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for batch in batches:
-            n = len(batch)
-            lang = np.full(n, UNKNOWN, dtype=object)
-            score = np.zeros(n)
-            texts = batch["t"].tolist()
-            some = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
-            i = 0
-            while i < len(some):
-                group, cuts, covers, size = [], [], [], 0
-                while i < len(some) and size < 8 * CHUNK:  # documents share matrix products
-                    w, c = windows_of(texts[some[i]])
-                    group.append(some[i])
-                    cuts.append(w)
-                    covers.append(c)
-                    size += len(w)
-                    i += 1
-                p = model.probabilities(np.concatenate(cuts)) * np.concatenate(covers)[:, None]
-                starts = np.concatenate(([0], np.cumsum([len(c) for c in covers])[:-1]))
-                p = np.add.reduceat(p, starts, axis=0)
-                p /= p.sum(1, keepdims=True)
-                best = p.argmax(1)
-                lang[group] = np.array(model.langs, dtype=object)[best]
-                score[group] = np.clip(p[np.arange(len(p)), best], 0, 1)
+            lang, score = classify(shared.value, batch["t"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": score})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -210,8 +213,23 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     )
 
 
+def language(docs: DataFrame, net: Network | None, text_col: str = "text") -> Column:
+    """The predicted language as a column: filters documents without moving them."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    @F.pandas_udf("string")
+    def lang(texts: pd.Series) -> pd.Series:
+        return pd.Series(classify(shared.value, texts.tolist())[0])
+
+    return lang(F.col(text_col).cast("binary"))
+
+
+def fold_held_out(id_col: str = "doc_id") -> Column:
+    """Rows never learned from: crc32 of the id's text leaves 2 when divided by 4."""
+    return F.coalesce(id_remainder(id_col, 4) == 2, F.lit(False))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held_out = id_remainder("doc_id", 4) == 2
-    net = fit(docs, ~F.coalesce(held_out, F.lit(False)))
-    return predict(docs, net).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    net = fit(docs, ~fold_held_out())
+    return predict(docs, net).select("doc_id", fold_held_out().alias("held_out"), "lang_pred", "score")

@@ -41,7 +41,7 @@ def topic_of(text: Column) -> Column:
 
 
 def weighed(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, source, lang, topic, tokens."""
+    """doc_id, source, lang, topic, tokens and the whole row of docs as ``row``."""
     part = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     return docs.select(
         F.col(id_col).alias("doc_id"),
@@ -49,6 +49,7 @@ def weighed(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id"
         part(F.col("lang")).alias("lang"),
         part(topic if topic is not None else topic_of(F.col(text_col))).alias("topic"),
         F.greatest(F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1)).cast("long").alias("tokens"),
+        F.struct("*").alias("row"),
     )
 
 
@@ -83,18 +84,18 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
 
 
 def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, ratio, prob, sampled for each row of docs."""
+    """doc_id, source, lang, topic, tokens, ratio, prob, sampled and row (all of docs' columns) for each row of docs."""
     rows = weighed(docs, topic, id_col, text_col)
     cells = durable(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     small = cells.count() <= SMALL_CELLS
     raked = rake(cells.coalesce(1) if small else cells, targets, rounds)
     draw = F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
     joined = rows.join(F.broadcast(raked) if small else raked, list(AXES))
-    return joined.select("doc_id", *AXES, "tokens", "ratio", "prob", (draw < F.col("prob")).alias("sampled"))
+    return joined.select("doc_id", *AXES, "tokens", "ratio", "prob", (draw < F.col("prob")).alias("sampled"), "row")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = calibrated(documents(spark, sf_dir))
+    out = calibrated(documents(spark, sf_dir)).drop("row")
     return out.withColumn("ratio", F.round("ratio", 6)).withColumn("prob", F.round("prob", 6))
 
 
