@@ -1,21 +1,55 @@
-"""The corpus pipeline: STAGES, run() and ORACLE_SQL."""
+"""The corpus pipeline: STAGES, run() and ORACLE_SQL.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fogbank.llm import sharding
+from fogbank.llm import decontam, langid, minhash, mixing, sharding
 from fogbank.llm.common import durable
 
 
-def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents whose language can't be told (null text, no letter) go."""
+    net = langid.fit(docs, ~langid.fold_held_out())
+    return docs.where(langid.language(docs, net) != langid.UNKNOWN)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: the document with the smallest id of each near-duplicate group stays."""
+    copies = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("copy_of_doc"))
+    return docs.join(copies, docs["doc_id"] == copies["copy_of_doc"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents with at least a twentieth of their words in benchmark windows go."""
+    blocks = decontam.automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.where(~decontam.contaminated(docs, blocks))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents are sampled by their cell's raked probability."""
+    return mixing.calibrated(docs).where("sampled").select("row.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: each document's contiguous, byte-balanced shard."""
-    return sharding.shard_by_bytes(docs)
+    return sharding.shard_by_bytes(docs).withColumn("law", F.lit("bytes"))
 
 
-STAGES = [("sharding", shards)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
-#: Learned and sampled stages can't be written in SQL; the tests hold each stage against brute force.
+#: The learned first stage can't be written in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
