@@ -76,12 +76,12 @@ def micros(ts: str | Column) -> Column:
 
 def hours_after(ts: str | Column, hours: int | Column) -> Column:
     h = F.lit(hours) if isinstance(hours, int) else hours
-    return F.timestamp_micros(micros(ts) + h * 3_600_000_000)
+    return F.timestamp_micros(micros(ts) + h.cast("long") * 3_600_000_000)
 
 
 def minutes_after(ts: str | Column, minutes: int | Column) -> Column:
     m = F.lit(minutes) if isinstance(minutes, int) else minutes
-    return F.timestamp_micros(micros(ts) + m * 60_000_000)
+    return F.timestamp_micros(micros(ts) + m.cast("long") * 60_000_000)
 
 
 def bucket(ts: str | Column, minutes: int) -> Column:
@@ -102,8 +102,8 @@ def wind_from(u: str | Column, v: str | Column) -> Column:
 
 def great_circle_km(lat1, lon1, lat2, lon2) -> Column:
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
-    c = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(col(lon2)) - F.radians(col(lon1)))
-    return F.lit(EARTH_KM) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    x, y = F.sin((b - a) / 2), F.sin((F.radians(col(lon2)) - F.radians(col(lon1))) / 2)
+    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(x * x + F.cos(a) * F.cos(b) * y * y)))
 
 
 def trailing(keys: Iterable[str], seconds: str | Column, lo: int, hi: int):

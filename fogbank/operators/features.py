@@ -135,7 +135,7 @@ def nearest_pairs(points: DataFrame, n: int = NEAREST) -> DataFrame:
     """
     other = points.select(F.col("point_id").alias("nb_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     d = points.join(F.broadcast(other), F.col("point_id") != F.col("nb_id")).withColumn("dist_km", great_circle_km("lat", "lon", "lat2", "lon2"))
-    w = Window.partitionBy("point_id").orderBy("dist_km", "nb_id")
+    w = Window.partitionBy("point_id").orderBy(F.round("dist_km", 6), "nb_id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("point_id", "nb_id", "rank", "dist_km")
 
 
