@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Words of the text contracts: runs of bytes that are not ASCII white space.
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A temporary folder for sessions without a shared one, as in tests.
+_OWN: dict[str, str] = {}
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,10 +21,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fogbank-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="fogbank-")
     return found.rstrip("/")
 
 
