@@ -38,7 +38,7 @@ def csv_columns(lines: DataFrame, names: list[str], comment: str = "#") -> DataF
     header = F.col("header")
     rows = lines.where(~F.col("value").startswith(comment) & (F.trim("value") != ""))
     parts = F.split("value", ",")
-    at = lambda n: F.try_element_at(parts, F.array_position(header, F.lit(n)).cast("int"))
+    at = lambda n: F.get(parts, F.array_position(header, F.lit(n)).cast("int") - 1)
     return rows.select(*[F.when(F.trim(at(n)).isin("", "M"), None).otherwise(F.trim(at(n))).alias(n) for n in names])
 
 
@@ -101,7 +101,7 @@ def sensor_history(docs: DataFrame, station_id: str, batch: str = "") -> DataFra
     """JSON with ``fields`` (names) and ``data`` (rows in that order); the first name is time_stamp, in epoch seconds."""
     d = docs.select(F.from_json("value", "fields array<string>, data array<array<double>>").alias("d"))
     rows = d.select(F.col("d.fields").alias("f"), F.explode("d.data").alias("x"))
-    at = lambda n: F.try_element_at("x", F.array_position("f", F.lit(n)).cast("int"))
+    at = lambda n: F.get("x", F.array_position("f", F.lit(n)).cast("int") - 1)
     time = F.timestamp_seconds(at("time_stamp").cast("long"))
     wide = rows.select(F.lit(station_id).alias("station_id"), time.alias("obs_time"), *[(celsius(at(k)) if k == "temperature" else at(k)).alias(v) for k, v in HISTORY.items()])
     return observed(wide, "purpleair", batch, list(HISTORY.values()))
