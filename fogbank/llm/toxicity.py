@@ -167,9 +167,9 @@ def induce(docs: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
 
 
 def spread(docs: list[list[bytes]], holders: set[int], feature: bytes) -> bool:
-    """Whether the documents that hold a feature are not copies of one text: few of their other words agree."""
+    """Whether the documents that hold a feature are not copies of one text: few of their neighbouring words agree."""
     some = sorted(holders)[:12]
-    sets = [set(docs[i]) for i in some]
+    sets = [set(zip(docs[i], docs[i][1:], strict=False)) for i in some]
     likeness = [len(a & b) / max(1, len(a | b)) for a, b in zip(sets, sets[1:], strict=False)]
     return bool(likeness) and sorted(likeness)[len(likeness) // 2] < 0.4
 
