@@ -227,8 +227,10 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 6, seed: int
             idx[i, : len(c)] = rows(c)
             y[i, : len(c)] = tags
         coded.append((idx, y, n))
+    # Few chains make few batches: they are passed over more often, so that a small corpus still takes enough steps.
+    epochs = max(epochs, 200 // max(1, len(coded)))
     for epoch in range(epochs):
-        rate = 0.5 / (1 + 0.3 * epoch)
+        rate = 0.5 / (1 + 1.8 * epoch / epochs)
         for b in rng.permutation(len(coded)):
             idx, y, n = coded[b]
             e = np.clip(weights[idx].sum(2) + bias, -30, 30)
