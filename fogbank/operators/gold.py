@@ -113,27 +113,22 @@ def rolling_bias(base: DataFrame, late: dict[str, int] = LATE) -> DataFrame:
     So one frame per visibility delay serves every lead, instead of one per lead and delay.
     """
     delay = _by_delay(late, lambda m: m)
-    facts = base.select(
-        "point_id", "lead_min", F.lit(None).cast("timestamp").alias("init_time"), delay.alias("delay"),
-        (F.unix_seconds("valid_time") + delay * 60).alias("axis"), *[(F.col(f"obs_{t}") - F.col(f"nwp_{t}")).alias(f"r_{t}") for t in TARGETS],
-    )
-    asked = base.select(
-        "point_id", "lead_min", "init_time", delay.alias("delay"), F.unix_seconds("issue_time").alias("axis"),
-        *[F.lit(None).cast("double").alias(f"r_{t}") for t in TARGETS],
-    )
-    both = facts.unionByName(asked)
-    parts = []
-    for d in sorted({OBS_DELAY, *late.values()}):
-        w = Window.partitionBy("point_id", "lead_min").orderBy("axis").rangeBetween(-(BIAS_DAYS * 86400 - 60 * d - 1), 0)
-        parts.append(
-            both.where(F.col("delay") == d)
-            .select("point_id", "init_time", "lead_min", *[x for t in TARGETS for x in (F.avg(f"r_{t}").over(w).alias(f"bias14_{t}"), F.stddev_samp(f"r_{t}").over(w).alias(f"std14_{t}"))])
-            .where(F.col("init_time").isNotNull())
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    errors = [(F.col(f"obs_{t}") - F.col(f"nwp_{t}")).alias(f"r_{t}") for t in TARGETS]
+    none = [F.lit(None).cast("double").alias(f"r_{t}") for t in TARGETS]
+    fact = F.struct(F.lit(None).cast("timestamp").alias("init_time"), (F.unix_seconds("valid_time") + delay * 60).alias("axis"), *errors)
+    asked = F.struct("init_time", F.unix_seconds("issue_time").alias("axis"), *none)
+    both = base.select("point_id", "lead_min", delay.alias("delay"), F.explode(F.array(fact, asked)).alias("x")).select("point_id", "lead_min", "delay", "x.*")
+    frame = {d: Window.partitionBy("point_id", "lead_min").orderBy("axis").rangeBetween(-(BIAS_DAYS * 86400 - 60 * d - 1), 0) for d in {OBS_DELAY, *late.values()}}
+
+    def chosen(agg):
+        """The frame of the row's own delay; all frames share one sort."""
+        out = agg().over(frame[OBS_DELAY])
+        for d in sorted(set(frame) - {OBS_DELAY}):
+            out = F.when(F.col("delay") == d, agg().over(frame[d])).otherwise(out)
+        return out
+
+    cols = [x for t in TARGETS for x in (chosen(lambda t=t: F.avg(f"r_{t}")).alias(f"bias14_{t}"), chosen(lambda t=t: F.stddev_samp(f"r_{t}")).alias(f"std14_{t}"))]
+    return both.select("point_id", "init_time", "lead_min", *cols).where(F.col("init_time").isNotNull())
 
 
 def training_examples(nwp: DataFrame, obs: DataFrame, late: dict[str, int] = LATE) -> DataFrame:

@@ -37,19 +37,26 @@ def rms_by_lead(df: DataFrame, resid: str = "resid") -> DataFrame:
     return df.where(F.col(resid).isNotNull()).groupBy("lead_min").agg(F.sqrt(F.avg(F.col(resid) * F.col(resid))).alias("rms"))
 
 
+def by_forecast(scores: DataFrame) -> DataFrame:
+    """One row per forecast with the list of its models' rows: at most one per model, so the lists are short."""
+    rest = [c for c in scores.columns if c not in KEY]
+    return scores.groupBy(*KEY).agg(F.collect_list(F.struct(*rest)).alias("made"))
+
+
 def common_rows(scores: DataFrame) -> DataFrame:
     """Only the forecasts that every model of the variable made."""
     models = scores.groupBy("variable").agg(F.countDistinct("model_name").alias("models"))
-    made = scores.groupBy(*KEY).agg(F.countDistinct("model_name").alias("made"))
-    # one row per variable: a handful
-    full = made.join(F.broadcast(models), "variable").where(F.col("made") == F.col("models")).select(*KEY)
-    return scores.join(full, list(KEY), "left_semi")
+    made = by_forecast(scores).join(F.broadcast(models), "variable")  # one row per variable: a handful
+    full = made.where(F.size(F.array_distinct("made.model_name")) == F.col("models"))
+    return full.select(*KEY, F.inline("made")).select(*scores.columns)
 
 
 def paired(scores: DataFrame, base: str = BASELINE) -> DataFrame:
     """Rows of every model next to the base model's CRPS for the same forecast."""
-    b = scores.where(F.col("model_name") == base).select(*KEY, F.col("crps").alias("crps_base"))
-    return scores.join(b, list(KEY)).withColumn("bucket", lead_bucket("lead_min")).withColumn("day", F.to_date("valid_time"))
+    ours = F.filter("made", lambda x: x["model_name"] == base)
+    rows = by_forecast(scores).withColumn("crps_base", F.get(ours, F.lit(0))["crps"]).where(F.col("crps_base").isNotNull())
+    rows = rows.select(*KEY, "crps_base", F.inline("made")).select(*scores.columns, "crps_base")
+    return rows.withColumn("bucket", lead_bucket("lead_min")).withColumn("day", F.to_date("valid_time"))
 
 
 def skill():
@@ -70,27 +77,39 @@ def day_blocks(pairs: DataFrame, by=CELL) -> DataFrame:
     return pairs.groupBy(*by, "day").agg(F.sum("crps").alias("crps"), F.sum("crps_base").alias("crps_base"), F.count("*").alias("n"))
 
 
-def bootstrap(blocks: DataFrame, draws: int = 200, by=CELL) -> DataFrame:
+def bootstrap(blocks: DataFrame, draws: int = 200, by=CELL, more: dict | None = None) -> DataFrame:
     """skill, skill_lo, skill_hi per cell: days are drawn with replacement by an integer rule that any engine repeats.
 
-    A cell's days are an array (one entry per day), so a draw is a fold over it, without a join per draw.
+    A cell's days are an array (one entry per day), so a draw is a fold over it, without a join per draw. ``more`` adds
+    aggregates of the blocks.
     """
     a, b, c, s = LCG
-    days = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("day", "crps", "crps_base"))).alias("d"))
-    draw = f"""transform(sequence(1, {draws}), r -> aggregate(sequence(0, size(d) - 1), named_struct('m', 0.0D, 'b', 0.0D), (t, j) -> named_struct(
-      'm', t.m + d[int((r * {a} + j * {b} + r * j * {c} + {s}) % size(d))].crps, 'b', t.b + d[int((r * {a} + j * {b} + r * j * {c} + {s}) % size(d))].crps_base), t -> 1 - t.m / t.b))"""
-    point = "aggregate(d, 0.0D, (t, x) -> t + x.crps) / aggregate(d, 0.0D, (t, x) -> t + x.crps_base)"
-    made = days.select(*by, F.expr(f"1 - {point}").alias("skill"), F.explode(F.expr(draw)).alias("draw"))
-    return made.groupBy(*by).agg(F.first("skill").alias("skill"), F.percentile("draw", 0.025).alias("skill_lo"), F.percentile("draw", 0.975).alias("skill_hi"))
+    days = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("day", "crps", "crps_base"))).alias("d"), *[v.alias(k) for k, v in (more or {}).items()])
+    draw = f"""array_sort(transform(sequence(1, {draws}), r -> aggregate(sequence(0, size(d) - 1), named_struct('m', 0.0D, 'b', 0.0D), (t, j) -> named_struct(
+      'm', t.m + d[int((r * {a} + j * {b} + r * j * {c} + {s}) % size(d))].crps, 'b', t.b + d[int((r * {a} + j * {b} + r * j * {c} + {s}) % size(d))].crps_base), t -> 1 - t.m / t.b)))"""
+    point = "1 - aggregate(d, 0.0D, (t, x) -> t + x.crps) / aggregate(d, 0.0D, (t, x) -> t + x.crps_base)"
+    drawn = days.withColumn("skill", F.expr(point)).withColumn("drawn", F.expr(draw))
+    return drawn.withColumn("skill_lo", _quantile("drawn", 0.025, draws)).withColumn("skill_hi", _quantile("drawn", 0.975, draws)).drop("d", "drawn")
+
+
+def _quantile(values: str, q: float, n: int):
+    """The interpolated quantile of a sorted array of n values."""
+    at = q * (n - 1)
+    lo, hi = F.get(values, F.lit(int(at))), F.get(values, F.lit(min(n - 1, int(at) + 1)))
+    return lo + (hi - lo) * (at - int(at))
 
 
 def leaderboard(scores: DataFrame, groups: dict[str, Collection[str]] | None = None, draws: int = 200) -> DataFrame:
-    """One row per variable, model, lead bucket and point (or ``all``, or a group), on common rows."""
+    """One row per variable, model, lead bucket and point (or ``all``, or a group), on common rows.
+
+    All figures come from one set of day sums.
+    """
     rows = pooled(paired(common_rows(scores)).where(F.col("bucket").isNotNull()), groups)
-    board = rows.groupBy(*CELL).agg(
-        F.count("*").alias("n"), F.avg("crps").alias("crps"), F.avg(F.abs("error")).alias("mae"), F.avg("error").alias("bias"), F.avg("in_p10_p90").alias("coverage_80")
-    )
-    return board.join(bootstrap(day_blocks(rows), draws), list(CELL))
+    means = {"mae": F.abs("error"), "bias": F.col("error"), "coverage_80": F.col("in_p10_p90")}
+    days = rows.groupBy(*CELL, "day").agg(F.sum("crps").alias("crps"), F.sum("crps_base").alias("crps_base"), F.count("*").alias("rows"), *[F.sum(v).alias(f"s_{k}") for k, v in means.items()])
+    total = F.sum("rows")
+    more = {"n": total, "mean_crps": F.sum("crps") / total} | {k: F.sum(f"s_{k}") / total for k in means}
+    return bootstrap(days, draws, more=more).withColumnRenamed("mean_crps", "crps").select(*CELL, "n", "crps", *means, "skill", "skill_lo", "skill_hi")
 
 
 def monthly_skill(scores: DataFrame) -> DataFrame:
@@ -104,9 +123,8 @@ def monthly_skill(scores: DataFrame) -> DataFrame:
 def paired_change(scores: DataFrame, model: str, base: str, draws: int = 200) -> DataFrame:
     """CRPS change of a model against another per variable, bucket and point; negative is better."""
     rows = pooled(paired(scores, base).where((F.col("model_name") == model) & F.col("bucket").isNotNull()))
-    n = rows.groupBy(*CELL).agg(F.count("*").alias("n"))
-    ci = bootstrap(day_blocks(rows), draws)
-    return n.join(ci, list(CELL)).select(*CELL, "n", (-F.col("skill")).alias("change"), (-F.col("skill_hi")).alias("lo"), (-F.col("skill_lo")).alias("hi"), F.lit(base).alias("base"))
+    out = bootstrap(day_blocks(rows), draws, more={"n": F.sum("n")})
+    return out.select(*CELL, "n", (-F.col("skill")).alias("change"), (-F.col("skill_hi")).alias("lo"), (-F.col("skill_lo")).alias("hi"), F.lit(base).alias("base"))
 
 
 def gate(board: DataFrame, model: str = GATE_MODEL) -> DataFrame:

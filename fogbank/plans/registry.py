@@ -251,15 +251,19 @@ _PUSH = """SELECT (timezone('America/Los_Angeles', timezone('UTC', t)))::DATE AS
 WHERE dt <= -2 AND drh >= 8 AND hour(timezone('America/Los_Angeles', timezone('UTC', t))) BETWEEN 11 AND 22 GROUP BY 1"""
 
 
-@query("push_onsets", _PUSH)
+@query("push_onsets", f"SELECT strftime(day, '%Y-%m-%d') AS day, onset FROM ({_PUSH})")
 def push_onsets(spark, d):
+    return _onsets(spark, d).withColumn("day", F.col("day").cast("string"))
+
+
+def _onsets(spark, d):
     return features.push_onsets(_ten(spark, d), COAST)
 
 
 @query("push_age", f"""SELECT init_time, {r('CASE WHEN age >= 10 THEN age END AS up_push_age_min')} FROM (
   SELECT init_time, (epoch_us(init_time) - epoch_us(onset)) / 60000000 AS age FROM (SELECT DISTINCT init_time FROM nwp_v) c LEFT JOIN ({_PUSH}) p ON p.day = (timezone('America/Los_Angeles', timezone('UTC', init_time)))::DATE)""")
 def push_age(spark, d):
-    return features.push_age(views.nwp(spark, d).select("init_time").distinct(), push_onsets(spark, d))
+    return features.push_age(views.nwp(spark, d).select("init_time").distinct(), _onsets(spark, d))
 
 
 @query("knn_pairs", f"SELECT point_id, nb_id, rank, {r('dist_km')} FROM pairs_v")
@@ -343,10 +347,10 @@ def paired_skill(spark, d):
     return scoring.paired(scoring.common_rows(_scores(spark, d))).groupBy("variable", "model_name", "bucket").agg(F.count("*").alias("n"), scoring.skill().alias("skill"))
 
 
-@query("day_blocks", f"SELECT variable, model_name, bucket, point, day, n, {r('crps', 'crps_base')} FROM blocks")
+@query("day_blocks", f"SELECT variable, model_name, bucket, point, strftime(day, '%Y-%m-%d') AS day, n, {r('crps', 'crps_base')} FROM blocks")
 def day_blocks(spark, d):
     rows = scoring.pooled(scoring.paired(scoring.common_rows(_scores(spark, d))).where("bucket IS NOT NULL"), GROUPS)
-    return scoring.day_blocks(rows)
+    return scoring.day_blocks(rows).withColumn("day", F.col("day").cast("string"))
 
 
 @query("bootstrap_ci", f"SELECT variable, model_name, bucket, point, {r('skill', 'skill_lo', 'skill_hi')} FROM boot")
