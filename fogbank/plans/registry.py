@@ -12,6 +12,7 @@ from fogbank.operators import features, forecasters, gold, scoring, silver
 from fogbank.plans import views
 from fogbank.plans.views import oracle, rounded
 from fogbank.session import table
+from fogbank.streaming.live import hourly_counts as tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -497,6 +498,29 @@ def schema_evolution(spark, d):
     return old.unionByName(new, allowMissingColumns=True)
 
 
+@query("hourly_counts", f"SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, {r('sum(value) AS total')} FROM events GROUP BY 1, 2", 6)
+def hourly_counts(spark, d):
+    """The streaming path's tumbling hours, over the table."""
+    return tumbling(table(spark, d, "events"))
+
+
+@query("freshness_gate_inputs", "SELECT source, qc_flag, count(*) AS n, count(DISTINCT station_id) AS stations, min(obs_time) AS first, max(obs_time) AS last FROM obs_qc GROUP BY 1, 2")
+def freshness_gate_inputs(spark, d):
+    """Rows, stations and span per source and quality flag."""
+    return _obs_qc(spark, d).groupBy("source", "qc_flag").agg(F.count("*").alias("n"), F.countDistinct("station_id").alias("stations"), F.min("obs_time").alias("first"), F.max("obs_time").alias("last"))
+
+
+@query("network_features", f"""SELECT init_time, feature, {r('value')} FROM (
+  SELECT hour + INTERVAL 1 HOUR AS init_time, 'pa_' || station_id || '_' || stat AS feature, value FROM (UNPIVOT (SELECT station_id, hour, d1h, d3h, anom FROM net) ON d1h, d3h, anom INTO NAME stat VALUE value)
+  UNION ALL SELECT hour + INTERVAL 1 HOUR, 'pa_mean_anom', avg(anom) FROM net GROUP BY hour
+  UNION ALL SELECT hour + INTERVAL 1 HOUR, 'pa_west_east_anom', avg(anom) FILTER (WHERE west) - avg(anom) FILTER (WHERE NOT west) FROM net GROUP BY hour) WHERE value IS NOT NULL""")
+def network_features(spark, d):
+    """The long network feature table; four of the eight stations lie west."""
+    lons = {f"S{i}": -122.5 if f"S{i}" in NETWORK_WEST else -122.4 for i in range(8)}
+    obs = _obs_qc(spark, d).where("variable = 't2m'").withColumn("variable", F.lit("t_sensor"))
+    return features.network_features(obs, lons)
+
+
 @query("gbm_forecast")
 def gbm_forecast(spark, d):
     """Boosted trees, trained on the first 80% of time and applied to the rest (no SQL: a learned model)."""
