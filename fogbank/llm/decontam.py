@@ -35,6 +35,7 @@ MAX_COVERAGE = 0.05
 #: Bytes of item text in one automaton; more items make more blocks.
 BLOCK_BYTES = 8 << 20
 PAIR_BITS = 22
+TEXTS_AT_ONCE = 64
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -194,24 +195,26 @@ VERDICT = ["n_words", "n_hit", "items", "longest", "contaminated", "cleaned"]
 
 
 def verdicts(texts: list[bytes | None], blocks: list, max_coverage: float = MAX_COVERAGE) -> list[tuple]:
-    """VERDICT of each text."""
+    """VERDICT of each text; TEXTS_AT_ONCE of them are split into words at a time, which bounds the memory."""
     share = Fraction(str(max_coverage))
-    split = [words(t) for t in texts]
-    hits = [np.zeros(len(w), dtype=bool) for w in split]
-    items: list[set[str]] = [set() for _ in split]
-    longest = [0] * len(split)
-    for block in blocks:
-        sam = block.value
-        for k, ws in enumerate(split):
-            ids = np.fromiter(map(sam.vocab.get, ws, repeat(0)), dtype=np.int64, count=len(ws))
-            found, n = sam.stream(ids, hits[k])
-            items[k] |= found
-            longest[k] = max(longest[k], n)
     out = []
-    for text, hit, names, n in zip(texts, hits, items, longest, strict=True):
-        n_hit = int(hit.sum())
-        bad = n_hit > 0 and n_hit * share.denominator >= share.numerator * len(hit)
-        out.append((len(hit), n_hit, sorted(names), n, bad, without(text, hit) if bad else None))
+    for i in range(0, len(texts), TEXTS_AT_ONCE):
+        part = texts[i : i + TEXTS_AT_ONCE]
+        split = [words(t) for t in part]
+        hits = [np.zeros(len(w), dtype=bool) for w in split]
+        items: list[set[str]] = [set() for _ in split]
+        longest = [0] * len(split)
+        for block in blocks:
+            sam = block.value
+            for k, ws in enumerate(split):
+                ids = np.fromiter(map(sam.vocab.get, ws, repeat(0)), dtype=np.int64, count=len(ws))
+                found, n = sam.stream(ids, hits[k])
+                items[k] |= found
+                longest[k] = max(longest[k], n)
+        for text, hit, names, n in zip(part, hits, items, longest, strict=True):
+            n_hit = int(hit.sum())
+            bad = n_hit > 0 and n_hit * share.denominator >= share.numerator * len(hit)
+            out.append((len(hit), n_hit, sorted(names), n, bad, without(text, hit) if bad else None))
     return out
 
 
