@@ -109,26 +109,32 @@ def lag_ensemble(base: DataFrame, nwp: DataFrame) -> DataFrame:
 def rolling_bias(base: DataFrame, late: dict[str, int] = LATE) -> DataFrame:
     """Mean and spread of the errors of the last 14 days that were visible at issue time.
 
-    Errors and questions share one axis: an error stands where it becomes visible, a question at its issue time.
-    So one frame per visibility delay serves every lead, instead of one per lead and delay.
+    Errors and questions share one axis: an error stands where it becomes visible, a question at its issue time and
+    again 14 days before. Running sums answer both, and their difference is the window, so the work per row doesn't
+    grow with the window (a sliding frame would be summed anew for each row), and one sort serves every lead and delay.
     """
-    delay = _by_delay(late, lambda m: m)
-    errors = [(F.col(f"obs_{t}") - F.col(f"nwp_{t}")).alias(f"r_{t}") for t in TARGETS]
-    none = [F.lit(None).cast("double").alias(f"r_{t}") for t in TARGETS]
-    fact = F.struct(F.lit(None).cast("timestamp").alias("init_time"), (F.unix_seconds("valid_time") + delay * 60).alias("axis"), *errors)
-    asked = F.struct("init_time", F.unix_seconds("issue_time").alias("axis"), *none)
-    both = base.select("point_id", "lead_min", delay.alias("delay"), F.explode(F.array(fact, asked)).alias("x")).select("point_id", "lead_min", "delay", "x.*")
-    frame = {d: Window.partitionBy("point_id", "lead_min").orderBy("axis").rangeBetween(-(BIAS_DAYS * 86400 - 60 * d - 1), 0) for d in {OBS_DELAY, *late.values()}}
-
-    def chosen(agg):
-        """The frame of the row's own delay; all frames share one sort."""
-        out = agg().over(frame[OBS_DELAY])
-        for d in sorted(set(frame) - {OBS_DELAY}):
-            out = F.when(F.col("delay") == d, agg().over(frame[d])).otherwise(out)
-        return out
-
-    cols = [x for t in TARGETS for x in (chosen(lambda t=t: F.avg(f"r_{t}")).alias(f"bias14_{t}"), chosen(lambda t=t: F.stddev_samp(f"r_{t}")).alias(f"std14_{t}"))]
-    return both.select("point_id", "init_time", "lead_min", *cols).where(F.col("init_time").isNotNull())
+    delay = _by_delay(late, lambda m: m) * 60
+    issue = F.unix_seconds("issue_time")
+    errors = {t: F.col(f"obs_{t}") - F.col(f"nwp_{t}") for t in TARGETS}
+
+    def event(kind: int, axis: Column) -> Column:
+        value = [(e if kind == 0 else F.lit(None).cast("double")).alias(f"r_{t}") for t, e in errors.items()]
+        return F.struct(F.lit(kind).alias("kind"), axis.alias("axis"), *value)
+
+    events = F.array(event(0, F.unix_seconds("valid_time") + delay), event(1, issue - BIAS_DAYS * 86400 + delay), event(2, issue))
+    both = base.select(*KEY, F.explode(events).alias("x")).select(*KEY, "x.*")
+    upto = Window.partitionBy("point_id", "lead_min").orderBy("axis").rangeBetween(Window.unboundedPreceding, 0)
+    sums = {f"{k}_{t}": f(F.col(f"r_{t}")).over(upto) for t in TARGETS for k, f in (("n", F.count), ("s", F.sum), ("q", lambda r: F.sum(r * r)))}
+    asked = both.select(*KEY, "kind", *[F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items()]).where("kind > 0")
+    # The two questions of a row are in one partition already.
+    inside = asked.groupBy(*KEY).agg(*[(F.max(F.when(F.col("kind") == 2, F.col(k))) - F.max(F.when(F.col("kind") == 1, F.col(k)))).alias(k) for k in sums])
+    out = []
+    for t in TARGETS:
+        n, total, square = F.col(f"n_{t}"), F.col(f"s_{t}"), F.col(f"q_{t}")
+        spread = square - F.try_divide(total * total, n)
+        spread = F.when(spread > 1e-11 * square, spread).otherwise(0.0)  # what rounding leaves of equal errors
+        out += [F.try_divide(total, n).alias(f"bias14_{t}"), F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))).alias(f"std14_{t}")]
+    return inside.select(*KEY, *out)
 
 
 def training_examples(nwp: DataFrame, obs: DataFrame, late: dict[str, int] = LATE) -> DataFrame:
