@@ -301,7 +301,8 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
     """Members (key, top, cid, label, sig, ...) in blocks: i, j, part, major are added; rows are sorted by block."""
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top_label"), F.sum("n").alias("all"), F.count("*").alias("labels"))
-    totals = totals.where(F.col("labels") > 1).select("key", F.col("top_label.label").alias("big"), F.col("top_label.n").alias("big_n"), "all")
+    # Written down, so that both sides of the join are plain shuffles: Spark can then split a huge bucket.
+    totals = durable(totals.where(F.col("labels") > 1).select("key", F.col("top_label.label").alias("big"), F.col("top_label.n").alias("big_n"), "all"))
     rows = members.join(totals, "key").withColumn("major", F.col("label") == F.col("big"))
     # Minor rows are dealt in parts 0..p-1, major rows in parts p..p+q-1; blocks are the pairs of parts with a minor one.
     p = F.ceil((F.col("all") - F.col("big_n")) / block).cast("int")
@@ -319,6 +320,7 @@ def remaining_links(members: DataFrame, signatures: DataFrame, texts: DataFrame,
     """Confirmed links between different labels of a bucket; members: key, cid, label."""
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
     mixed_keys = sizes.agg((F.sum("n") - F.max("n")).alias("minor"), F.count("*").alias("labels")).where(F.col("labels") > 1)
+    mixed_keys = durable(mixed_keys)
     top = F.shiftrightunsigned("key", 48).cast("int").alias("top")
     rows = members.join(mixed_keys.select("key", "minor"), "key").join(signatures.select("cid", "sig"), "cid").select("key", top, "cid", "label", "sig", "minor")
     rows = durable(rows)
