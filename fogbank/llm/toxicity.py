@@ -34,6 +34,8 @@ from fogbank.llm.common import documents, id_remainder, least_by_hash
 
 MAX_TOXIC, MAX_CLEAN = 1200, 2400
 MAX_CHAIN = 128
+#: Toxic documents that share this much of their word pairs count as copies of one text.
+ALIKE = 0.4
 HASH_BITS = 18
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 300_000
@@ -142,6 +144,8 @@ def induce(docs: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
         else:
             good.update(found)
     n_bad = sum(toxic)
+    text_of = groups(docs, [i for i, bad in enumerate(toxic) if bad])
+    spread = lambda holders: len({text_of[i] for i in holders})  # noqa: E731  copies of one text are one witness
     least = 2 if n_bad < 60 else 3 + n_bad // 300
     usable = {f: s for f, s in held.items() if len(s) >= least and good[f] <= 0.01 * len(s)}
     # A near-copied document repeats all its words, so the features with wide cover come first.
@@ -152,7 +156,7 @@ def induce(docs: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
         if len(usable[f] & left) < least:
             break
         holders = usable.pop(f)
-        if spread(docs, holders, f):
+        if spread(holders) >= least:
             chosen.add(f)
             left -= holders
         usable = {k: s for k, s in usable.items() if len(s & left) >= least}
@@ -160,18 +164,31 @@ def induce(docs: list[list[bytes]], toxic: list[bool]) -> set[bytes]:
             break
     # Words that occur about as widely as the chosen ones are of the same lexicon, though already covered.
     if chosen:
-        wide = sorted(len(held[f]) for f in chosen)
+        wide = sorted(spread(held[f]) for f in chosen)
         bar = max(least + 1, wide[len(wide) // 4] // 2)
-        chosen |= {f for f, s in held.items() if len(s) >= bar and good[f] <= 0.002 * len(s) and spread(docs, s, f)}
+        chosen |= {f for f, s in held.items() if len(s) >= bar and good[f] <= 0.002 * len(s) and spread(s) >= bar}
     return chosen
 
 
-def spread(docs: list[list[bytes]], holders: set[int], feature: bytes) -> bool:
-    """Whether the documents that hold a feature are not copies of one text: few of their neighbouring words agree."""
-    some = sorted(holders)[:12]
-    sets = [set(zip(docs[i], docs[i][1:], strict=False)) for i in some]
-    likeness = [len(a & b) / max(1, len(a | b)) for a, b in zip(sets, sets[1:], strict=False)]
-    return bool(likeness) and sorted(likeness)[len(likeness) // 2] < 0.4
+def groups(docs: list[list[bytes]], of: list[int]) -> dict[int, int]:
+    """The first of its near copies for each of the documents ``of``; copies share at least ALIKE of their word pairs."""
+    sets = [set(zip(docs[i], docs[i][1:], strict=False)) or {(w, EDGE) for w in docs[i]} for i in of]
+    holders: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+    for k, pairs in enumerate(sets):
+        for pair in pairs:
+            holders[pair].append(k)
+    both = np.zeros((len(of), len(of)), dtype=np.int32)
+    for ks in holders.values():
+        if len(ks) > 1:
+            both[np.ix_(ks, ks)] += 1
+    size = np.array([len(x) for x in sets])
+    first = np.arange(len(of))
+    for k in range(len(of)):
+        for j in np.flatnonzero(both[k, :k] >= ALIKE * np.maximum(1, size[k] + size[:k] - both[k, :k])):
+            if first[j] != first[k]:
+                a, b = sorted((first[j], first[k]))
+                first[first == b] = a
+    return dict(zip(of, first.tolist(), strict=True))
 
 
 def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 6, seed: int = 7) -> Field:

@@ -68,6 +68,18 @@ def test_toxicity_held_out(spark, prose):
     assert {"idiot", "moron", "trash", "scum"} <= words
 
 
+def test_hot_near_copies_leave_the_lexicon_alone(prose):
+    rows = toxic_docs(prose)
+    source = next(t for _, t, y in rows if y).split()
+    copies = [" ".join([*source[: 7 * k], f"edit{k}", *source[7 * k + 1 :]]) for k in range(8)]
+    docs = [toxicity.tokens(t.encode()) for t in [*copies, *(t for _, t, _ in rows)]]
+    toxic = [True] * len(copies) + [y == 1 for _, _, y in rows]
+    assert len(set(toxicity.groups(docs, [i for i, y in enumerate(toxic) if y]).values())) == 75
+    chosen = toxicity.induce(docs, toxic)
+    assert all(any(f in chosen for f in toxicity.features(w)) for w in (b"idiot", b"moron", b"trash", b"scum"))
+    assert toxicity.induce([*docs[:9], *docs[8:][1:4]], [True] * 9 + [False] * 3) == set()  # one text alone is no evidence
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(0, 1), (1, 0), (3, None), (99, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, labels, F.lit(True))
