@@ -17,8 +17,11 @@ LOCAL_TZ = "America/Los_Angeles"
 ORIGINAL = ("FTPC1", "KOAK", "KSFO", "SFOC1")
 GATE_MODEL = "gbm_residual"
 BUCKETS = ("1-3 h", "4-6 h")
-# A bootstrap index in integers: draw r takes day (r * A + j * B + r * j * C + S) mod days.
-LCG = (7919, 104729, 31, 7)
+# A bootstrap index in integers, which any engine repeats: x = (r * A + j * B + S) mod P for draw r and place j, then
+# STEPS times x = (x * x + S) mod P; the day is x mod days. No product passes 2^62.
+DRAWS = 1000
+MIX = dict(a=1664525, b=1013904223, s=12345, p=2**31 - 1)
+STEPS = 4
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -77,16 +80,23 @@ def day_blocks(pairs: DataFrame, by=CELL) -> DataFrame:
     return pairs.groupBy(*by, "day").agg(F.sum("crps").alias("crps"), F.sum("crps_base").alias("crps_base"), F.count("*").alias("n"))
 
 
-def bootstrap(blocks: DataFrame, draws: int = 200, by=CELL, more: dict | None = None) -> DataFrame:
+def drawn_places(r: str, n: str) -> str:
+    """SQL of draw r's n mixed integers; each modulo n is a day."""
+    out = "transform(sequence(0L, {n} - 1L), j -> ({r} * {a} + j * {b} + {s}) % {p})".format(r=r, n=n, **MIX)
+    for _ in range(STEPS):
+        out = "transform({x}, x -> (x * x + {s}) % {p})".format(x=out, **MIX)
+    return out
+
+
+def bootstrap(blocks: DataFrame, draws: int = DRAWS, by=CELL, more: dict | None = None) -> DataFrame:
     """skill, skill_lo, skill_hi per cell: days are drawn with replacement by an integer rule that any engine repeats.
 
     A cell's days are an array (one entry per day), so a draw is a fold over it, without a join per draw. ``more`` adds
     aggregates of the blocks.
     """
-    a, b, c, s = LCG
     days = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("day", "crps", "crps_base"))).alias("d"), *[v.alias(k) for k, v in (more or {}).items()])
-    draw = f"""array_sort(transform(sequence(1, {draws}), r -> aggregate(sequence(0, size(d) - 1), named_struct('m', 0.0D, 'b', 0.0D), (t, j) -> named_struct(
-      'm', t.m + d[int((r * {a} + j * {b} + r * j * {c} + {s}) % size(d))].crps, 'b', t.b + d[int((r * {a} + j * {b} + r * j * {c} + {s}) % size(d))].crps_base), t -> 1 - t.m / t.b)))"""
+    draw = f"""array_sort(transform(sequence(1L, {draws}L), r -> aggregate(transform({drawn_places("r", "size(d)")}, x -> d[int(x % size(d))]), named_struct('m', 0.0D, 'b', 0.0D),
+      (t, y) -> named_struct('m', t.m + y.crps, 'b', t.b + y.crps_base), t -> 1 - t.m / t.b)))"""
     point = "1 - aggregate(d, 0.0D, (t, x) -> t + x.crps) / aggregate(d, 0.0D, (t, x) -> t + x.crps_base)"
     drawn = days.withColumn("skill", F.expr(point)).withColumn("drawn", F.expr(draw))
     return drawn.withColumn("skill_lo", _quantile("drawn", 0.025, draws)).withColumn("skill_hi", _quantile("drawn", 0.975, draws)).drop("d", "drawn")
@@ -99,7 +109,7 @@ def _quantile(values: str, q: float, n: int):
     return lo + (hi - lo) * (at - int(at))
 
 
-def leaderboard(scores: DataFrame, groups: dict[str, Collection[str]] | None = None, draws: int = 200) -> DataFrame:
+def leaderboard(scores: DataFrame, groups: dict[str, Collection[str]] | None = None, draws: int = DRAWS) -> DataFrame:
     """One row per variable, model, lead bucket and point (or ``all``, or a group), on common rows.
 
     All figures come from one set of day sums.
@@ -120,7 +130,7 @@ def monthly_skill(scores: DataFrame) -> DataFrame:
     return out.withColumn("skill", 1 - F.try_divide("crps", "crps_base"))
 
 
-def paired_change(scores: DataFrame, model: str, base: str, draws: int = 200) -> DataFrame:
+def paired_change(scores: DataFrame, model: str, base: str, draws: int = DRAWS) -> DataFrame:
     """CRPS change of a model against another per variable, bucket and point; negative is better."""
     rows = pooled(paired(scores, base).where((F.col("model_name") == model) & F.col("bucket").isNotNull()))
     out = bootstrap(day_blocks(rows), draws, more={"n": F.sum("n")})

@@ -46,6 +46,19 @@ def test_common_rows_leaderboard_and_gate(spark, at):
     assert change.change == pytest.approx(-best.skill) and change.lo <= change.change <= change.hi + 1e-12
 
 
+@pytest.mark.parametrize("days", [31, 60, 97])
+def test_bootstrap_interval_is_as_wide_as_a_true_one(spark, days):
+    rng = np.random.default_rng(days)
+    m, b = rng.gamma(2, 1, days), rng.gamma(2, 1.1, days)
+    rows = [("t2m", "x", "1-3 h", "all", f"{d:03}", float(x), float(y)) for d, (x, y) in enumerate(zip(m, b, strict=True))]
+    blocks = spark.createDataFrame(rows, "variable string, model_name string, bucket string, point string, day string, crps double, crps_base double")
+    got = scoring.bootstrap(blocks).first()
+    at = rng.integers(0, days, (20_000, days))
+    lo, hi = np.percentile(1 - m[at].sum(1) / b[at].sum(1), [2.5, 97.5])
+    assert got.skill == pytest.approx(1 - m.sum() / b.sum())
+    assert got.skill_hi - got.skill_lo == pytest.approx(hi - lo, rel=0.15) and abs(got.skill_lo - lo) < 0.15 * (hi - lo)
+
+
 def test_month_excluded_rms(spark, at):
     rows = [("t2m", at(1), 60, 13.0, 10.0), ("t2m", at(2), 60, 11.0, 10.0)]
     df = spark.createDataFrame(rows, "variable string, init_time timestamp, lead_min int, mu double, obs double")
