@@ -5,6 +5,10 @@ marginal's cells are scaled to its target, a fixed number of rounds. A cell's ra
 divided by the largest ratio, is the probability that its documents are kept, so the kept tokens have the raked
 mixture in expectation. The draw is a hash of the document's id, so it can be repeated.
 
+With that scale the rarest cell sets how much stays. Where a share of tokens to keep is stated, the scale is the one that
+keeps it: cells whose ratio would pass a probability of 1 stay whole and the others share the rest by their ratios, so
+the mixture is met but for what whole cells fall short of.
+
 Only cell totals are raked: aggregation combines before the shuffle, so a hot source costs no more than others. The
 cells go through one task while they are at most SMALL_CELLS, which also bounds the broadcast back to the documents.
 
@@ -26,6 +30,8 @@ SMALL_CELLS = 50_000
 TEMPER = {"source": 0.75, "lang": 0.85, "topic": 0.85}
 NONE = "(none)"
 SHORT_CHARS = 300
+#: The share of tokens that the pipeline keeps.
+KEEP = 0.75
 
 
 def topic_of(text: Column) -> Column:
@@ -53,10 +59,11 @@ def weighed(docs: DataFrame, topic: Column | None = None, id_col: str = "doc_id"
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
     """source, lang, topic, ratio, prob for each cell of source, lang, topic, tokens.
 
-    targets: a weight for each category of an axis; an axis without them is tempered (TEMPER).
+    targets: a weight for each category of an axis; an axis without them is tempered (TEMPER). keep: the share of tokens
+    to keep, else the largest ratio has a probability of 1.
     """
     all_ = Window.partitionBy()
     out = cells.withColumn("w", F.col("tokens") / F.sum("tokens").over(all_))
@@ -80,15 +87,32 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
         if i % 2 or i + 1 == rounds:
             out = durable(out)
     ratio = F.col("w") / (F.col("tokens") / F.sum("tokens").over(all_))
-    return out.withColumn("ratio", ratio).select(*AXES, "ratio", F.try_divide("ratio", F.max("ratio").over(all_)).alias("prob"))
+    out = out.withColumn("ratio", ratio)
+    prob = F.try_divide("ratio", F.max("ratio").over(all_)) if keep is None else F.least(F.lit(1.0), F.col("ratio") * F.col("scale"))
+    return (out if keep is None else scaled(out, keep)).select(*AXES, "ratio", prob.alias("prob"))
+
+
+def scaled(cells: DataFrame, keep: float) -> DataFrame:
+    """Adds scale: with probabilities min(1, scale * ratio) the share keep of all tokens stays.
+
+    If the cells of the largest ratios stay whole, what is left to keep over the ratio-weighted rest is the scale; the
+    right number of whole cells is the first at which the next cell's probability is at most 1.
+    """
+    all_, down, up = Window.partitionBy(), Window.orderBy(F.desc("ratio"), *AXES), Window.orderBy("ratio", *[F.desc(a) for a in AXES])
+    whole = F.sum("tokens").over(down) - F.col("tokens")
+    rest = F.sum(F.col("tokens") * F.col("ratio")).over(up)
+    tried = cells.withColumn("nth", F.row_number().over(down)).withColumn("scale", F.try_divide(keep * F.sum("tokens").over(all_) - whole, rest))
+    first = F.min(F.when(F.col("scale") * F.col("ratio") <= 1, F.struct("nth", "scale"))).over(all_)
+    # None fits where all that has a target is to stay.
+    return tried.withColumn("scale", F.coalesce(first["scale"], F.lit(float("inf")))).withColumn("scale", F.when(F.col("ratio") > 0, F.col("scale")).otherwise(0.0)).drop("nth")
 
 
-def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, ratio, prob, sampled and row (all of docs' columns) for each row of docs."""
     rows = weighed(docs, topic, id_col, text_col)
     cells = durable(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     small = cells.count() <= SMALL_CELLS
-    raked = rake(cells.coalesce(1) if small else cells, targets, rounds)
+    raked = rake(cells.coalesce(1) if small else cells, targets, rounds, keep)
     draw = F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
     joined = rows.join(F.broadcast(raked) if small else raked, list(AXES))
     return joined.select("doc_id", *AXES, "tokens", "ratio", "prob", (draw < F.col("prob")).alias("sampled"), "row")

@@ -3,6 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fogbank.llm import mixing, sharding
 
 
@@ -64,3 +65,20 @@ def test_odd_rows_mix(spark, odd_docs):
     assert got.count() == odd_docs.count() and {r.source for r in got.collect()} == {"src0", "(none)"}
     assert got.where("sampled").select("row.*").columns == odd_docs.columns
     assert mixing.calibrated(odd_docs.limit(0)).count() == 0
+
+
+def test_rare_cells_do_not_set_the_kept_share(spark):
+    cells = [(f"s{i}", g, t, 1000 + 100 * i + 50 * len(g + t)) for i in range(4) for g in ("en", "de") for t in ("prose", "note")]
+    for rare in ([], [("(none)", "(none)", "note", 1)], [("(none)", "en", "prose", 2), ("s0", "xx", "note", 1)]):
+        df = spark.createDataFrame(cells + rare, "source string, lang string, topic string, tokens long")
+        got = mixing.rake(df, keep=0.75).join(df, list(mixing.AXES)).collect()
+        total = sum(r.tokens for r in got)
+        assert sum(r.prob * r.tokens for r in got) == pytest.approx(0.75 * total) and all(0 < r.prob <= 1 for r in got)
+        scale = {round(r.prob / r.ratio, 9) for r in got if r.prob < 1}
+        assert len(scale) == 1 and all(r.ratio * min(scale) >= 1 - 1e-9 for r in got if r.prob == 1)
+    assert {r.prob for r in mixing.rake(df, keep=1.0).collect()} == {1.0}
+
+
+def test_pipeline_keeps_three_quarters(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("word " * 20).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
+    assert corpus_pipeline.mix(spark, docs, "").count() == pytest.approx(3000, abs=120)
