@@ -527,4 +527,4 @@ def gbm_forecast(spark, d):
     rows = gold.training_examples(views.nwp(spark, d), _obs_qc(spark, d), views.LATE).where("obs_t2m IS NOT NULL")
     cut = rows.agg(F.percentile_approx(F.unix_seconds("valid_time"), 0.8)).first()[0]
     train, test = rows.where(F.unix_seconds("valid_time") <= F.lit(cut)), rows.where(F.unix_seconds("valid_time") > F.lit(cut))
-    return forecasters.make("gbm_residual", "t2m", rounds=8).fit(train).predict(test).select("point_id", "init_time", "lead_min", "mu", "sigma")
+    return forecasters.make("gbm_residual", "t2m").fit(train).predict(test).select("point_id", "init_time", "lead_min", "mu", "sigma")

@@ -122,3 +122,18 @@ def test_boosted_needs_its_inputs_and_learns(spark):
     m = forecasters.make("gbm_nwp", "t2m", rounds=5).fit(g)
     out = m.predict(g).agg(F.avg(F.abs(F.col("mu") - F.col("obs_t2m"))).alias("e"), F.min("sigma").alias("s")).first()
     assert out.e < 1.0 and out.s >= 0.1
+
+
+def test_gbm_query_trains_with_the_default_rounds(spark, monkeypatch):
+    from fogbank.plans import registry
+
+    class Made(Exception):
+        pass
+
+    def make(name, target, **options):
+        raise Made(options)
+
+    monkeypatch.setattr(registry.forecasters, "make", make)
+    with pytest.raises(Made) as made:
+        registry.queries()["gbm_forecast"](spark, "/root/testdata/sf0.001")
+    assert made.value.args == ({},)
