@@ -29,7 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash": minhash.OP1_SQL,
         "op2_substring": substring.OP2_SQL,
         "op4_sharding": sharding.OP4_SQL,
-        "op6_fingerprints": fingerprint.op6_fingerprints,
         "op5_warc_revisits": warc.OP5_SQL,
         "op7_decontamination": decontam.OP7_SQL,
         "op8_mixing": mixing.OP8_SQL,

@@ -45,3 +45,10 @@ def test_odd_rows(spark, odd_docs):
     assert fingerprint.with_successors(odd_docs.limit(0)).count() == 0
     lone = fingerprint.with_successors(spark.createDataFrame([(None, "ab cd")], "doc_id long, text string")).collect()
     assert len(lone) == 1 and lone[0].doc_id is None and lone[0].near_next == 1.0
+
+
+def test_every_oracle_is_sql_text():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
