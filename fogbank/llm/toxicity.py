@@ -11,7 +11,8 @@
    Words whose marginal reaches a half give the offending offsets (code points, end exclusive).
 
 The fit uses at most MAX_TOXIC and MAX_CLEAN labelled documents (least hash of their id): a documented bound.
-Chains end at sentence marks, line ends, or after MAX_CHAIN words.
+It takes every chain of theirs, in batches of 256. Chains end at sentence marks, line ends, or after MAX_CHAIN
+words.
 
 Null or empty text has no words and gets the score of no evidence; without toxic training rows every score is 0;
 null labels and labels of absent documents are ignored; repeated rows are scored alike; empty tables give no rows.
@@ -215,41 +216,32 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 6, seed: int
                         y[i] = tag[c]
                 (chains if any(y) else quiet).append((chain, y))
             chain = [] if w == EDGE else [w]
-    take = min(len(quiet), max(6000, 4 * len(chains)))
-    chains = chains[:8000] + [quiet[i] for i in rng.permutation(len(quiet))[:take]]
+    chains += quiet
     pad = len(PREFIXES) + 2
-    cached: dict[bytes, list[int]] = {}
-
-    def rows(chain: list[bytes]) -> list[list[int]]:
-        got = []
-        for w in chain:
-            if w not in cached:
-                s = slots(w)
-                cached[w] = s + [1 << HASH_BITS] * (pad - len(s))
-            got.append(cached[w])
-        return got
+    # Chains hold numbers of words; a batch's features are looked up when it is used.
+    number: dict[bytes, int] = {}
+    coded = [(np.array([number.setdefault(w, len(number)) for w in c], dtype=np.int32), np.array(y, dtype=np.int8)) for c, y in chains]
+    table = np.full((len(number) + 1, pad), 1 << HASH_BITS, dtype=np.int32)
+    for w, i in number.items():
+        s = slots(w)
+        table[i, : len(s)] = s
 
     weights = np.zeros((1 << HASH_BITS) + 1)
     square = np.full(len(weights), 1e-6)
     bias, moves = -4.0, np.zeros((2, 2))
-    chains.sort(key=lambda c: len(c[0]))
-    batches = [chains[i : i + 256] for i in range(0, len(chains), 256)]
-    coded = []
-    for batch in batches:
-        m = max(len(c) for c, _ in batch)
-        idx = np.full((len(batch), m, pad), 1 << HASH_BITS)
-        y = np.zeros((len(batch), m), dtype=int)
-        n = np.array([len(c) for c, _ in batch])
-        for i, (c, tags) in enumerate(batch):
-            idx[i, : len(c)] = rows(c)
-            y[i, : len(c)] = tags
-        coded.append((idx, y, n))
+    coded.sort(key=lambda c: len(c[0]))
+    batches = [coded[i : i + 256] for i in range(0, len(coded), 256)]
     # Few chains make few batches: they are passed over more often, so that a small corpus still takes enough steps.
-    epochs = max(epochs, 200 // max(1, len(coded)))
+    epochs = max(epochs, 200 // max(1, len(batches)))
     for epoch in range(epochs):
         rate = 0.5 / (1 + 1.8 * epoch / epochs)
-        for b in rng.permutation(len(coded)):
-            idx, y, n = coded[b]
+        for b in rng.permutation(len(batches)):
+            n = np.array([len(c) for c, _ in batches[b]])
+            words = np.full((len(n), n.max()), len(number), dtype=np.int32)
+            y = np.zeros(words.shape, dtype=int)
+            for i, (c, tags) in enumerate(batches[b]):
+                words[i, : len(c)], y[i, : len(c)] = c, tags
+            idx = table[words]
             e = np.clip(weights[idx].sum(2) + bias, -30, 30)
             live = np.arange(y.shape[1])[None, :] < n[:, None]
             p, pairs = expectations(e, n, moves)
@@ -262,8 +254,7 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 6, seed: int
             total = live.sum()
             bias += rate * d.sum() / total
             moves += rate * (seen - pairs) / max(1, both.sum()) - 1e-4 * moves
-            g = np.zeros(len(weights))
-            np.add.at(g, idx.reshape(-1), np.repeat(d.reshape(-1), pad))
+            g = np.bincount(idx.reshape(-1), np.repeat(d.reshape(-1), pad), len(weights))
             g[-1] = 0
             square += g * g
             weights += rate * g / np.sqrt(square)

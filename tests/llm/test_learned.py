@@ -80,6 +80,18 @@ def test_hot_near_copies_leave_the_lexicon_alone(prose):
     assert toxicity.induce([*docs[:9], *docs[8:][1:4]], [True] * 9 + [False] * 3) == set()  # one text alone is no evidence
 
 
+def test_training_takes_every_chain(monkeypatch):
+    rows = []
+    seen = toxicity.expectations
+    monkeypatch.setattr(toxicity, "expectations", lambda e, n, moves: (rows.append(len(n)), seen(e, n, moves))[1])
+    # Long toxic documents with more than 8,000 tagged chains, and more clean chains than 4 of each.
+    toxic = [[w for k in range(900) for w in (b"n%d" % (k % 50), b"idiot", toxicity.EDGE)] for _ in range(10)]
+    clean = [[w for k in range(900) for w in (b"m%d" % (k % 50), toxicity.EDGE)] for _ in range(45)]
+    monkeypatch.setattr(toxicity, "groups", lambda docs, of: {i: i for i in of})
+    toxicity.train(toxic + clean, [True] * 10 + [False] * 45, epochs=1)
+    assert sum(rows) == 55 * 900
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(0, 1), (1, 0), (3, None), (99, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, labels, F.lit(True))
