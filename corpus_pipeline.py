@@ -16,6 +16,8 @@ from fogbank.llm.common import durable
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents whose language can't be told (null text, no letter) go."""
     net = langid.fit(docs, ~langid.fold_held_out())
+    if net is None:  # no labelled text to learn from: letters alone decide, as they do for the network
+        return docs.where(langid.lettered(docs))
     return docs.where(langid.language(docs, net) != langid.UNKNOWN)
 
 

@@ -224,6 +224,16 @@ def language(docs: DataFrame, net: Network | None, text_col: str = "text") -> Co
     return lang(F.col(text_col).cast("binary"))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> Column:
+    """Whether a text has a letter, which is when a network tells a language."""
+
+    @F.pandas_udf("boolean")
+    def some(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and has_letter(t) for t in texts], dtype=bool)
+
+    return some(F.col(text_col).cast("binary"))
+
+
 def fold_held_out(id_col: str = "doc_id") -> Column:
     """Rows never learned from: crc32 of the id's text leaves 2 when divided by 4."""
     return F.coalesce(id_remainder(id_col, 4) == 2, F.lit(False))

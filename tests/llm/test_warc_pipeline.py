@@ -72,3 +72,8 @@ def test_pipeline_stages_take_effect(spark, tmp_path, prose):
         if i == 4:
             assert ids == {r.doc_id for r in docs.select("doc_id").collect()} and new.where(~F.col("shard").between(0, 7)).count() == 0
         docs = new
+
+
+def test_language_stage_without_labels_keeps_lettered_texts(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "123 456", None), (3, None, None), (4, "\u00fc", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 4}
