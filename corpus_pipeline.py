@@ -22,9 +22,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: the document with the smallest id of each near-duplicate group stays."""
-    copies = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("copy_of_doc"))
-    return docs.join(copies, docs["doc_id"] == copies["copy_of_doc"], "left_anti")
+    """Operator 1: the document with the smallest id of each near-duplicate group stays, one row of it."""
+    odd = durable(docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").select("doc_id"))
+    numbered = one_row_per_id(docs, odd) if odd.limit(1).count() else None
+    if numbered is None:
+        copies = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("copy_of_doc"))
+        return docs.join(copies, docs["doc_id"] == copies["copy_of_doc"], "left_anti")
+    groups = minhash.near_duplicates(numbered.select("row_number", "text"), "row_number").select(F.col("doc_id").alias("row_number"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_number")
+    ranked = numbered.select("row_number", rank.alias("rank")).join(groups, "row_number")
+    stay = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row_number")
+    return numbered.join(stay, "row_number", "left_semi").select(*docs.columns)
+
+
+def one_row_per_id(docs: DataFrame, odd: DataFrame) -> DataFrame:
+    """docs with a row_number that is unique: the id, or a number below all ids for the odd (null or repeated) ids.
+
+    Rows that repeat both an odd id and its text come down to one.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    of_odd = docs.where("doc_id IS NULL").unionByName(docs.join(odd, "doc_id", "left_semi").select(*docs.columns))
+    once = of_odd.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*").select(*docs.columns)
+    least = docs.agg(F.least(F.min("doc_id"), F.lit(0)).cast("long")).first()[0] or 0
+    plain = docs.where("doc_id IS NOT NULL").join(odd, "doc_id", "left_anti").select(*docs.columns)
+    low = once.withColumn("row_number", F.lit(least) - 1 - F.monotonically_increasing_id())
+    return durable(plain.withColumn("row_number", F.col("doc_id").cast("long")).unionByName(low))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

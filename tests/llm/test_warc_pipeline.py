@@ -77,3 +77,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path, prose):
 def test_language_stage_without_labels_keeps_lettered_texts(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "123 456", None), (3, None, None), (4, "\u00fc", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 4}
+
+
+def test_near_dedup_keeps_one_row_of_repeated_and_null_ids(spark, prose):
+    a, b, c, d = (prose(i, 80) for i in range(20, 24))
+    rows = [(1, a), (1, a), (2, a + " x"), (None, a), (None, b), (None, b), (5, c), (5, d), (7, d), (3, d + " y"), (None, None), (9, prose(30, 80))]
+    docs = spark.createDataFrame([(i, t, "src", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (5, c), (3, d + " y"), (None, None), (9, prose(30, 80))], key=str)
