@@ -7,17 +7,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fogbank.functions.core import first_where, hours_after, micros, minutes_after
+from fogbank.functions.core import finite, first_where, hours_after, micros, minutes_after
 from fogbank.schemas import NWP_FIELDS, REGIME_FIELDS, TABLES, TARGETS
 
 # Fixed values of the visibility rule, in minutes.
 ISSUE_DELAY, OBS_DELAY = 55, 5
 LATE = {"GGBC1": 80}
 BIAS_DAYS = 14
+#: The as-of bias works on stretches of the time axis of so many days, each with BIAS_DAYS before it.
+STRETCH_DAYS = 112
 MAX_LEAD = 360
 LAG_CYCLES = 6
 SNAP_MIN = 20
 KEY = ("point_id", "init_time", "lead_min")
+BIAS = tuple(f"{s}14_{t}" for t in TARGETS for s in ("bias", "std"))
 
 
 def snapped(obs: DataFrame) -> DataFrame:
@@ -72,9 +75,10 @@ def base_rows(nwp: DataFrame, hours: DataFrame, late: dict[str, int] = LATE) ->
     return rows.join(truth, ["point_id", "valid_time"], "left").join(seen, ["point_id", "seen_hour"], "left")
 
 
-def init_error(base: DataFrame) -> DataFrame:
-    """Adds the forecast's own error at the last visible report: that hour's cycle at lead 0."""
-    zero = base.where("lead_min = 0").select("point_id", F.col("init_time").alias("seen_hour"), *[F.col(f"nwp_{t}").alias(f"zero_{t}") for t in TARGETS])
+def init_error(base: DataFrame, nwp: DataFrame | None = None) -> DataFrame:
+    """Adds the forecast's own error at the last visible report: that hour's cycle at lead 0 (of nwp, else of base)."""
+    first = base if nwp is None else nwp.where("model = 'hrrr'").withColumnsRenamed({t: f"nwp_{t}" for t in TARGETS})
+    zero = first.where("lead_min = 0").select("point_id", F.col("init_time").alias("seen_hour"), *[F.col(f"nwp_{t}").alias(f"zero_{t}") for t in TARGETS])
     out = base.join(zero, ["point_id", "seen_hour"], "left")
     for t in TARGETS:
         out = out.withColumn(f"err_at_init_{t}", F.col(f"obs_last_{t}") - F.col(f"zero_{t}"))
@@ -107,39 +111,55 @@ def lag_ensemble(base: DataFrame, nwp: DataFrame) -> DataFrame:
 
 
 def rolling_bias(base: DataFrame, late: dict[str, int] = LATE) -> DataFrame:
-    """Mean and spread of the errors of the last 14 days that were visible at issue time.
+    """KEY and the as-of bias of each row of base."""
+    return with_rolling_bias(base.select(*KEY, "issue_time", "valid_time", *[f"{p}_{t}" for t in TARGETS for p in ("obs", "nwp")]), late).select(*KEY, *BIAS)
+
+
+def with_rolling_bias(base: DataFrame, late: dict[str, int] = LATE) -> DataFrame:
+    """Adds the mean and spread of the errors of the last 14 days that were visible at issue time.
 
     Errors and questions share one axis: an error stands where it becomes visible, a question at its issue time and
     again 14 days before. Running sums answer both, and their difference is the window, so the work per row doesn't
     grow with the window (a sliding frame would be summed anew for each row), and one sort serves every lead and delay.
+
+    The axis is cut into stretches, so that a partition holds STRETCH_DAYS and the 14 before them, however long the
+    history is; an error near the end of one stands in the next as well. NaN counts as missing, infinity as it is.
     """
     delay = _by_delay(late, lambda m: m) * 60
     issue = F.unix_seconds("issue_time")
-    errors = {t: F.col(f"obs_{t}") - F.col(f"nwp_{t}") for t in TARGETS}
+    errors = {t: finite(F.col(f"obs_{t}") - F.col(f"nwp_{t}")) for t in TARGETS}
+    long, window = STRETCH_DAYS * 86400, BIAS_DAYS * 86400
+    stretch = lambda at: F.floor(at / long)
+    rest = [c for c in base.columns if c not in KEY]  # a row travels with its question, so base is made once
 
-    def event(kind: int, axis: Column) -> Column:
+    def event(kind: int, axis: Column, first: Column, last: Column) -> Column:
         value = [(e if kind == 0 else F.lit(None).cast("double")).alias(f"r_{t}") for t, e in errors.items()]
-        return F.struct(F.lit(kind).alias("kind"), axis.alias("axis"), *value)
-
-    events = F.array(event(0, F.unix_seconds("valid_time") + delay), event(1, issue - BIAS_DAYS * 86400 + delay), event(2, issue))
-    both = base.select(*KEY, F.explode(events).alias("x")).select(*KEY, "x.*")
-    upto = Window.partitionBy("point_id", "lead_min").orderBy("axis").rangeBetween(Window.unboundedPreceding, 0)
+        row = F.struct(*rest)
+        return F.struct(F.lit(kind).alias("kind"), axis.alias("axis"), F.sequence(first, last).alias("stretches"), *value, (row if kind == 2 else F.when(F.lit(False), row)).alias("row"))
+
+    seen, past = F.unix_seconds("valid_time") + delay, issue - window + delay
+    events = F.array(event(0, seen, stretch(seen), stretch(seen + window)), event(1, past, stretch(issue), stretch(issue)), event(2, issue, stretch(issue), stretch(issue)))
+    both = base.select(*KEY, F.explode(events).alias("x")).select(*KEY, "x.*").withColumn("stretch", F.explode("stretches")).drop("stretches")
+    both = both.where("kind > 0 OR " + " OR ".join(f"r_{t} IS NOT NULL" for t in TARGETS))
+    upto = Window.partitionBy("point_id", "lead_min", "stretch").orderBy("axis").rangeBetween(Window.unboundedPreceding, 0)
     sums = {f"{k}_{t}": f(F.col(f"r_{t}")).over(upto) for t in TARGETS for k, f in (("n", F.count), ("s", F.sum), ("q", lambda r: F.sum(r * r)))}
-    asked = both.select(*KEY, "kind", *[F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items()]).where("kind > 0")
+    asked = both.select(*KEY, "stretch", "kind", "row", *[F.coalesce(v, F.lit(0)).alias(k) for k, v in sums.items()]).where("kind > 0")
     # The two questions of a row are in one partition already.
-    inside = asked.groupBy(*KEY).agg(*[(F.max(F.when(F.col("kind") == 2, F.col(k))) - F.max(F.when(F.col("kind") == 1, F.col(k)))).alias(k) for k in sums])
+    inside = asked.groupBy(*KEY, "stretch").agg(*[(F.max(F.when(F.col("kind") == 2, F.col(k))) - F.max(F.when(F.col("kind") == 1, F.col(k)))).alias(k) for k in sums], F.first("row", True).alias("row"))
     out = []
     for t in TARGETS:
         n, total, square = F.col(f"n_{t}"), F.col(f"s_{t}"), F.col(f"q_{t}")
         spread = square - F.try_divide(total * total, n)
         spread = F.when(spread > 1e-11 * square, spread).otherwise(0.0)  # what rounding leaves of equal errors
         out += [F.try_divide(total, n).alias(f"bias14_{t}"), F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))).alias(f"std14_{t}")]
-    return inside.select(*KEY, *out)
+    return inside.select(*KEY, "row.*", *out).select(*base.columns, *BIAS)
 
 
 def training_examples(nwp: DataFrame, obs: DataFrame, late: dict[str, int] = LATE) -> DataFrame:
     """gold.training_examples from silver.nwp_aligned and silver.obs_qc."""
-    base = base_rows(nwp, hourly(obs), late)
-    out = init_error(base).join(rolling_bias(base, late), list(KEY), "left").join(lag_ensemble(base, nwp), list(KEY), "left")
+    base = with_rolling_bias(base_rows(nwp, hourly(obs), late), late)
+    # The error at issue and the lagged cycles need forecasts only, not the rows with their truth.
+    keys = nwp.where((F.col("model") == "hrrr") & (F.col("lead_min") <= MAX_LEAD)).select(*KEY, "valid_time")
+    out = init_error(base, nwp).join(lag_ensemble(keys, nwp), list(KEY), "left")
     names = TABLES["gold.training_examples"].schema.fieldNames()
     return out.select(*[n for n in names if n in out.columns])

@@ -63,20 +63,22 @@ def _base(spark, d):
 
 
 def _scores(spark, d) -> DataFrame:
-    """Three models: raw, bias corrected, and a shifted one that lacks some rows."""
-    base = _base(spark, d).where("lead_min >= 60")
-    keep = ["point_id", "init_time", "lead_min", "valid_time"]
+    """Three models: raw, bias corrected, and a shifted one that lacks some rows. A forecast's models come from its one row."""
+    rows = gold.with_rolling_bias(_base(spark, d), views.LATE).where("lead_min >= 60 AND (obs_t2m IS NOT NULL OR obs_gust IS NOT NULL)")
     lead_h = F.col("lead_min") / 60
-    one = lambda df, name, t, mu, sigma: df.select(F.lit(name).alias("model_name"), F.lit(t).alias("variable"), *keep, F.col(f"obs_{t}").alias("obs"), mu.alias("mu"), sigma.alias("sigma"))
-    t2m = base.where("obs_t2m IS NOT NULL")
-    bias = t2m.join(gold.rolling_bias(_base(spark, d), views.LATE), list(gold.KEY))
-    out = (
-        one(t2m, "raw_hrrr", "t2m", F.col("nwp_t2m"), 20.0 + lead_h)
-        .unionByName(one(bias, "bias_rolling", "t2m", F.col("nwp_t2m") + F.coalesce("bias14_t2m", F.lit(0.0)), 18.0 + lead_h))
-        .unionByName(one(t2m.where("nwp_t2m > 11"), "shifted", "t2m", F.col("nwp_t2m") + 10, F.lit(15.0)))
-        .unionByName(one(base.where("obs_gust IS NOT NULL"), "raw_hrrr", "gust", F.col("nwp_gust"), F.lit(25.0)))
+
+    def made(name: str, t: str, mu, sigma, where=None):
+        one = F.struct(F.lit(name).alias("model_name"), F.lit(t).alias("variable"), F.col(f"obs_{t}").alias("obs"), mu.cast("double").alias("mu"), sigma.cast("double").alias("sigma"))
+        return F.when(F.col(f"obs_{t}").isNotNull() & (F.lit(True) if where is None else where), one)
+
+    models = F.array(
+        made("raw_hrrr", "t2m", F.col("nwp_t2m"), 20.0 + lead_h),
+        made("bias_rolling", "t2m", F.col("nwp_t2m") + F.coalesce("bias14_t2m", F.lit(0.0)), 18.0 + lead_h),
+        made("shifted", "t2m", F.col("nwp_t2m") + 10, F.lit(15.0), F.col("nwp_t2m") > 11),
+        made("raw_hrrr", "gust", F.col("nwp_gust"), F.lit(25.0)),
     )
-    return scoring.score(out)
+    out = rows.select("point_id", "init_time", "lead_min", "valid_time", F.inline(F.array_compact(models)))
+    return scoring.score(out.select("model_name", "variable", "point_id", "init_time", "lead_min", "valid_time", "obs", "mu", "sigma"))
 
 
 # --- step 0: the flagship slice ---------------------------------------------------
@@ -160,7 +162,7 @@ def last_obs_join(spark, d):
 
 @query("error_at_init", f"SELECT point_id, init_time, lead_min, {r('err_at_init_t2m', 'err_at_init_gust')} FROM init_err")
 def error_at_init(spark, d):
-    return gold.init_error(_base(spark, d)).select("point_id", "init_time", "lead_min", "err_at_init_t2m", "err_at_init_gust")
+    return gold.init_error(_base(spark, d), views.nwp(spark, d)).select("point_id", "init_time", "lead_min", "err_at_init_t2m", "err_at_init_gust")
 
 
 @query("lag_members_range_join", f"SELECT point_id, init_time, lead_min, valid_time, k, {r('t2m', 'gust')} FROM members")
@@ -248,7 +250,7 @@ def slot_climatology(spark, d):
 
 
 _PUSH = """SELECT (timezone('America/Los_Angeles', timezone('UTC', t)))::DATE AS day, min(t) AS onset FROM (
-  SELECT station_id, t, max(d1h) FILTER (WHERE variable = 't2m') AS dt, max(d1h) FILTER (WHERE variable = 'rh2m') AS drh FROM ch WHERE station_id IN ('S0', 'S1', 'S2') GROUP BY ALL)
+  SELECT station_id, t, max(d1h) FILTER (WHERE variable = 't2m') AS dt, max(d1h) FILTER (WHERE variable = 'rh2m') AS drh FROM coast_ch GROUP BY ALL)
 WHERE dt <= -2 AND drh >= 8 AND hour(timezone('America/Los_Angeles', timezone('UTC', t))) BETWEEN 11 AND 22 GROUP BY 1"""
 
 
@@ -258,7 +260,7 @@ def push_onsets(spark, d):
 
 
 def _onsets(spark, d):
-    return features.push_onsets(_ten(spark, d), COAST)
+    return features.push_onsets(views.coast(spark, d), COAST)
 
 
 @query("push_age", f"""SELECT init_time, {r('CASE WHEN age >= 10 THEN age END AS up_push_age_min')} FROM (
@@ -282,7 +284,7 @@ FROM (SELECT p.point_id, p.rank, p.w, i.init_time, i.lead_min, i.err_at_init_t2m
 def neighbour_features(spark, d):
     base = _base(spark, d)
     ring = spark.sql("SELECT concat('S', s) AS point_id, concat('S', (s + k) % 8) AS nb_id, k AS rank, CAST(k * 3 + s AS DOUBLE) / 10 AS dist_km FROM (SELECT *, explode(sequence(1, 5)) AS k FROM (SELECT explode(sequence(0, 7)) AS s) a) b")
-    rows = gold.init_error(base).join(gold.rolling_bias(base, views.LATE), list(gold.KEY))
+    rows = gold.init_error(gold.with_rolling_bias(base, views.LATE), views.nwp(spark, d))
     return features.neighbour_features(rows, ring).select("point_id", "init_time", "lead_min", *_NB, *[f"nbw_{f}" for f in features.NEIGHBOUR_FIELDS])
 
 
@@ -307,8 +309,7 @@ LEFT JOIN (SELECT lead_min, sqrt(avg(pow(obs_t2m - mu, 2))) AS rms FROM (SELECT
 
 def _forecast(name: str):
     def run(spark, d):
-        base = _base(spark, d)
-        rows = base.join(gold.rolling_bias(base, views.LATE), list(gold.KEY))
+        rows = gold.with_rolling_bias(_base(spark, d), views.LATE)
         return forecasters.make(name, "t2m").fit(rows).predict(rows).select("point_id", "init_time", "lead_min", "mu", "sigma")
 
     return run
@@ -513,7 +514,7 @@ def freshness_gate_inputs(spark, d):
 @query("network_features", f"""SELECT init_time, feature, {r('value')} FROM (
   SELECT hour + INTERVAL 1 HOUR AS init_time, 'pa_' || station_id || '_' || stat AS feature, value FROM (UNPIVOT (SELECT station_id, hour, d1h, d3h, anom FROM net) ON d1h, d3h, anom INTO NAME stat VALUE value)
   UNION ALL SELECT hour + INTERVAL 1 HOUR, 'pa_mean_anom', avg(anom) FROM net GROUP BY hour
-  UNION ALL SELECT hour + INTERVAL 1 HOUR, 'pa_west_east_anom', avg(anom) FILTER (WHERE west) - avg(anom) FILTER (WHERE NOT west) FROM net GROUP BY hour) WHERE value IS NOT NULL""")
+  UNION ALL SELECT hour + INTERVAL 1 HOUR, 'pa_west_east_anom', avg(anom) FILTER (WHERE west) - avg(anom) FILTER (WHERE NOT west) FROM (SELECT * FROM net WHERE station_id IN ('S0', 'S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7')) GROUP BY hour) WHERE value IS NOT NULL""")
 def network_features(spark, d):
     """The long network feature table; four of the eight stations lie west."""
     lons = {f"S{i}": -122.5 if f"S{i}" in NETWORK_WEST else -122.4 for i in range(8)}

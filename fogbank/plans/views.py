@@ -1,13 +1,15 @@
 """Weather-shaped frames over the synthetic tables, and the same as SQL text for the side-by-side check.
 
-Observations come from ``events`` (an event type per variable, users dealt to eight stations, every fifth report sent
-again with a correction), forecasts from integer arithmetic over the hours that events cover, grid cells and positions
-from integer arithmetic over suppliers and orders' days.
+Observations come from ``events`` (an event type per variable, users dealt to stations, every fifth report sent again
+with a correction), forecasts from integer arithmetic over the hours that events cover, grid cells and positions from
+integer arithmetic over suppliers and orders' days. There are eight stations, or one for every 18 users where that is more,
+so forecasts grow with the data.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +17,16 @@ from pyspark.sql import functions as F
 from fogbank.session import table
 
 STATIONS, LEADS = 8, 12
+USERS_PER_STATION = 18
 FAULTS, MIRRORED = (("S1", "t2m"),), {"S2": 6.0}
 RANGES = {"t2m": (0.0, 100.0), "gust": (0.0, 150.0)}
 #: Station to minutes of visibility delay.
 LATE = {"S3": 80}
 
 _VARIABLE = "CASE event_type WHEN 'click' THEN 't2m' WHEN 'view' THEN 'wind10' WHEN 'purchase' THEN 'gust' WHEN 'signup' THEN 'rh2m' ELSE 'wdir10' END"
-_OBS = f"""SELECT CASE WHEN user_id % 2 = 0 THEN 'madis' ELSE 'iem_asos' END AS source, concat('S', user_id % {STATIONS}) AS station_id,
+#: The number of stations, as SQL; Spark's texts get the number itself.
+_COUNT = f"(SELECT greatest({STATIONS}, CAST(floor(count(DISTINCT user_id) / {USERS_PER_STATION}.0) AS BIGINT)) FROM events)"
+_OBS = f"""SELECT CASE WHEN user_id % 2 = 0 THEN 'madis' ELSE 'iem_asos' END AS source, concat('S', user_id % {_COUNT}) AS station_id,
   ts AS obs_time, {_VARIABLE} AS variable, value, CASE user_id % 11 WHEN 3 THEN 'B' WHEN 5 THEN 'V' ELSE '' END AS qc_flag, event_id AS ingest_id, ts AS ingested_at
 FROM events"""
 OBS = f"{_OBS} UNION ALL SELECT source, station_id, obs_time, variable, value + 1, qc_flag, ingest_id, ingested_at + INTERVAL 1 HOUR FROM ({_OBS}) t WHERE ingest_id % 5 = 0"
@@ -30,13 +35,13 @@ OBS = f"{_OBS} UNION ALL SELECT source, station_id, obs_time, variable, value +
 def _nwp(spark: bool) -> str:
     hour = "(unix_micros(init_time) div 3600000000)" if spark else "(epoch_us(init_time) // 3600000000)"
     valid = "timestamp_micros(unix_micros(init_time) + lead * 3600000000)" if spark else "make_timestamp(epoch_us(init_time) + lead * 3600000000)"
-    stations, leads = (f"explode(sequence(0, {STATIONS - 1}))", f"explode(sequence(0, {LEADS}))") if spark else (f"unnest(range({STATIONS}))", f"unnest(range({LEADS + 1}))")
+    stations, leads = (f"explode(sequence(0, {_COUNT} - 1))", f"explode(sequence(0, {LEADS}))") if spark else (f"unnest(range({_COUNT}))", f"unnest(range({LEADS + 1}))")
     d = lambda text: f"CAST({text} AS DOUBLE) / 10"
     return f"""SELECT 'hrrr' AS model, init_time, CAST(lead * 60 AS INT) AS lead_min, {valid} AS valid_time, concat('S', s) AS point_id,
   {d(f"100 + ({hour} * 7 + lead * 7 + s * 3 + lead * (s + 1)) % 80")} AS t2m, {d(f"30 + ({hour} * 5 + lead * 8 + s * 11) % 120")} AS gust,
   {d(f"20 + ({hour} * 3 + lead * 5 + s * 7) % 70")} AS wind10, {d(f"120 + ({hour} * 11 + s * 5 + lead) % 90")} AS t925,
   {d(f"80 + ({hour} * 13 + s * 2 + lead) % 90")} AS t850, {d(f"({hour} * 3 + s + lead) % 100 - 50")} AS u925, {d(f"({hour} * 5 + s * 3 + lead) % 100 - 50")} AS v925
-FROM (SELECT init_time, s, {leads} AS lead FROM (SELECT init_time, {stations} AS s FROM (SELECT DISTINCT date_trunc('hour', ts) AS init_time FROM events) t) u) w"""
+FROM (SELECT init_time, s, {leads} AS lead FROM (SELECT {"/*+ REPARTITION(8) */" if spark else ""} init_time, {stations} AS s FROM (SELECT DISTINCT date_trunc('hour', ts) AS init_time FROM events) t) u) w"""
 
 
 _LEVELS = "CASE j WHEN 0 THEN 't2m' WHEN 1 THEN 'u10' WHEN 2 THEN 'v10' WHEN 3 THEN 'gust' WHEN 4 THEN 'gh' WHEN 5 THEN 'gh' WHEN 6 THEN 't' WHEN 7 THEN 't' WHEN 8 THEN 'u' WHEN 9 THEN 'v' WHEN 10 THEN 'blh' WHEN 11 THEN 'r2' WHEN 12 THEN 'sdswrf' ELSE 'd2m' END"
@@ -59,12 +64,30 @@ FROM (SELECT *, {x(2)} AS again FROM (SELECT *, {x(n)} AS j FROM (SELECT *, {x(4
   FROM (SELECT DISTINCT date_trunc('day', ts) AS init_time FROM events) a) b) c) d) e) f"""
 
 
+def _coast(spark: bool) -> str:
+    """10-minute means of three coast stations for each day that events cover; on three days of four it turns cool and moist
+    at some time after local noon, at each station a little later."""
+    x = lambda n: f"explode(sequence(0, {n - 1}))" if spark else f"unnest(range({n}))"
+    number = "datediff(day, DATE '1970-01-01')" if spark else "datediff('day', TIMESTAMP '1970-01-01', day)"
+    time = "timestamp_micros(unix_micros(day) + slot * 600000000L)" if spark else "make_timestamp(epoch_us(day) + slot * 600000000)"
+    return f"""SELECT concat('S', s) AS station_id, CASE WHEN j = 0 THEN 't2m' ELSE 'rh2m' END AS variable, {time} AS t,
+  CAST((slot * 7 + s * 3 + j) % 10 AS DOUBLE) / 10 + CASE WHEN d % 4 > 0 AND slot >= 118 + (d * 5 + s * 2) % 24 THEN CASE WHEN j = 0 THEN 12 ELSE 78 END ELSE CASE WHEN j = 0 THEN 18 ELSE 60 END END AS v
+FROM (SELECT *, {number} AS d FROM (SELECT *, {x(2)} AS j FROM (SELECT *, {x(144)} AS slot FROM (SELECT day, {x(3)} AS s FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM events) a) b) c) e) f"""
+
+
 NUDGE = 1.7e-10
 
 POINTS = "SELECT concat('P', s_suppkey) AS point_id, 37.6e0 + CAST(s_suppkey * 37 % 300 AS DOUBLE) / 1000 AS lat, -122.6e0 + CAST(s_suppkey * 91 % 301 AS DOUBLE) / 1000 AS lon FROM supplier"
 
 
+@cache
+def stations(spark: SparkSession, sf_dir: str) -> int:
+    return spark.sql(f"SELECT {_COUNT.replace('FROM events', 'FROM {t}')} AS n", t=table(spark, sf_dir, "events")).first().n
+
+
 def _sql(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
+    if _COUNT in text:
+        text = text.replace(_COUNT, str(stations(spark, sf_dir)))
     return spark.sql(text.replace(f"FROM {name}", "FROM {t}"), t=table(spark, sf_dir, name))
 
 
@@ -80,6 +103,10 @@ def cells(spark: SparkSession, sf_dir: str, model: str = "hrrr") -> DataFrame:
     return _sql(spark, sf_dir, _cells(True, model), "events")
 
 
+def coast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _coast(True), "events")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, POINTS, "supplier")
 
@@ -126,8 +153,8 @@ FROM nwp_v n LEFT JOIN hours o ON o.point_id = n.point_id AND o.hour = n.valid_t
 LEFT JOIN hours l ON l.point_id = n.point_id AND l.hour = n.init_time - to_hours(CASE n.point_id WHEN 'S3' THEN 1 ELSE 0 END) WHERE n.lead_min <= 360""",
     "init_err": """SELECT b.point_id, b.init_time, b.lead_min, b.obs_last_t2m - z.nwp_t2m AS err_at_init_t2m, b.obs_last_gust - z.nwp_gust AS err_at_init_gust
 FROM base b LEFT JOIN base z ON z.point_id = b.point_id AND z.lead_min = 0 AND z.init_time = b.seen_hour""",
-    "members": """SELECT b.point_id, b.init_time, b.lead_min, b.valid_time, ((epoch_us(b.init_time) - epoch_us(m.init_time)) // 3600000000)::INT AS k, m.t2m, m.gust
-FROM base b JOIN nwp_v m ON m.point_id = b.point_id AND m.valid_time = b.valid_time AND m.init_time <= b.init_time AND m.init_time >= b.init_time - INTERVAL 6 HOUR""",
+    "members": """SELECT b.point_id, b.init_time, b.lead_min, b.valid_time, m.k, m.t2m, m.gust
+FROM base b JOIN (SELECT point_id, valid_time, init_time + to_hours(k) AS init_time, k::INT AS k, t2m, gust FROM (SELECT *, unnest(range(7)) AS k FROM nwp_v)) m USING (point_id, valid_time, init_time)""",
     "lagged": """SELECT point_id, init_time, lead_min, count(t2m) AS lag_n_t2m, avg(t2m) AS lag_mean_t2m, stddev_samp(t2m) AS lag_sd_t2m, max(t2m) FILTER (WHERE k = 0) - max(t2m) FILTER (WHERE k = 1) AS lag_d1_t2m,
   count(gust) AS lag_n_gust, avg(gust) AS lag_mean_gust, stddev_samp(gust) AS lag_sd_gust, max(gust) FILTER (WHERE k = 0) - max(gust) FILTER (WHERE k = 1) AS lag_d1_gust FROM members GROUP BY ALL""",
     "rolling": " UNION ALL ".join(
@@ -147,10 +174,12 @@ WINDOW w AS (PARTITION BY point_id ORDER BY epoch_us(valid_time) RANGE BETWEEN {
 FROM common s JOIN (SELECT variable, point_id, init_time, lead_min, crps FROM common WHERE model_name = 'raw_hrrr') b USING (variable, point_id, init_time, lead_min)""",
     "pooled": "SELECT * FROM (SELECT *, unnest([point_id, 'all']) AS point FROM pairs_all WHERE bucket IS NOT NULL) UNION ALL SELECT *, 'original' AS point FROM pairs_all WHERE bucket IS NOT NULL AND point_id IN ('S0', 'S4')",
     "blocks": "SELECT variable, model_name, bucket, point, day, sum(crps) AS crps, sum(crps_base) AS crps_base, count(*) AS n FROM pooled GROUP BY ALL",
+    # days drawn by mixed integers: x = (r * A + j * B + S) mod P, then four times x = (x * x + S) mod P
     "boot": """SELECT variable, model_name, bucket, point, 1 - any_value(sc) / any_value(sb) AS skill, quantile_cont(draw, 0.025) AS skill_lo, quantile_cont(draw, 0.975) AS skill_hi FROM (
-  SELECT variable, model_name, bucket, point, r, 1 - sum(m[((r * 7919 + j * 104729 + r * j * 31 + 7) % len(m)) + 1]) / sum(b[((r * 7919 + j * 104729 + r * j * 31 + 7) % len(m)) + 1]) AS draw, any_value(list_sum(m)) AS sc, any_value(list_sum(b)) AS sb
-  FROM (SELECT *, unnest(range(len(m))) AS j FROM (SELECT *, unnest(range(1, 201)) AS r FROM (
-    SELECT variable, model_name, bucket, point, list(crps ORDER BY day) AS m, list(crps_base ORDER BY day) AS b FROM blocks GROUP BY ALL))) GROUP BY variable, model_name, bucket, point, r) GROUP BY variable, model_name, bucket, point""",
+  SELECT variable, model_name, bucket, point, r, 1 - sum(m[(x % len(m)) + 1]) / sum(b[(x % len(m)) + 1]) AS draw, any_value(list_sum(m)) AS sc, any_value(list_sum(b)) AS sb FROM ("""
+    + "SELECT * REPLACE ((x * x + 12345) % 2147483647 AS x) FROM (" * 4
+    + """SELECT *, (r * 1664525 + j * 1013904223 + 12345) % 2147483647 AS x FROM (SELECT *, unnest(range(len(m))) AS j FROM (SELECT *, unnest(range(1, 1001)) AS r FROM (
+    SELECT variable, model_name, bucket, point, list(crps ORDER BY day) AS m, list(crps_base ORDER BY day) AS b FROM blocks GROUP BY ALL)))))))) GROUP BY variable, model_name, bucket, point, r) GROUP BY variable, model_name, bucket, point""",
     "board": """SELECT variable, model_name, bucket, point, count(*) AS n, avg(crps) AS crps, avg(abs(error)) AS mae, avg(error) AS bias, avg(in_p10_p90) AS coverage_80, any_value(skill) AS skill, any_value(skill_lo) AS skill_lo, any_value(skill_hi) AS skill_hi
 FROM pooled JOIN boot USING (variable, model_name, bucket, point) GROUP BY ALL""",
     "cells_v": _cells(False),
@@ -172,6 +201,8 @@ FROM h1 h LEFT JOIN h1 a ON a.station_id = h.station_id AND a.hour = h.hour - IN
     "slot": """SELECT station_id, variable, t, CASE WHEN count(v) OVER w >= 7 THEN v - avg(v) OVER w END AS value FROM ten
 WINDOW w AS (PARTITION BY station_id, variable, (epoch_us(t) // 600000000) % 144 ORDER BY epoch_us(t) // 86400000000 RANGE BETWEEN 14 PRECEDING AND 1 PRECEDING)""",
     "ch": "SELECT a.station_id, a.variable, a.t, a.v - b.v AS d1h, a.v - c.v AS d3h FROM ten a LEFT JOIN ten b ON b.station_id = a.station_id AND b.variable = a.variable AND b.t = a.t - INTERVAL 1 HOUR LEFT JOIN ten c ON c.station_id = a.station_id AND c.variable = a.variable AND c.t = a.t - INTERVAL 3 HOUR",
+    "coast_v": _coast(False),
+    "coast_ch": "SELECT a.station_id, a.variable, a.t, a.v - b.v AS d1h FROM coast_v a LEFT JOIN coast_v b ON b.station_id = a.station_id AND b.variable = a.variable AND b.t = a.t - INTERVAL 1 HOUR",
     "points_v": POINTS,
     "pairs_v": """SELECT point_id, nb_id, rank, dist_km FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(dist_km, 6), nb_id)::INT AS rank FROM (
   SELECT a.point_id, b.point_id AS nb_id, 12742.0 * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))) AS dist_km
@@ -190,5 +221,6 @@ def oracle(select: str) -> str:
             if n not in need and re.search(rf"\b{n}\b", text):
                 need.add(n)
                 queue.append(body)
-    parts = [f"{n} AS ({CTES[n].replace('__CRPS__', crps_sql('mu', 'sigma', 'obs'))})" for n in CTES if n in need]
+    # A part that others read more than once is made once.
+    parts = [f"{n} AS MATERIALIZED ({CTES[n].replace('__CRPS__', crps_sql('mu', 'sigma', 'obs'))})" for n in CTES if n in need]
     return (f"WITH {', '.join(parts)} " if parts else "") + select
