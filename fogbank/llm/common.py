@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="fogbank-")
     return found.rstrip("/")
 
@@ -35,6 +41,31 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lots(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int, list]]:
+    """A batch's texts in lots of at most ``most`` bytes (or one longer text): the first one's row, and the texts.
+
+    The batch stays as Arrow gave it; only a lot of it becomes Python objects.
+    """
+    texts = batch.column(column)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield at, texts.slice(at, end - at).to_pylist()
+        at = end
+
+
+def within_bytes(ids: list, sizes: dict, most: int) -> list:
+    """Of ids in order, those whose rows fit into ``most`` bytes together."""
+    out, total = [], 0
+    for i in ids:
+        if i in sizes and total + sizes[i] <= most:
+            total += sizes[i]
+            out.append(i)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,9 +10,12 @@
    number and expected share of toxic words go through a logistic function fitted on the training documents.
    Words whose marginal reaches a half give the offending offsets (code points, end exclusive).
 
-The fit uses at most MAX_TOXIC and MAX_CLEAN labelled documents (least hash of their id): a documented bound.
-It takes every chain of theirs, in batches of 256. Chains end at sentence marks, line ends, or after MAX_CHAIN
-words.
+The fit uses at most MAX_TOXIC and MAX_CLEAN labelled documents (least hash of their id), of each kind as many as fit into
+MAX_BYTES of text: documented bounds. It takes every chain of theirs, in batches of 256. Chains end at sentence marks,
+line ends, or after MAX_CHAIN words.
+
+Scoring holds one Arrow batch and makes Python objects of at most LOT_BYTES of its text at a time; a longer text is read
+in pieces that end where a chain ends, so the result is that of the whole text.
 
 Null or empty text has no words and gets the score of no evidence; without toxic training rows every score is 0;
 null labels and labels of absent documents are ignored; repeated rows are scored alike; empty tables give no rows.
@@ -27,19 +30,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import documents, id_remainder, least_by_hash
+from fogbank.llm.common import documents, id_remainder, least_by_hash, lots, within_bytes
 
 MAX_TOXIC, MAX_CLEAN = 1200, 2400
+#: Bytes of text, of toxic and of clean documents each, that the fit takes at most.
+MAX_BYTES = 12 << 20
 MAX_CHAIN = 128
+#: Bytes of text that are made into words at once.
+LOT_BYTES = 1 << 20
 #: Toxic documents that share this much of their word pairs count as copies of one text.
 ALIKE = 0.4
 HASH_BITS = 18
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
 EDGE = b"\x01"
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Word bytes to lower case, sentence marks to EDGE, all others to a space.
@@ -51,6 +58,26 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).replace(EDGE, b" \x01 ").split() if text else []
 
 
+def pieces(text: bytes, most: int = LOT_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte spans of at most about ``most`` bytes that end where a chain ends anyway: at a sentence mark or, where there is
+    none, after a multiple of MAX_CHAIN words."""
+    at = 0
+    while len(text) - at > most:
+        end = 1 + max(text.rfind(mark, at, at + most) for mark in (b".", b"!", b"?", b"\n"))
+        if end <= at:
+            long = most
+            while not end and at + long < len(text):
+                found = [m.end() for m in WORD.finditer(text, at, at + long)][:-1]  # the last one may go on
+                whole = len(found) // MAX_CHAIN * MAX_CHAIN
+                end = found[whole - 1] if whole else 0
+                long *= 2
+            if not end:
+                break
+        yield at, end
+        at = end
+    yield at, len(text)
+
+
 def features(word: bytes) -> list[bytes]:
     return [b"w" + word, *(b"p%d" % n + word[:n] for n in PREFIXES if len(word) > n), b"s" + word[-3:]]
 
@@ -120,11 +147,9 @@ class Field:
                 out[at[live]] = odds / (1 + odds)
         return out
 
-    def evidence(self, p: np.ndarray, n_words: int) -> tuple[float, float, float]:
-        if not n_words:
-            return 0.0, 0.0, 0.0
-        total = float(p.sum())
-        return float(p.max()), float(np.log1p(total)), total / n_words
+    def evidence(self, most: float, total: float, n_words: int) -> tuple[float, float, float]:
+        """A document's largest marginal, expected number (its logarithm) and expected share of toxic words."""
+        return (most, float(np.log1p(total)), total / n_words) if n_words else (0.0, 0.0, 0.0)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.doc is None:
@@ -192,35 +217,39 @@ def groups(docs: list[list[bytes]], of: list[int]) -> dict[int, int]:
     return dict(zip(of, first.tolist(), strict=True))
 
 
+def chains(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words between edges, in stretches of at most MAX_CHAIN."""
+    chain: list[bytes] = []
+    for w in [*words, EDGE]:
+        if w != EDGE and len(chain) < MAX_CHAIN:
+            chain.append(w)
+            continue
+        if chain:
+            yield chain
+        chain = [] if w == EDGE else [w]
+
+
 def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 6, seed: int = 7) -> Field:
     out = Field(np.zeros(1 << HASH_BITS), -4.0, np.zeros((2, 2)))
     if not any(toxic):
         return out
     chosen = induce(docs, toxic)
     rng = np.random.default_rng(seed)
-    chains: list[tuple[list[bytes], list[int]]] = []
-    quiet: list[tuple[list[bytes], list[int]]] = []
+    # Chains hold numbers of words; a batch's features are looked up when it is used.
+    number: dict[bytes, int] = {}
     tag: dict[bytes, int] = {}
+    coded, quiet = [], []
     for ws, bad in zip(docs, toxic, strict=True):
-        chain: list[bytes] = []
-        for w in [*ws, EDGE]:
-            if w != EDGE and len(chain) < MAX_CHAIN:
-                chain.append(w)
-                continue
-            if chain:
-                y = [0] * len(chain)
-                if bad:
-                    for i, c in enumerate(chain):
-                        if c not in tag:
-                            tag[c] = int(any(f in chosen for f in features(c)[:-1]))
-                        y[i] = tag[c]
-                (chains if any(y) else quiet).append((chain, y))
-            chain = [] if w == EDGE else [w]
-    chains += quiet
+        for chain in chains(ws):
+            y = np.zeros(len(chain), dtype=np.int8)
+            if bad:
+                for i, c in enumerate(chain):
+                    if c not in tag:
+                        tag[c] = int(any(f in chosen for f in features(c)[:-1]))
+                    y[i] = tag[c]
+            (coded if y.any() else quiet).append((np.array([number.setdefault(w, len(number)) for w in chain], dtype=np.int32), y))
+    coded += quiet
     pad = len(PREFIXES) + 2
-    # Chains hold numbers of words; a batch's features are looked up when it is used.
-    number: dict[bytes, int] = {}
-    coded = [(np.array([number.setdefault(w, len(number)) for w in c], dtype=np.int32), np.array(y, dtype=np.int8)) for c, y in chains]
     table = np.full((len(number) + 1, pad), 1 << HASH_BITS, dtype=np.int32)
     for w, i in number.items():
         s = slots(w)
@@ -263,7 +292,8 @@ def train(docs: list[list[bytes]], toxic: list[bool], epochs: int = 6, seed: int
     x = []
     for ws in docs:
         e = np.array([out.emission(w) for w in ws])
-        x.append(out.evidence(out.marginals(e), int((~np.isnan(e)).sum()) if len(e) else 0))
+        p = out.marginals(e)
+        x.append(out.evidence(float(p.max(initial=0)), float(p.sum()), int((~np.isnan(e)).sum())))
     out.doc = logistic(np.array(x), np.array(toxic, dtype=float))
     return out
 
@@ -304,63 +334,87 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field:
-    """A field from at most max_toxic + max_clean labelled documents where usable (a condition on the labels) holds."""
+def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Field:
+    """A field from at most max_toxic + max_clean labelled documents, max_bytes of each kind, where usable (a condition on the labels) holds."""
     marked = labels.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    ids = {y: least_by_hash(marked.where(F.col("y") == y), "i", most) for y, most in ((1, max_toxic), (0, max_clean))}
+    if not any(ids.values()):
+        return train([], [])
+    # The ids are bounded by the parameters; their sizes decide which texts come back, bounded in bytes.
+    some = docs.where(F.col(id_col).isin([*ids[1], *ids[0]])).select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    sizes = {r.i: r.n for r in some.groupBy("i").agg(F.sum(F.coalesce(F.length("t"), F.lit(0))).alias("n")).collect()}
     want: dict = {}
-    for y, most in ((1, max_toxic), (0, max_clean)):
-        for i in least_by_hash(marked.where(F.col("y") == y), "i", most):
+    for y in (1, 0):
+        for i in within_bytes(ids[y], sizes, max_bytes):
             want.setdefault(i, y)
-    if not want:
-        return train([], [])
-    # The ids are bounded by the parameters, and so are the rows that come back.
-    rows = docs.where(F.col(id_col).isin(list(want))).select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).collect()
+    rows = some.where(F.col("i").isin(list(want))).collect() if want else []
     seen: dict[tuple[bytes, int], None] = {}
     for r in sorted(rows, key=lambda r: (r.i, bytes(r.t or b""))):
         seen.setdefault((bytes(r.t or b""), want[r.i]))  # copies of one text teach nothing new
-    return train([tokens(t) for t, _ in seen], [y == 1 for _, y in seen])
+    own: dict[bytes, bytes] = {}  # equal words are one object
+    return train([[own.setdefault(w, w) for w in tokens(t)] for t, _ in seen], [y == 1 for _, y in seen])
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def judged(m: Field, texts: list[bytes | None]) -> tuple[np.ndarray, list[list[dict]]]:
+    """The evidence and the offending spans of each text."""
+    evidence, spans = np.zeros((len(texts), 3)), [[] for _ in texts]
+    most, total, count, chars = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), [0] * len(texts)
+
+    def run(held: list[tuple[int, bytes, np.ndarray]]) -> None:
+        # an edge at each piece's end keeps chains apart
+        p = m.marginals(np.concatenate([x for _, _, e in held for x in (e, [np.nan])]))
+        at = 0
+        for k, part, e in held:
+            mine = p[at : at + len(e)]
+            at += len(e) + 1
+            real = ~np.isnan(e)
+            top = float(mine.max(initial=0))
+            most[k], total[k], count[k] = max(most[k], top), total[k] + mine.sum(), count[k] + real.sum()
+            if top >= 0.5:
+                done = 0
+                here = chars[k]
+                for w, b in zip(WORD.finditer(part), mine[real] >= 0.5, strict=True):
+                    if b:
+                        start = here + len(part[done : w.start()].decode())
+                        done, here = w.end(), start + len(w.group().decode())
+                        spans[k].append({"start": start, "end": here})
+                chars[k] = here + len(part[done:].decode())
+            else:
+                chars[k] += len(part.decode())
+
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for a, b in pieces(text) if text else ():
+            part = text[a:b]
+            ws = tokens(part)
+            held.append((k, part, np.fromiter(map(m.emission, ws), dtype=float, count=len(ws))))
+            size += b - a
+            if size >= LOT_BYTES:
+                run(held)
+                held, size = [], 0
+    if held:
+        run(held)
+    for k in range(len(texts)):
+        evidence[k] = m.evidence(most[k], total[k], int(count[k]))
+    return evidence, spans
 
 
 def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, spans (start, end of each offending word)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch["t"].tolist()
-            evidence, spans = np.zeros((len(texts), 3)), [[] for _ in texts]
-            i = 0
-            while i < len(texts):
-                group, parts, size = [], [], 0
-                while i < len(texts) and size < 400_000:
-                    ws = tokens(texts[i])
-                    group.append(i)
-                    # an edge at each document's end keeps chains apart
-                    parts.append(np.fromiter(map(m.emission, ws), dtype=float, count=len(ws)))
-                    parts.append(np.array([np.nan]))
-                    size += len(ws)
-                    i += 1
-                p = m.marginals(np.concatenate(parts))
-                at = 0
-                for k, e in zip(group, parts[::2], strict=True):
-                    mine = p[at : at + len(e)]
-                    at += len(e) + 1
-                    real = ~np.isnan(e)
-                    evidence[k] = m.evidence(mine, int(real.sum()))
-                    if evidence[k, 0] >= 0.5:
-                        bad = mine[real] >= 0.5
-                        text = texts[k]
-                        done = chars = 0
-                        for w, b in zip(WORD.finditer(text), bad, strict=True):
-                            if b:
-                                start = chars + len(text[done : w.start()].decode())
-                                done, chars = w.end(), start + len(w.group().decode())
-                                spans[k].append({"start": start, "end": chars})
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": m.score(evidence), "spans": spans})
+            for at, texts in lots(batch, 1, LOT_BYTES):
+                evidence, spans = judged(m, texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(m.score(evidence)), pa.array(spans, SPANS)], ["doc_id", "score", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInPandas(
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(
         rows, f"doc_id {kind}, score double, spans array<struct<start:int,end:int>>"
     )
 

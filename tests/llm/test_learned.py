@@ -27,7 +27,8 @@ def test_windows_cover_every_byte():
     for n in (0, 1, langid.WINDOW, langid.WINDOW + 1, 3 * langid.STEP, 5000):
         text = bytes(range(1, 252)) * (n // 251 + 1)
         w, covers = langid.windows_of(text[:n])
-        assert b"".join(x[: langid.STEP].tobytes() for x in w)[:n] + w[-1].tobytes()[langid.STEP :] != b"" and len(w) == len(covers)
+        whole = b"".join(x[: langid.STEP].tobytes() for x in w) + w[-1].tobytes()[langid.STEP :]
+        assert whole[:n] == text[:n] and not whole[n:].strip(b"\0") and len(w) == len(covers)
         assert n == 0 or w[-1].tobytes().rstrip(b"\0").endswith(text[:n][-1:])
 
 
@@ -44,6 +45,72 @@ def test_forward_backward_equals_enumeration():
             assert abs(got[at + i] - sum(v for t, v in weight.items() if t[i]) / sum(weight.values())) < 1e-9
 
 
+def test_pieces_end_where_chains_end(prose):
+    for text in (prose(3, 4000).replace(" of ", ". "), prose(4, 4000), "x" * 5000, prose(5, 300) + "é" * 3000 + " " + prose(6, 500)):
+        t = text.encode()
+        cut = list(toxicity.pieces(t, 700))
+        assert b"".join(t[a:b] for a, b in cut) == t
+        assert [c for a, b in cut for c in toxicity.chains(toxicity.tokens(t[a:b]))] == list(toxicity.chains(toxicity.tokens(t)))
+
+
+def test_expected_pairs_and_gradient_equal_enumeration():
+    rng = np.random.default_rng(1)
+    e, n, moves = rng.normal(size=(3, 5)), np.array([5, 2, 1]), rng.normal(size=(2, 2))
+
+    def weight(row, tags, e, moves):
+        return sum(e[row, i] for i, t in enumerate(tags) if t) + sum(moves[a, b] for a, b in zip(tags, tags[1:], strict=False))
+
+    def log_total(e, moves):
+        return sum(np.log(sum(np.exp(weight(r, t, e, moves)) for t in itertools.product((0, 1), repeat=k))) for r, k in enumerate(n))
+
+    p, pairs = toxicity.expectations(e, n, moves)
+    step = 1e-5
+    for r, k in enumerate(n):  # the marginals are the derivatives of the log partition function
+        for i in range(k):
+            d = np.zeros_like(e)
+            d[r, i] = step
+            assert abs((log_total(e + d, moves) - log_total(e - d, moves)) / (2 * step) - p[r, i]) < 1e-6
+    for a, b in itertools.product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[a, b] = step
+        assert abs((log_total(e, moves + d) - log_total(e, moves - d)) / (2 * step) - pairs[a, b]) < 1e-6
+
+
+def test_induced_lexicon_equals_plain_greedy_cover():
+    rng = np.random.default_rng(2)
+    words = [b"ab%d" % i for i in range(12)]
+    docs = [[words[j] for j in rng.choice(12, 4, replace=False)] + [b"doc%d" % i, b"own%d" % i] for i in range(30)]
+    toxic = [words[3] in d or words[7] in d for d in docs]
+    docs = [[w for w in d if bad or w not in words[3:8:4]] for d, bad in zip(docs, toxic, strict=True)]
+    chosen = toxicity.induce(docs, toxic)
+    bad = [set(f for w in d for f in toxicity.features(w)[:-1]) for d, y in zip(docs, toxic, strict=True) if y]
+    good = [set(f for w in d for f in toxicity.features(w)[:-1]) for d, y in zip(docs, toxic, strict=True) if not y]
+    left, plain = list(bad), set()
+    while True:
+        pure = {f for d in left for f in d if sum(f in d for d in bad) >= 2 and sum(f in d for d in good) <= 0.01 * sum(f in d for d in bad)}
+        best = max(pure, key=lambda f: (sum(f in d for d in left), sum(f in d for d in bad), -len(f), f), default=None)
+        if best is None or sum(best in d for d in left) < 2:
+            break
+        plain.add(best)
+        left = [d for d in left if best not in d]
+    assert plain <= chosen and {b"w" + words[3], b"w" + words[7]} <= chosen
+
+
+def test_scores_do_not_depend_on_lots(spark, prose, monkeypatch):
+    rows = toxic_docs(prose)
+    docs = [(i, t) for i, t, _ in rows[:40]] + [(1000, " ".join(t for _, t, _ in rows))]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    every = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(every, labels, F.lit(True))
+    texts = [t.encode() for _, t in docs]
+    whole = toxicity.judged(model, texts)
+    monkeypatch.setattr(toxicity, "LOT_BYTES", 500)
+    monkeypatch.setattr(toxicity, "pieces", lambda t, f=toxicity.pieces: f(t, 500))
+    small = toxicity.judged(model, texts)
+    assert np.allclose(whole[0], small[0]) and whole[1] == small[1] and len(whole[1][-1]) > 100
+    assert toxicity.fit(every, labels, F.lit(True), max_bytes=3000).doc is not None
+
+
 def toxic_docs(prose):
     bad = ["idiot", "moron", "trash", "scum"]
     rows = []
