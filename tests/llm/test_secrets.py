@@ -41,6 +41,30 @@ def test_only_unseen_blobs_and_rules_are_scanned(spark):
     assert {r.doc_id for r in found.where(F.size("found") > 0).collect()} == {1, 2, 4}
 
 
+def test_added_rules_find_more_and_a_long_text_is_whole(spark):
+    text = "-----BEGIN RSA PRIVATE KEY----- at https://me:pass1@host/x "
+    long = "".join(f"é{i} AKIA{'Z' * 12} " for i in range(2000)) + text
+    v = secrets.versions(spark.createDataFrame([(1, text), (2, long), (3, "://x")], "doc_id long, text string"))
+    sets = tuple(secrets.RULE_SETS)
+    ledger = secrets.scan_unseen(v, None, sets)
+    assert ledger.count() == 6
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in secrets.findings(v, ledger, sets).collect()}
+    added = lambda t: [(m.start(), 3, "pem", m.end()) for m in re.finditer(secrets.PEM, t)] + [(m.start(), 4, "login", m.end()) for m in re.finditer(secrets.LOGIN, t)]
+    assert got == {1: added(text), 2: sorted(brute(long) + added(long)), 3: []} and len(got[2]) == 2002 and len(got[1]) == 2
+
+
+def test_history_is_scanned_once(spark):
+    sets = tuple(secrets.RULE_SETS)
+    first = secrets.versions(spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[0]), (3, "clean"), (4, None)], "doc_id long, text string"))
+    later = secrets.redacted(first)
+    assert later.count() == 2 and later.where(F.col("text").contains("[redacted]")).count() == 2
+    ledger = secrets.scan_unseen(first, None, sets)
+    new = secrets.scan_unseen(first.unionByName(later), ledger, sets)
+    assert (ledger.count(), new.count()) == (6, 2)
+    part = ledger.where(F.col("rules") == secrets.RULE_VERSION)  # an older ledger, from before the added rules
+    assert {r.rules: r["count"] for r in secrets.scan_unseen(first, part, sets).groupBy("rules").count().collect()} == {secrets.ADDED_VERSION: 3}
+
+
 def test_odd_rows(spark, odd_docs):
     v = secrets.versions(odd_docs)
     assert secrets.findings(v, secrets.scan_unseen(v)).count() == odd_docs.count()
