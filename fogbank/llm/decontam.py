@@ -6,8 +6,10 @@ longest suffix that occurs in some item. Where that length reaches 13 (or the wh
 words are hit, and the state names the items. Words outside the items' vocabulary, and pairs of neighbours that
 no item has, end any match, so only runs of known pairs need streaming: an exact shortcut.
 
-The items are a query set held in blocks of bounded bytes: a larger benchmark becomes more blocks, each with its
-own automaton, and a document's hits are the union over blocks.
+The items are a query set held in blocks of BLOCK_BYTES, each with its own automaton of flat arrays; a document's hits are
+the union over blocks. A pass over the documents holds at most HELD automata in a worker: a larger benchmark takes more
+passes, each of which leaves only the hit stretches of the documents that have any, and a join by id and text hash brings
+them together.
 
 Null or empty text has no words and no hits; items without words have no window; a null item id counts in hits but
 is written as an empty id; repeated rows are judged alike; empty tables give no rows or no hits.
@@ -16,6 +18,8 @@ is written as an empty id; repeated rows are judged alike; empty tables give no
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from itertools import repeat
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import documents
+from fogbank.llm.common import documents, durable
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Word bytes to their lower case, all others to a space.
@@ -33,7 +37,9 @@ FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lowe
 WINDOW = 13
 MAX_COVERAGE = 0.05
 #: Bytes of item text in one automaton; more items make more blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
+#: Automata that one pass holds: with BLOCK_BYTES some 25 MB each.
+HELD = 8
 PAIR_BITS = 22
 TEXTS_AT_ONCE = 64
 
@@ -48,67 +54,93 @@ class Automaton:
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self._next: list[dict[int, int]] = [{}]
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.names: list[str] = []
         coded = []
         for name, ws in items:
             if ws:
-                coded.append((name, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]))
-        for _, seq in coded:
+                self.names.append(name)
+                coded.append([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws])
+        for seq in coded:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        found: list[set[str]] = [set() for _ in self.next]
-        self.short: dict[tuple[int, int], set[str]] = {}
-        for name, seq in coded:
+        # Items by the state of each of their windows: at most one entry per item word.
+        found: set[tuple[int, int]] = set()
+        self.short: dict[tuple[int, int], list[int]] = {}
+        for k, seq in enumerate(coded):
             s = 0
-            for c in seq:  # an item's prefixes and their suffix links are all its substrings
-                s = t = self.next[s][c]
-                while t > 0 and name not in found[t]:
-                    found[t].add(name)
-                    t = self.link[t]
+            for n, c in enumerate(seq, 1):
+                s = self._next[s][c]
+                if n >= window:
+                    found.add((self.holding(s, window), k))
             if len(seq) < window:
-                self.short.setdefault((s, len(seq)), set()).add(name)
-        self.items = [frozenset(x) for x in found]
+                self.short.setdefault((s, len(seq)), []).append(k)
         self.short_lengths = sorted({n for _, n in self.short})
         self.least = min([window, *self.short_lengths])
+        self.owners, self.owned = (array("i", x) for x in zip(*sorted(found), strict=True)) if found else (array("i"), array("i"))
+        self._pack()
         self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
-        for _, seq in coded:
+        for seq in coded:
             a = np.array(seq, dtype=np.int64)
             self.pairs[self._pair(a[:-1], a[1:])] = True
 
+    def _pack(self) -> None:
+        """The transitions as two flat arrays, sorted by state and word, instead of a dictionary per state."""
+        self.words = len(self.vocab) + 1
+        keys = np.fromiter((s * self.words + c for s, to in enumerate(self._next) for c in to), dtype=np.int64)
+        goes = np.fromiter((t for to in self._next for t in to.values()), dtype=np.int32)
+        order = np.argsort(keys)
+        self.keys, self.goes = array("q", keys[order].tobytes()), array("i", goes[order].tobytes())
+        del self._next
+
+    def step(self, state: int, c: int) -> int:
+        """The state after c, or -1."""
+        key = state * self.words + c
+        i = bisect_left(self.keys, key)
+        return self.goes[i] if i < len(self.keys) and self.keys[i] == key else -1
+
+    def holders(self, state: int) -> set[str]:
+        """The items that have the window of this state."""
+        i, out = bisect_left(self.owners, state), set()
+        while i < len(self.owners) and self.owners[i] == state:
+            out.add(self.names[self.owned[i]])
+            i += 1
+        return out
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * 2654435761 + b * 40503) & ((1 << PAIR_BITS) - 1)
 
     def _extend(self, last: int, c: int) -> int:
         """Append c after state last; reuses states that other items made."""
-        if (q := self.next[last].get(c)) is not None:
+        if (q := self._next[last].get(c)) is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, c)
         new = self._state(self.length[last] + 1, {})
         p = last
-        while p != -1 and c not in self.next[p]:
-            self.next[p][c] = new
+        while p != -1 and c not in self._next[p]:
+            self._next[p][c] = new
             p = self.link[p]
         if p == -1:
             self.link[new] = 0
         else:
-            q = self.next[p][c]
+            q = self._next[p][c]
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return new
 
     def _state(self, length: int, to: dict[int, int]) -> int:
-        self.next.append(to)
+        self._next.append(to)
         self.link.append(0)
         self.length.append(length)
-        return len(self.next) - 1
+        return len(self._next) - 1
 
     def _split(self, p: int, q: int, c: int) -> int:
         """The part of state q that follows p becomes a state of its own."""
-        part = self._state(self.length[p] + 1, dict(self.next[q]))
+        part = self._state(self.length[p] + 1, dict(self._next[q]))
         self.link[part], self.link[q] = self.link[q], part
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = part
+        while p != -1 and self._next[p].get(c) == q:
+            self._next[p][c] = part
             p = self.link[p]
         return part
 
@@ -139,23 +171,20 @@ class Automaton:
         for start, end in self.runs(ids):
             state = matched = 0
             for i, c in enumerate(ids[start:end].tolist(), start):
-                while state and c not in self.next[state]:
+                while (to := self.step(state, c)) < 0 and state:
                     state = self.link[state]
                     matched = self.length[state]
-                if c in self.next[state]:
-                    state, matched = self.next[state][c], matched + 1
-                else:
-                    matched = 0
+                state, matched = (to, matched + 1) if to >= 0 else (0, 0)
                 longest = max(longest, matched)
                 if matched >= self.window:
                     hit[i + 1 - self.window : i + 1] = True
-                    items |= self.items[self.holding(state, self.window)]
+                    items |= self.holders(self.holding(state, self.window))
                 for n in self.short_lengths:
                     if n > matched:
                         break
                     if found := self.short.get((self.holding(state, n), n)):
                         hit[i + 1 - n : i + 1] = True
-                        items |= found
+                        items.update(self.names[k] for k in found)
         return items, longest
 
 
@@ -179,28 +208,57 @@ def judge(docs: DataFrame, blocks: list, id_col: str = "doc_id", text_col: str =
     cleaned is the text without its hit spans where the hit words reach max_coverage of all words, else null: the
     text is to be kept as it is.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    several = len(blocks) > HELD
+    if several:
+        rows = with_hits(rows, blocks)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = verdicts(batch["t"].tolist(), blocks, max_coverage)
+            known = list(zip(batch["hits"], batch["names"], batch["longest"], strict=True)) if several else None
+            found = verdicts(batch["t"].tolist(), [] if several else blocks, max_coverage, known)
             yield pd.DataFrame([(d, *v) for d, v in zip(batch["doc_id"], found, strict=True)], columns=["doc_id", *VERDICT])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInPandas(
-        rows, f"doc_id {kind}, n_words long, n_hit long, items array<string>, longest int, contaminated boolean, cleaned string"
-    )
+    return rows.mapInPandas(judged, f"doc_id {kind}, n_words long, n_hit long, items array<string>, longest int, contaminated boolean, cleaned string")
+
+
+def with_hits(rows: DataFrame, blocks: list) -> DataFrame:
+    """rows (doc_id, t) with hits (first and last word of each hit stretch, in turn), names and longest over all blocks."""
+    key = lambda df: df.withColumn("h", F.sha2("t", 256))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    parts = None
+    for i in range(0, len(blocks), HELD):
+        group = blocks[i : i + HELD]
+
+        def one_pass(batches: Iterator[pd.DataFrame], group=group) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for d, h, (hit, names, longest) in zip(batch["doc_id"], batch["h"], matches(batch["t"].tolist(), group), strict=True):
+                    if longest:
+                        edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+                        out.append((d, h, edge.astype(np.int32), sorted(names), longest))
+                yield pd.DataFrame(out, columns=["doc_id", "h", "hits", "names", "longest"])
+
+        part = durable(key(rows).mapInPandas(one_pass, f"doc_id {kind}, h string, hits array<int>, names array<string>, longest int"))
+        for b in group:
+            b.unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    # A document has one row per pass here; repeated rows give the same ones.
+    merged = parts.distinct().groupBy("doc_id", "h").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("names")).alias("names"), F.max("longest").alias("longest"))
+    merged = merged.withColumnsRenamed({"doc_id": "doc_of", "h": "h_of"})
+    joined = key(rows).join(merged, F.col("doc_id").eqNullSafe(F.col("doc_of")) & F.col("h").eqNullSafe(F.col("h_of")), "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return joined.select("doc_id", "t", none("hits", "array<int>"), none("names", "array<string>"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
 VERDICT = ["n_words", "n_hit", "items", "longest", "contaminated", "cleaned"]
 
 
-def verdicts(texts: list[bytes | None], blocks: list, max_coverage: float = MAX_COVERAGE) -> list[tuple]:
-    """VERDICT of each text; TEXTS_AT_ONCE of them are split into words at a time, which bounds the memory."""
-    share = Fraction(str(max_coverage))
-    out = []
+def matches(texts: list[bytes | None], blocks: list) -> Iterator[tuple[np.ndarray, set[str], int]]:
+    """The hit words, items and longest match of each text; TEXTS_AT_ONCE are split at a time, which bounds the memory."""
     for i in range(0, len(texts), TEXTS_AT_ONCE):
-        part = texts[i : i + TEXTS_AT_ONCE]
-        split = [words(t) for t in part]
+        split = [words(t) for t in texts[i : i + TEXTS_AT_ONCE]]
         hits = [np.zeros(len(w), dtype=bool) for w in split]
         items: list[set[str]] = [set() for _ in split]
         longest = [0] * len(split)
@@ -211,10 +269,22 @@ def verdicts(texts: list[bytes | None], blocks: list, max_coverage: float = MAX_
                 found, n = sam.stream(ids, hits[k])
                 items[k] |= found
                 longest[k] = max(longest[k], n)
-        for text, hit, names, n in zip(part, hits, items, longest, strict=True):
-            n_hit = int(hit.sum())
-            bad = n_hit > 0 and n_hit * share.denominator >= share.numerator * len(hit)
-            out.append((len(hit), n_hit, sorted(names), n, bad, without(text, hit) if bad else None))
+        yield from zip(hits, items, longest, strict=True)
+
+
+def verdicts(texts: list[bytes | None], blocks: list, max_coverage: float = MAX_COVERAGE, known: list | None = None) -> list[tuple]:
+    """VERDICT of each text, from the blocks and from what is known of it: hit stretches, items and longest match."""
+    share = Fraction(str(max_coverage))
+    out = []
+    for k, (text, (hit, names, n)) in enumerate(zip(texts, matches(texts, blocks), strict=True)):
+        if known:
+            stretches, more, longest = known[k]
+            for a, b in zip(stretches[::2], stretches[1::2], strict=True):
+                hit[a:b] = True
+            names, n = names | set(more), max(n, int(longest))
+        n_hit = int(hit.sum())
+        bad = n_hit > 0 and n_hit * share.denominator >= share.numerator * len(hit)
+        out.append((len(hit), n_hit, sorted(names), n, bad, without(text, hit) if bad else None))
     return out
 
 
@@ -238,6 +308,15 @@ def contaminated(docs: DataFrame, blocks: list, text_col: str = "text", max_cove
     return bad(F.col(text_col).cast("binary"))
 
 
+def uncontaminated(docs: DataFrame, blocks: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text isn't contaminated; they stay where they are, unless the blocks take several passes."""
+    if len(blocks) <= HELD:
+        return docs.where(~contaminated(docs, blocks, text_col))
+    of_text = F.sha2(F.col(text_col).cast("binary"), 256)  # the verdict depends on the text only
+    bad = judge(docs.select(of_text.alias("doc_id"), F.col(text_col).alias("text")), blocks).where("contaminated")
+    return docs.join(bad.select(F.col("doc_id").alias("bad_text")).distinct(), of_text == F.col("bad_text"), "left_anti")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return judge(documents(spark, sf_dir), blocks).select(

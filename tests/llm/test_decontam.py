@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fogbank.llm import decontam
@@ -51,6 +52,27 @@ def test_hits_equal_brute_force(spark, cases, block):
     assert got == want and any(w[3] for w in want.values()) and len(blocks) == (1 if block > 1000 else len(blocks))
 
 
+def test_several_passes_give_the_same(spark, cases, monkeypatch):
+    docs, items = cases
+    monkeypatch.setattr(decontam, "HELD", 2)
+    items, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([*docs, docs[1], (None, docs[3][1]), (77, None)], "doc_id long, text string")
+    blocks = decontam.automata(items, block_bytes=200)
+    assert len(blocks) > 4
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontam.judge(df, blocks).where("doc_id < 77").collect()}
+    assert got == brute(*cases) and decontam.judge(df, blocks).count() == len(docs) + 3
+    left = decontam.uncontaminated(df, blocks)
+    monkeypatch.setattr(decontam, "HELD", 1000)
+    assert sorted(map(str, left.collect())) == sorted(map(str, decontam.uncontaminated(df, decontam.automata(items, block_bytes=200)).collect()))
+
+
+def test_a_very_long_item(spark, prose):
+    item = prose(8, 20_000)
+    sam = decontam.Automaton([("a", decontam.words(item.encode())), ("b", decontam.words(prose(9, 50).encode()))])
+    ids = np.array([sam.vocab.get(w, 0) for w in decontam.words(("x " + item + " x").encode())])
+    hit = np.zeros(len(ids), dtype=bool)
+    assert sam.stream(ids, hit) == ({"a"}, len(ids) - 2) and hit.sum() == len(ids) - 2
+
+
 def test_cleaning_removes_only_hit_words(spark):
     item = " ".join(f"w{i}" for i in range(13))
     blocks = decontam.automata(spark.createDataFrame([(1, item)], "item_id long, text string"))
