@@ -8,12 +8,14 @@ anchor at the same shift, and 7 + 6 words fit into 13. So:
 1. Documents are dealt to parts by a hash of their id. Each part sends the hashes of its distinct anchors to buckets;
    a bucket answers each part with those that other parts have as well.
 2. Windows that contain such an anchor (or one that two of the part's own documents share) are the candidates: the
-   anchor extends to the 13 words around it. Each part sends its candidates' 64-bit hashes, under their smallest
+   anchor extends to the 13 words around it. Each part sends its candidates' 128-bit hashes, under their smallest
    document; a bucket answers with those that a smaller document elsewhere has.
 3. Each part marks the words that such windows, or windows of a smaller document of its own, cover.
 
 A hash is sent once per part, not per document, so passages that very many documents share and large groups of copies
-cost one row per part. Bucket and hash are independent 64-bit values, anchors only select, so 32 bits of them do.
+cost one row per part. Anchors only select, so 32 bits of a hash do; windows decide, by two independent 64-bit sums over
+128-bit hashes of their words: 10**13 windows have a colliding pair with a probability of about 10**-13. A part is at most
+PART_BYTES of text, or one longer document, and takes some 100 bytes a word.
 
 Words are runs of non-white-space, unchanged. Windows are judged on the input. Null text has no words; a text of fewer
 than 13 words keeps all; rows with one id don't remove each other's words; a null id counts as the largest; an empty
@@ -24,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank.llm.common import documents, partitions
-from fogbank.llm.minhash import WordHashes, mixed
+from fogbank.llm.minhash import mixed
 
 WINDOW = 13
 PERIOD = 7
@@ -42,6 +45,16 @@ _BASE = np.uint64(0x9E6C63D0676A9A99)
 _BUCKET = np.uint64(0xD1342543DE82EF95)
 
 
+class WordDigests(dict):
+    """128-bit hashes of words as bytes; forgets all when it holds too many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 100_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_128_digest(word)
+        return h
+
+
 class Part:
     """The documents of one part in id order, as one long array of word hashes."""
 
@@ -52,24 +65,26 @@ class Part:
         texts = pdf["t"].tolist()
         self.texts = [texts[i] for i in order]
         self.known = pdf["known"].to_numpy()[order]
-        hashes = WordHashes()
-        pieces = []
+        digests = WordDigests()
+        size, pieces = [], []
         for t in self.texts:
             ws = t.split() if t else []
-            pieces.append(np.fromiter(map(hashes.__getitem__, ws), dtype=np.uint64, count=len(ws)))
-        self.size = np.array([len(p) for p in pieces], dtype=np.int64)
+            size.append(len(ws))
+            pieces.append(b"".join(map(digests.__getitem__, ws)))
+        self.size = np.array(size, dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
-        h = np.concatenate([*pieces, np.empty(0, dtype=np.uint64)])
+        h = np.frombuffer(b"".join(pieces), dtype=np.uint64).reshape(-1, 2)
         n = len(h)
-        self.doc = np.repeat(np.arange(len(pieces)), self.size)
+        self.doc = np.repeat(np.arange(len(size)), self.size)
         self.at = np.arange(n) - self.start[self.doc] if n else np.empty(0, dtype=np.int64)
         self.left = self.size[self.doc] - self.at if n else np.empty(0, dtype=np.int64)
         # h[0] + h[1] * b + ...: a stretch's sum, divided by the power at its start, depends on its words only
-        self.power = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, _BASE))))
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * self.power[:n], dtype=np.uint64)))
+        power = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, _BASE))))[:n]
+        self.sums = [np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h[:, k] * power, dtype=np.uint64))) for k in (0, 1)]
 
-    def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
-        raw = (self.sums[starts + length] - self.sums[starts]) * _inverse_powers(len(self.power))[starts]
+    def hashes(self, starts: np.ndarray, length: int, k: int = 0) -> np.ndarray:
+        """The hashes of the stretches that begin at starts; k: which of the two independent ones."""
+        raw = (self.sums[k][starts + length] - self.sums[k][starts]) * _inverse_powers(len(self.sums[k]))[starts]
         return mixed(raw + np.uint64(length))
 
     def anchors(self) -> np.ndarray:
@@ -91,6 +106,29 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _inverse
 
 
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal rows together, earlier ones first, and where a group of it begins; the last key counts most."""
+    order = np.lexsort(keys)
+    first = np.ones(len(order), dtype=bool)
+    if len(order):
+        first[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, first
+
+
+def _among(x: np.ndarray, y: np.ndarray, answers: list[np.ndarray]) -> np.ndarray:
+    """Whether each pair of hashes (x, y) is one of the answers (rows of two)."""
+    known = np.concatenate(answers)
+    out = np.isin(x, known[:, 0])
+    some = np.flatnonzero(out)
+    order, first = _grouped(np.concatenate((known[:, 1], y[some])), np.concatenate((known[:, 0], x[some])))
+    # known rows come first, so a group that has one begins with one
+    out[some] = False
+    hit = (order[first] < len(known))[np.cumsum(first) - 1]
+    mine = order >= len(known)
+    out[some[order[mine] - len(known)]] = hit[mine]
+    return out
+
+
 def _anchor_keys(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket in the upper, 32 bits of the hash in the lower half."""
     return (mixed(h * _BUCKET) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
@@ -163,11 +201,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         upto = np.concatenate(([0], np.cumsum(_shared_anchors(part, answers, buckets))))
         w = part.windows()
         w = w[upto[w + PERIOD] > upto[w]]  # the anchor starts at one of the window's first 7 words
-        h, first = np.unique(part.hashes(w, WINDOW), return_index=True)
-        doc = part.doc[w[first]]  # the first occurrence is in the smallest document
-        bucket = (mixed(h * _BUCKET) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((h, doc, bucket))
-        h, doc, bucket = h[order], doc[order], bucket[order]
+        x, y = part.hashes(w, WINDOW), part.hashes(w, WINDOW, 1)
+        order, first = _grouped(y, x)
+        some = order[first]  # the first occurrence is in the smallest document
+        x, y, doc = x[some], y[some], part.doc[w[some]]
+        bucket = (mixed(x * _BUCKET) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((x, doc, bucket))
+        h, doc, bucket = np.stack((x[order], y[order]), 1), doc[order], bucket[order]
         out = []
         for b, i, j in _by_bucket(bucket):
             ds, n = np.unique(doc[i:j], return_counts=True)
@@ -175,13 +215,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=columns)
 
     def answer_windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = [np.frombuffer(v, dtype=np.uint64) for v in pdf["vals"]]
+        h = [np.frombuffer(v, dtype=np.uint64).reshape(-1, 2) for v in pdf["vals"]]
         doc = [np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(n, dtype=np.int32)) for d, n in zip(pdf["docs"], pdf["counts"], strict=True)]
         hs, ds = np.concatenate(h), np.concatenate(doc)
-        order = np.lexsort((ds, hs))
-        first = np.concatenate(([True], hs[order][1:] != hs[order][:-1]))
+        order, first = _grouped(hs[:, 1], hs[:, 0])
         least = np.empty(len(hs), dtype=np.int64)
-        least[order] = ds[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+        least[order] = np.minimum.reduceat(ds[order], np.flatnonzero(first))[np.cumsum(first) - 1]
         out, at = [], 0
         for p, v, d in zip(pdf["part"], h, doc, strict=True):
             hit = v[least[at : at + len(v)] < d]
@@ -196,12 +235,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pd.DataFrame([], columns=columns)
         part = Part(pdf)
         w = part.windows()
-        h = part.hashes(w, WINDOW)
+        x, y = part.hashes(w, WINDOW), part.hashes(w, WINDOW, 1)
         mine = part.ids[part.doc[w]] if len(w) else np.empty(0, dtype=np.int64)
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        gone = mine[first][back] < mine if len(w) else np.empty(0, dtype=bool)
+        order, first = _grouped(y, x)
+        gone = np.zeros(len(w), dtype=bool)
+        gone[order] = mine[order[first]][np.cumsum(first) - 1] < mine[order] if len(w) else False
         if len(answers) and len(w):
-            gone |= np.isin(h, np.concatenate([np.frombuffer(v, dtype=np.uint64) for v in answers["vals"]]))
+            gone |= _among(x, y, [np.frombuffer(v, dtype=np.uint64).reshape(-1, 2) for v in answers["vals"]])
         edge = np.zeros(len(part.doc) + 1, dtype=np.int64)
         np.add.at(edge, w[gone], 1)
         np.add.at(edge, w[gone] + WINDOW, -1)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from fogbank.llm import substring
@@ -40,6 +42,21 @@ def test_removal_equals_brute_force(spark, corpus):
     assert got == want and sum(n for _, n, _ in want.values()) > 300
 
 
+def test_windows_that_share_one_hash_are_told_apart(spark, corpus, monkeypatch):
+    hashes = substring.Part.hashes
+    monkeypatch.setattr(substring.Part, "hashes", lambda self, at, n, k=0: hashes(self, at, n, k) % np.uint64(50) if n == substring.WINDOW and not k else hashes(self, at, n, k))
+    ids, texts = zip(*corpus, strict=True)
+    part = substring.Part(pd.DataFrame({"id": ids, "t": [t.encode() for t in texts], "known": True}))
+    w = part.windows()
+    order, first = substring._grouped(part.hashes(w, 13, 1), part.hashes(w, 13))
+    words = [" ".join(t.split()[k : k + 13]) for t in texts for k in range(len(t.split()) - 12)]
+    assert first.sum() == len(set(words)) and len({words[i] for i in order[first]}) == first.sum()
+    some = order[first][::2]
+    answers = [np.stack((part.hashes(w[some], 13), part.hashes(w[some], 13, 1)), 1)]
+    known = {words[i] for i in some}
+    assert substring._among(part.hashes(w, 13), part.hashes(w, 13, 1), answers).tolist() == [x in known for x in words]
+
+
 def test_any_two_positions_share_an_anchor():
     for i in range(7):
         for j in range(7):
