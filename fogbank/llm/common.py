@@ -33,12 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def durable(df: DataFrame, scratch: list | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The frame is added to ``scratch``, if given, for release() once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fogbank-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        scratch.append((spark, path))
+    return out
+
+
+def release(scratch: list) -> None:
+    """Delete the files of durable frames that are read no more."""
+    while scratch:
+        spark, path = scratch.pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lots(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int, list]]:

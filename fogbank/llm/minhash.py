@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import documents, durable
+from fogbank.llm.common import documents, durable, release
 
 SHINGLE = 5
 CHUNKS, WIDTH = 9, 4
@@ -41,6 +41,8 @@ RADIUS = 2 * CHUNKS - 1
 #: Differing positions beyond which a pair isn't compared: P(more | similarity 0.75) is about 1e-7.
 FAR = 23
 BLOCK = 256
+#: Bytes of text in a part of a block, about: longer texts make smaller parts.
+BLOCK_BYTES = 8 << 20
 REFINE = 4096
 #: Ids that may be broadcast to filter documents: 8 bytes each.
 FEW_IDS = 100_000
@@ -101,7 +103,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's 128-bit hash), sig."""
+    """doc_id, n_shingles, size (bytes of text), h1, h2 (the set's 128-bit hash), sig."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -110,11 +112,11 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for doc, text in zip(batch["doc_id"], batch["t"], strict=True):
                 s = shingles(text, hashes)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
-                out.append((doc, len(s), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), signature(s) if len(s) else b""))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "h1", "h2", "sig"])
+                out.append((doc, len(s), len(text or b""), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), signature(s) if len(s) else b""))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "size", "h1", "h2", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInPandas(
-        rows, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+        rows, "doc_id long, n_shingles long, size long, h1 long, h2 long, sig binary"
     )
 
 
@@ -158,8 +160,7 @@ def refined(members: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked; docs: doc_id, text."""
-    pairs = durable(pairs)
+    """The pairs (a, b), written down, whose full sets are linked; docs: doc_id, text."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select("doc_id", "t")
     if ids.count() <= FEW_IDS:
@@ -195,18 +196,24 @@ def near(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return with_a.select("a", "b", "sa", "sb").mapInPandas(rows, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list | None = None) -> DataFrame:
     """id, label (the smallest id reachable) for every id in edges (a, b)."""
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    own, last = [], []
+    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), own)
+    labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), last)
     while True:
         # the least label among the neighbours, then the label of that label
         around = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(around, labels["id"] == around["a"]).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = durable(lower.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        new = durable(lower.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), own)
+        release(last)
+        last.append(own.pop())
         labels = new.select("id", "label")
         if not new.where(F.col("old") != F.col("label")).limit(1).count():
+            release(own)
+            if scratch is not None:
+                scratch += last
             return labels
 
 
@@ -297,64 +304,71 @@ def sets_in_blocks(rows: DataFrame, confirm: bool) -> DataFrame:
     return rows.mapInPandas(links, "a long, b long") if confirm else rows.mapInPandas(members, "key long, top int, cid long")
 
 
-def dealt(members: DataFrame, block: int) -> DataFrame:
-    """Members (key, top, cid, label, sig, ...) in blocks: i, j, part, major are added; rows are sorted by block."""
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top_label"), F.sum("n").alias("all"), F.count("*").alias("labels"))
+def dealt(members: DataFrame, block: int, block_bytes: int, scratch: list) -> DataFrame:
+    """Members (key, top, cid, label, sig, size, ...) in blocks: i, j, part, major are added; rows are sorted by block.
+
+    A part has about ``block`` members, or fewer where their texts would pass block_bytes.
+    """
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    totals = sizes.groupBy("key").agg(F.max(F.struct("n", "label", "bytes")).alias("top_label"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"), F.count("*").alias("labels"))
     # Written down, so that both sides of the join are plain shuffles: Spark can then split a huge bucket.
-    totals = durable(totals.where(F.col("labels") > 1).select("key", F.col("top_label.label").alias("big"), F.col("top_label.n").alias("big_n"), "all"))
+    parts = lambda n, size: F.ceil(F.greatest(n / block, size / block_bytes)).cast("int")
+    top = F.col("top_label")
+    totals = durable(totals.where(F.col("labels") > 1).select("key", top["label"].alias("big"), parts(F.col("all") - top["n"], F.col("all_bytes") - top["bytes"]).alias("p"), parts(top["n"], top["bytes"]).alias("q")), scratch)
     rows = members.join(totals, "key").withColumn("major", F.col("label") == F.col("big"))
     # Minor rows are dealt in parts 0..p-1, major rows in parts p..p+q-1; blocks are the pairs of parts with a minor one.
-    p = F.ceil((F.col("all") - F.col("big_n")) / block).cast("int")
-    q = F.ceil(F.col("big_n") / block).cast("int")
     h = F.xxhash64("cid")
-    rows = rows.withColumn("p", p).withColumn("q", q)
     rows = rows.withColumn("part", F.when(F.col("major"), F.col("p") + F.pmod(h, "q")).otherwise(F.pmod(h, "p")).cast("int"))
     # A minor row meets every part, a major row the minor parts.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("major"), F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1))))
-    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "p", "q", "big", "big_n", "all")
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "p", "q", "big")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid")
 
 
-def remaining_links(members: DataFrame, signatures: DataFrame, texts: DataFrame, block: int = BLOCK, refine: int = REFINE) -> DataFrame:
+def remaining_links(members: DataFrame, signatures: DataFrame, texts: DataFrame, block: int = BLOCK, refine: int = REFINE, block_bytes: int = BLOCK_BYTES, scratch: list | None = None) -> DataFrame:
     """Confirmed links between different labels of a bucket; members: key, cid, label."""
+    scratch = [] if scratch is None else scratch
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
     mixed_keys = sizes.agg((F.sum("n") - F.max("n")).alias("minor"), F.count("*").alias("labels")).where(F.col("labels") > 1)
-    mixed_keys = durable(mixed_keys)
+    mixed_keys = durable(mixed_keys, scratch)
     top = F.shiftrightunsigned("key", 48).cast("int").alias("top")
-    rows = members.join(mixed_keys.select("key", "minor"), "key").join(signatures.select("cid", "sig"), "cid").select("key", top, "cid", "label", "sig", "minor")
-    rows = durable(rows)
+    rows = members.join(mixed_keys.select("key", "minor"), "key").join(signatures.select("cid", "sig", "size"), "cid").select("key", top, "cid", "label", "sig", "size", "minor")
+    rows = durable(rows, scratch)
     usual = rows.where(F.col("minor") <= refine).drop("minor")
     huge = rows.where(F.col("minor") > refine).drop("minor")
     if huge.limit(1).count():
         usual = usual.unionByName(refined(huge))
-    some = sets_in_blocks(dealt(usual, block), confirm=False).distinct()
-    chosen = durable(usual.join(some, ["key", "top", "cid"], "left_semi").distinct())
+    # The first comparison needs no texts, so only the number of members bounds its blocks.
+    some = sets_in_blocks(dealt(usual.withColumn("size", F.lit(0)), block, block_bytes, scratch), confirm=False).distinct()
+    chosen = durable(usual.join(some, ["key", "top", "cid"], "left_semi").distinct(), scratch)
     ids = chosen.select("cid").distinct()
     docs = texts
     if ids.count() <= FEW_IDS:
         docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("cid"), "left_semi")
     with_text = chosen.join(docs.select(F.col("doc_id").alias("cid"), "t"), "cid")
-    return sets_in_blocks(dealt(with_text, block), confirm=True)
+    return sets_in_blocks(dealt(with_text, block, block_bytes, scratch), confirm=True)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, refine: int = REFINE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, refine: int = REFINE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
+    scratch: list = []
     profile = durable(profiles(docs, id_col, text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     some = F.col("n_shingles") > 0
-    classes = durable(profile.where(some).groupBy("h1", "h2").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")))
+    classes = durable(profile.where(some).groupBy("h1", "h2").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.max("size").alias("size")))
     buckets = index(classes)
     shared = buckets.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least <> most")
-    members = durable(buckets.join(shared, "key"))
+    members = durable(buckets.join(shared, "key"), scratch)
     star = members.select(F.col("least").alias("a"), F.col("cid").alias("b")).union(members.select(F.col("most").alias("a"), F.col("cid").alias("b")))
     star = star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = durable(confirmed(near(star, classes), texts))
+    pairs = durable(near(star, classes), scratch)
+    links = durable(confirmed(pairs, texts), scratch)
     label = components(links)
     labelled = members.select("key", "cid").join(label, F.col("cid") == F.col("id"), "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    more = durable(remaining_links(labelled, classes, texts, block, refine))
+    more = durable(remaining_links(labelled, classes, texts, block, refine, block_bytes, scratch), scratch)
     if more.limit(1).count():
         label = components(links.union(more))
+    release(scratch)  # what follows reads the profiles, classes and labels only
     named = classes.select("h1", "h2", "cid").join(label, F.col("cid") == F.col("id"), "left").select("h1", "h2", F.coalesce("label", "cid").alias("component"))
     empty = profile.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = profile.where(some).join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from fogbank.llm import minhash
+from fogbank.llm import common, minhash
 
 
 def brute(docs):
@@ -52,14 +52,23 @@ def corpus(prose):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block,refine", [(256, 4096), (3, 2)])
-def test_components_equal_brute_force(spark, corpus, block, refine):
+@pytest.mark.parametrize("block,refine,block_bytes", [(256, 4096, 8 << 20), (3, 2, 8 << 20), (256, 4096, 3000)])
+def test_components_equal_brute_force(spark, corpus, block, refine, block_bytes):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, block=block, refine=refine).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, block=block, refine=refine, block_bytes=block_bytes).collect()}
     want = brute(corpus)
     assert got == want and len({c for _, c in want.values()}) < len(corpus) - 40
 
 
+def test_scratch_is_released(spark, corpus):
+    from pathlib import Path
+
+    at = lambda: {p.name for p in Path(common.shared_dir(spark).removeprefix("file://")).iterdir()}
+    before = at()
+    got = minhash.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string"))
+    assert len(at() - before) <= 4 and got.count() == len(corpus)
+
+
 def test_index_meets_every_pair_within_the_radius():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 16, minhash.K, dtype=np.uint16)
