@@ -7,8 +7,9 @@ Two texts' samples agree with probability sum(min weights) / sum(max weights), t
 A sample is kept as 16 bits, a fingerprint is their hexadecimal text.
 
 The query edits each text with its successor in descending id order. Ids are cut into blocks at approximate
-quantiles (at most one per shuffle partition), each block is sorted and streamed, and the first document of a block
-is sent to the block before it as well, so no order over the whole table is needed and memory is one Arrow batch.
+quantiles (one per shuffle partition, or more where a block would pass BLOCK_BYTES), each block is a partition that is
+sorted and streamed, and the first document of a block is sent to the block before it as well, so no order over the whole
+table is needed and memory is one Arrow batch.
 
 Null text is the empty text; a text without words has the empty fingerprint word "-" repeated (two of them agree);
 equal texts have equal fingerprints; rows with one id are ordered by text; a null id comes last; a lone document
@@ -32,6 +33,8 @@ from fogbank.llm.common import documents, partitions
 SAMPLES = 64
 CACHE_WORDS = 30_000
 MAX_BLOCKS = 10_000
+#: Bytes of text in a block, about, however few shuffle partitions are set.
+BLOCK_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 EMPTY = "-" * (4 * SAMPLES)
 
@@ -138,7 +141,8 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Each document's fingerprint, its edit's, and their likeness; the successor is next in descending id order."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    n = min(MAX_BLOCKS, blocks or partitions(spark))
+    size = 0 if blocks else rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    n = min(MAX_BLOCKS, blocks or max(partitions(spark), -(-size // BLOCK_BYTES)))
     # At most n ids come to the driver.
     cuts = rows.agg(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n + 1)]), 100 * n).alias("q"), F.max("id").alias("m")).first()
     tops = np.array(sorted({*(cuts.q or []), *([] if cuts.m is None else [cuts.m])}), dtype=np.int64)  # the highest id of each block
@@ -151,7 +155,8 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A block's first document also ends the block above it; the very first ends the last.
     ahead = own.where(F.col("id").isin([int(x) for x in tops])).withColumn("block", F.pmod(F.col("block") + 1, F.lit(max(1, len(tops)))))
     both = own.withColumn("own", F.lit(0)).unionByName(ahead.withColumn("own", F.lit(1)))
-    placed = both.repartition(n, "block").sortWithinPartitions("block", "own", F.col("id").desc(), "t")
+    # A block is a partition: no two of them meet in one task by chance.
+    placed = both.repartitionById(max(1, len(tops)), F.col("block")).sortWithinPartitions("block", "own", F.col("id").desc(), "t")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler()

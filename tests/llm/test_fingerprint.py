@@ -1,7 +1,10 @@
+import hashlib
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from fogbank.llm import fingerprint
 
@@ -37,6 +40,47 @@ def test_successors(spark, prose, blocks):
         assert got[i].near_next == fingerprint.likeness(s.fingerprint(text), s.fingerprint(following))
 
 
+def slow_fingerprint(text):
+    """The same samples, one word and one hash function at a time, from the definition."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    counts = Counter("".join(c.lower() if "A" <= c <= "Z" else c for c in text).split())
+    out = ""
+    for k in range(1, fingerprint.SAMPLES + 1):
+        best = None
+        for word, n in counts.items():
+            h = xxhash.xxh3_64_intdigest(word.encode())
+            seed = mix((h + k * 0x9E3779B97F4A7C15) & mask)
+            u = [((mix((seed + i * 0x632BE59BD9B4E019) & mask) >> 40) + 0.5) / 2**24 for i in range(1, 6)]
+            r, c, b = -math.log(u[0]) - math.log(u[1]), -math.log(u[2]) - math.log(u[3]), u[4]
+            t = math.floor(math.log(n) / r + b)
+            score = c * math.exp(-r * (t - b + 1))
+            if best is None or score < best[0]:
+                best = (score, mix(h + mix((t + 1) & mask) & mask) >> 48)
+        out += f"{best[1]:04x}"
+    return out
+
+
+def test_query_columns_equal_a_slow_version(spark, prose):
+    docs = [(i, ("Ü " if i % 3 else "") + prose(i, 5 + 4 * i) + " same same Same") for i in range(12)]
+    got = {r.doc_id: r for r in fingerprint.with_successors(spark.createDataFrame(docs, "doc_id long, text string"), blocks=3).collect()}
+    share = lambda a, b: sum(a[4 * k : 4 * k + 4] == b[4 * k : 4 * k + 4] for k in range(fingerprint.SAMPLES)) / fingerprint.SAMPLES
+    for i, text in docs:
+        following = docs[i - 1][1]
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        a, b, c = slow_fingerprint(text), slow_fingerprint(changed), slow_fingerprint(following)
+        # The operator draws in single precision: a near tie may fall to the other word.
+        assert share(a, got[i].fingerprint) >= 0.98 and share(b, got[i].edited_fingerprint) >= 0.98
+        assert abs(got[i].near_edited - share(a, b)) <= 0.04 and abs(got[i].near_next - share(a, c)) <= 0.04
+
+
 def test_odd_rows(spark, odd_docs):
     got = fingerprint.with_successors(odd_docs).collect()
     assert len(got) == odd_docs.count()
