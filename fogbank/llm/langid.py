@@ -5,9 +5,10 @@ widest filter less one byte, so no n-gram is lost). Bytes are embedded, filters
 each filter's maximum over the window goes through ReLU to a softmax layer. A document's probabilities are the mean
 over its windows, weighted by their bytes, so the whole text counts.
 
-Training uses at most ``max_rows`` labelled rows (the least by a hash of their id) and ``windows_per_row`` windows of
-each, spread evenly over its text: a documented bound, so the fit is the same work at any corpus size. Prediction
-covers every document.
+Training uses at most ``max_rows`` labelled rows, shared evenly among the languages so that rare ones are learned (of each
+the least by a hash of their id), and ``windows_per_row`` windows of each, spread evenly over its text: a documented
+bound, so the fit is the same work at any corpus size. The MAX_LANGS most frequent languages are learned. Prediction covers
+every document and makes Python objects of LOT_BYTES of text at a time.
 
 Null text or text without a letter is ``und`` with score 0; with no labelled row at all everything is ``und``;
 repeated rows are predicted alike; an empty table gives no rows.
@@ -21,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fogbank.llm.common import documents, id_remainder, least_by_hash
+from fogbank.llm.common import documents, id_remainder, lots
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -32,6 +34,8 @@ FILTERS = 10
 EMBED = 8
 MAX_ROWS = 3000
 WINDOWS_PER_ROW = 3
+MAX_LANGS = 200
+LOT_BYTES = 4 << 20
 EPOCHS = 4
 BATCH = 64
 #: Windows that go through the filters at once.
@@ -82,8 +86,25 @@ def width_mask() -> np.ndarray:
     return (rows < np.repeat(WIDTHS, FILTERS)[None, :] * EMBED).astype(np.float32)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted cross-entropy; the pooling passes them to each filter's best position only."""
+    top, at = net.pooled(x)
+    hidden = np.maximum(top, 0)
+    d = softmax(hidden @ net.dense + net.dense_bias)
+    d[np.arange(len(y)), y] -= 1
+    d *= weight[:, None]
+    back = (d @ net.dense.T) * (top > 0)
+    best = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(max(WIDTHS))]  # window, filter, offset
+    seen = net.embed[best].reshape(len(x), mask.shape[1], -1)
+    out = {"dense": hidden.T @ d, "dense_bias": d.sum(0), "bias": back.sum(0), "filters": np.einsum("bf,bfk->kf", back, seen) * mask}
+    out["embed"] = np.zeros_like(net.embed)
+    np.add.at(out["embed"], best.reshape(-1), (back[:, :, None] * net.filters.T[None]).reshape(-1, EMBED))
+    out["embed"][0] = 0
+    return out
+
+
 def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Adam on the cross-entropy; the pooling passes gradients to each filter's best position only."""
+    """Adam on the cross-entropy."""
     rng = np.random.default_rng(seed)
     mask = width_mask()
     n_filters = mask.shape[1]
@@ -104,24 +125,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             x, y = windows[pick], labels[pick]
-            top, at = net.pooled(x)
-            hidden = np.maximum(top, 0)
-            d = softmax(hidden @ net.dense + net.dense_bias)
-            d[np.arange(len(y)), y] -= 1
-            d *= weight[y][:, None] / len(y)
-            back = (d @ net.dense.T) * (top > 0)
-            best = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(max(WIDTHS))]  # window, filter, offset
-            seen = net.embed[best].reshape(len(x), n_filters, -1)
-            grads = {
-                "dense": hidden.T @ d,
-                "dense_bias": d.sum(0),
-                "bias": back.sum(0),
-                "filters": np.einsum("bf,bfk->kf", back, seen) * mask,
-            }
-            to_bytes = (back[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-            grads["embed"] = np.zeros_like(net.embed)
-            np.add.at(grads["embed"], best.reshape(-1), to_bytes)
-            grads["embed"][0] = 0
+            grads = gradients(net, x, y, weight[y] / len(y), mask)
             t += 1
             for k in names:
                 g = grads[k]
@@ -145,6 +149,32 @@ def has_letter(text: bytes) -> bool:
     return bool(re.search(rb"[A-Za-z]", text)) or any(c.isalpha() for c in text.decode("utf-8", "ignore"))
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows of each language to take: as even as the counts allow, ``most`` together."""
+    out, left = {}, most
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
+def sample(rows: DataFrame, id_col: str, lang_col: str, most: int) -> list:
+    """At most ``most`` ids of rows, the least by hash of each language: two passes over narrow columns."""
+    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    counted = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), h.alias("h"))
+    # MAX_LANGS rows come back at most, and then about as many ids as are wanted.
+    counts = {r.lang: r["count"] for r in counted.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    if not counts:
+        return []
+    want = shares(counts, most)
+    bar = {lang: int((1 << 40) * min(1.0, (n + 8 * n**0.5 + 20) / counts[lang])) for lang, n in want.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in bar.items() for x in kv]), F.col("lang"))
+    near: dict[str, list] = {lang: [] for lang in want}
+    for r in counted.where(F.col("h") <= limit).distinct().collect():
+        near[r.lang].append((r.h, r.i))
+    return sorted({i for lang, n in want.items() for _, i in sorted(near[lang])[:n]})
+
+
 def fit(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, windows_per_row: int = WINDOWS_PER_ROW) -> Network | None:
     """A network from at most max_rows rows of docs where usable holds and the language is given."""
 
@@ -160,11 +190,11 @@ def fit(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # At most max_rows ids: the list is bounded by that parameter.
-    chosen = least_by_hash(rows, id_col, max_rows)
+    chosen = sample(rows, id_col, lang_col, max_rows)
     if not chosen:
         return None
-    sample = rows.where(F.col(id_col).isin(chosen)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"))
-    got = sample.mapInPandas(pick, "lang string, w binary").collect()
+    labelled = rows.where(F.col(id_col).isin(chosen)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"))
+    got = labelled.mapInPandas(pick, "lang string, w binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.w)))
@@ -202,13 +232,14 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     """doc_id, lang_pred, score for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = classify(shared.value, batch["t"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": score})
+            for at, texts in lots(batch, 1, LOT_BYTES):
+                lang, score = classify(shared.value, texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInPandas(
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(
         rows, f"doc_id {kind}, lang_pred string, score double"
     )
 

@@ -23,6 +23,69 @@ def test_language_of_odd_rows(spark, odd_docs, prose):
     assert odd_docs.where(langid.language(odd_docs, net) != "und").count() == odd_docs.count() - 4
 
 
+def network(rng, langs=3):
+    mask = langid.width_mask()
+    net = langid.Network([f"l{i}" for i in range(langs)], rng.normal(size=(256, langid.EMBED)), rng.normal(size=mask.shape) * mask, rng.normal(size=mask.shape[1]), rng.normal(size=(mask.shape[1], langs)), rng.normal(size=langs))
+    net.embed[0] = 0
+    return net, mask
+
+
+def test_convolution_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    net, _ = network(rng)
+    windows = rng.integers(1, 256, (3, langid.WINDOW), dtype=np.uint8)
+    got = net.probabilities(windows)
+    for w, p in zip(windows, got, strict=True):
+        top = []
+        for f in range(len(net.bias)):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            at = [sum(float(net.embed[w[s + o]] @ net.filters[o * langid.EMBED : (o + 1) * langid.EMBED, f]) for o in range(width)) for s in range(langid.STEP)]
+            top.append(max(0.0, max(at) + net.bias[f]))
+        z = np.array(top) @ net.dense + net.dense_bias
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(p, want, atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    net, mask = network(rng)
+    x, y, weight = rng.integers(1, 256, (4, langid.WINDOW), dtype=np.uint8), np.array([0, 1, 2, 1]), np.array([0.1, 0.4, 0.2, 0.3])
+
+    def loss():
+        z = np.maximum(net.pooled(x)[0], 0) @ net.dense + net.dense_bias
+        return float(-(weight * np.log(langid.softmax(z)[np.arange(4), y])).sum())
+
+    grads = langid.gradients(net, x, y, weight, mask)
+    for name, g in grads.items():
+        value = getattr(net, name)
+        places = np.argwhere(np.abs(g) > 1e-3)
+        for k in rng.choice(len(places), min(6, len(places)), replace=False):
+            at, step = tuple(places[k]), 1e-6
+            old = value[at]
+            value[at] = old + step
+            up = loss()
+            value[at] = old - step
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-4 * max(1, abs(g[at])), name
+
+
+def test_rare_languages_are_sampled(spark):
+    assert langid.shares({"a": 10_000, "b": 40, "c": 5000}, 3000) == {"a": 1480, "b": 40, "c": 1480}
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30, "rare").otherwise("hot").alias("lang"))
+    a = langid.sample(df, "doc_id", "lang", 100)
+    assert a == langid.sample(df.repartition(7), "doc_id", "lang", 100) and len(a) == 100 and sum(i < 30 for i in a) == 30
+    assert langid.sample(df.limit(0), "doc_id", "lang", 100) == []
+
+
+def test_clashing_columns_do_not_reach_the_results(spark, odd_docs):
+    clash = odd_docs.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(9.0)).withColumn("spans", F.lit(1))
+    net = langid.fit(clash, F.lit(True))
+    assert langid.predict(clash, net).columns == ["doc_id", "lang_pred", "score"] and langid.predict(clash, net).where("score > 1").count() == 0
+    model = toxicity.train([], [])
+    assert toxicity.score(clash, model).columns == ["doc_id", "score", "spans"] and toxicity.score(clash, model).where("score > 1").count() == 0
+
+
 def test_windows_cover_every_byte():
     for n in (0, 1, langid.WINDOW, langid.WINDOW + 1, 3 * langid.STEP, 5000):
         text = bytes(range(1, 252)) * (n // 251 + 1)
