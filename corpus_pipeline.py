@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank.llm import decontam, langid, minhash, mixing, sharding
-from fogbank.llm.common import durable
+from fogbank.llm.common import durable, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def one_row_per_id(docs: DataFrame, odd: DataFrame) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents with at least a twentieth of their words in benchmark windows go."""
     blocks = decontam.automata(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.where(~decontam.contaminated(docs, blocks))
+    return decontam.uncontaminated(docs, blocks)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done: list = []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out, read = stage(spark, docs, sf_dir), done
         if i + 1 < len(STAGES):
-            docs = durable(docs)
+            done = []
+            out = durable(out, done)
+            release(read)  # the stage before this one
+        docs = out
     return docs
