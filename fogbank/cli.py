@@ -1,13 +1,17 @@
-"""Command line: lake, build, backtest, compare and site verbs over a lake folder."""
+"""Command line: lake, points, backfill, ingest, build, backtest, holdout, ablation, compare, nbm and site verbs over a lake."""
 
 from __future__ import annotations
 
 import argparse
+import os
 from datetime import UTC, date, datetime, timedelta
 
-from fogbank import report, session
+from fogbank import pipeline, report, session
 from fogbank.lake import Lake, copy_bronze
-from fogbank.operators import features, forecasters, gold, scoring, silver
+from fogbank.operators import features, gold, scoring, silver, terrain
+from fogbank.sources import feeds
+from fogbank.sources.catalog import bounds, load_registry
+from fogbank.sources.grids import utm
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,12 +30,43 @@ def parser() -> argparse.ArgumentParser:
     s = build.add_parser("silver")
     s.add_argument("start", type=date.fromisoformat)
     s.add_argument("end", type=date.fromisoformat, nargs="?", default=None, help="exclusive; tomorrow (UTC) if left out")
-    build.add_parser("gold")
-    back = sub.add_parser("backtest")
-    back.add_argument("--models", default="raw_hrrr,bias_rolling")
-    back.add_argument("--targets", default="t2m,gust")
-    back.add_argument("--holdout", default="", help="groups of stations: A,B;C,D")
-    back.add_argument("--reports", default="reports")
+    g = build.add_parser("gold")
+    g.add_argument("--sensors", default="", help="sensors and their longitudes: ID=LON,ID=LON")
+    t = build.add_parser("static")
+    t.add_argument("registry")
+    t.add_argument("raster", help="a .npy file of heights, rows from south to north")
+    t.add_argument("heights", help="Parquet: point_id, height, dist_m of the model's cells")
+    t.add_argument("--corner", required=True, help="metres east and north of the first cell's south-west corner: X,Y")
+    t.add_argument("--cell", type=float, default=10.0)
+    for verb in ("backfill", "ingest"):
+        v = sub.add_parser(verb).add_subparsers(dest="what", required=True)
+        one = v.add_parser("stations" if verb == "backfill" else "network")
+        if verb == "backfill":
+            one.add_argument("stations", help="SOURCE/STATION,SOURCE/STATION")
+            one.add_argument("start", type=date.fromisoformat)
+            one.add_argument("end", type=date.fromisoformat)
+            one.add_argument("--refetch-days", type=int, default=feeds.REFETCH_DAYS)
+        else:
+            one.add_argument("folder", help="decoded hours as Parquet, one folder per hour: YYYY-MM-DDTHH")
+            one.add_argument("--bounds", required=True, help="south,west,north,east")
+            one.add_argument("--hours", type=int, default=2)
+    for verb in ("backtest", "holdout", "ablation"):
+        back = sub.add_parser(verb)
+        back.add_argument("--targets", default="t2m,gust")
+        back.add_argument("--reports", default="reports")
+        back.add_argument("--registry", default="", help="positions, for models with neighbours")
+        if verb == "ablation":
+            back.add_argument("name")
+            back.add_argument("pairs", help="MODEL:BASE,MODEL:BASE")
+        else:
+            back.add_argument("--models", default="raw_hrrr,bias_rolling")
+            back.add_argument("--start", type=datetime.fromisoformat, default=None)
+            back.add_argument("--end", type=datetime.fromisoformat, default=None)
+        if verb != "backtest":
+            back.add_argument("--groups", default="6", help="how many groups of stations, or the groups: A,B;C,D")
+    nbm = sub.add_parser("nbm")
+    nbm.add_argument("--models", default="bias_rolling")
+    nbm.add_argument("--reports", default="reports")
     comp = sub.add_parser("compare")
     comp.add_argument("model")
     comp.add_argument("base")
@@ -60,14 +95,25 @@ def build_gold(lake: Lake, sensors: dict[str, float] | None = None) -> None:
     lake.replace_partition("gold.upwind_features", features.upwind_features(obs))
 
 
-def run_backtest(lake: Lake, names: list[str], targets: list[str], groups: list[list[str]], reports: str) -> None:
-    version = lake.current("gold.training_examples")["version"]
-    rows = lake.read("gold.training_examples", version=version)
-    run = forecasters.holdout(rows, names, targets, groups) if groups else forecasters.backtest(rows, names, targets)
-    lake.replace_partition("gold.scores", run, "kind = 'backtest'")
-    lake.replace_partition("gold.forecasts", run, "kind = 'backtest'")
-    lake.tag("gold.training_examples", f"backtest-{version}", version)
-    report.write_reports(lake.read("gold.scores"), reports, {"original": scoring.ORIGINAL}, dict(gold_snapshot_id=version, models=names, targets=targets))
+def http_get(url: str, params: dict) -> tuple[int, dict, bytes]:
+    """One request; answers of any status are returned."""
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(f"{url}?{urlencode(params, doseq=True)}" if params else url, timeout=120) as r:
+            return r.status, dict(r.headers), r.read()
+    except HTTPError as err:
+        return err.code, dict(err.headers), err.read()
+
+
+def positions(spark, path: str):
+    return load_registry(path).frame(spark) if path else None
+
+
+def groups(text: str) -> int | list[list[str]]:
+    return int(text) if text.isdigit() else [g.split(",") for g in text.split(";") if g]
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -85,16 +131,33 @@ def main(argv: list[str] | None = None) -> None:
             target.init()
             print(copy_bronze(lake, target))
         case "points", _:
-            from fogbank.sources.catalog import load_registry
-
             load_registry(a.registry).frame(spark).orderBy("point_id").show(1000, False)
         case "build", "silver":
             build_silver(lake, a.start, a.end or tomorrow())
         case "build", "gold":
-            build_gold(lake)
+            build_gold(lake, {k: float(v) for k, v in (x.split("=") for x in a.sensors.split(",") if x)})
+        case "build", "static":
+            import numpy as np
+
+            west, south = map(float, a.corner.split(","))
+            raster = terrain.Raster(np.load(a.raster), west + a.cell / 2, south + a.cell / 2, a.cell)
+            pipeline.build_static(lake, positions(spark, a.registry), raster, spark.read.parquet(a.heights), utm)
+        case "backfill", _:
+            print(feeds.station_backfill(lake, http_get, [tuple(x.split("/", 1)) for x in a.stations.split(",")], a.start, a.end, a.refetch_days))
+        case "ingest", _:
+            hour = lambda t: spark.read.parquet(p) if os.path.isdir(p := f"{a.folder}/{t:%Y-%m-%dT%H}") else None
+            print(feeds.realtime(lake, hour, bounds(a.bounds), a.hours))
         case "backtest", _:
-            groups = [g.split(",") for g in a.holdout.split(";") if g]
-            run_backtest(lake, a.models.split(","), a.targets.split(","), groups, a.reports)
+            pipeline.run_backtest(lake, a.models.split(","), a.targets.split(","), a.reports, a.start, a.end, positions(spark, a.registry))
+        case "holdout", _:
+            pipeline.run_holdout(lake, a.models.split(","), a.targets.split(","), a.reports, groups(a.groups), a.start, a.end, positions(spark, a.registry))
+        case "ablation", _:
+            pairs = [tuple(p.split(":")) for p in a.pairs.split(",")]
+            rows, _ = pipeline.training_rows(lake, [m for p in pairs for m in p], positions(spark, a.registry))
+            out = groups(a.groups)
+            pipeline.run_ablation(a.name, rows, pairs, a.targets.split(","), f"{a.reports}/{a.name}", None if isinstance(out, int) else out).show(1000, False)
+        case "nbm", _:
+            pipeline.run_blend_comparison(lake, a.models.split(","), a.reports).orderBy("variable", "bucket", "point", "skill").show(1000, False)
         case "compare", _:
             scoring.paired_change(lake.read("gold.scores"), a.model, a.base).orderBy("variable", "bucket", "point").show(1000, False)
         case "site", _:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import shutil
 from datetime import UTC, date, datetime
 from pathlib import Path
 
@@ -36,6 +37,7 @@ def records(df: DataFrame) -> list[dict]:
 def write_reports(scores: DataFrame, out: str | Path, groups: dict | None = None, meta: dict | None = None) -> None:
     out = Path(out)
     out.mkdir(parents=True, exist_ok=True)
+    scores.write.mode("overwrite").parquet(f"file://{out.resolve()}/scores.parquet")
     scoring.leaderboard(scores, groups).orderBy("variable", "bucket", "point", "skill").toPandas().to_csv(out / FILES[0], index=False)
     scoring.monthly_skill(scores).orderBy("variable", "model_name", "month").toPandas().to_csv(out / FILES[1], index=False)
     (out / FILES[2]).write_text(json.dumps(clean(meta or {}), default=str))
@@ -56,12 +58,12 @@ def freshness(lake: Lake) -> dict:
     tables = []
     for name in lake.tables:
         snaps = lake.snapshots(name)
-        tables.append(dict(table=name, snapshots=len(snaps), updated=snaps[-1]["committed_at"] if snaps else None, files=len(snaps[-1]["paths"]) if snaps else 0))
+        tables.append(dict(table=name, snapshots=len(snaps), updated=snaps[-1]["committed_at"] if snaps else None, files=len(lake.files(name)) if snaps else 0))
     return dict(tables=tables, stations=records(scoring.freshness(lake.read("silver.obs_qc")).orderBy("station_id")))
 
 
 def build_site(lake: Lake, reports: str | Path, out: str | Path) -> Path:
-    """Writes data.json; reports must be complete or absent. Snapshot ids are text, as browsers round large numbers."""
+    """Writes data.json and the pages that read it; reports must be complete or absent. Snapshot ids are text, as browsers round large numbers."""
     import pandas as pd
 
     files = [Path(reports) / f for f in FILES]
@@ -78,4 +80,6 @@ def build_site(lake: Lake, reports: str | Path, out: str | Path) -> Path:
     out = Path(out)
     out.mkdir(parents=True, exist_ok=True)
     (out / "data.json").write_text(json.dumps(clean(data), default=str))
+    for page in (Path(__file__).parent / "site").iterdir():
+        shutil.copy(page, out / page.name)
     return out

@@ -17,6 +17,8 @@ from fogbank.functions.core import great_circle_km
 class Lambert:
     """A spherical Lambert conformal grid with one standard parallel."""
 
+    # The grid that the archive is on.
+
     lat0: float = 38.5
     lon0: float = -97.5
     radius: float = 6371229.0
@@ -68,6 +70,22 @@ class Lambert:
         return box
 
 
+def utm(lat: float, lon: float, zone: int = 10) -> tuple[float, float]:
+    """Metres east and north of a northern UTM zone: the ellipsoidal transverse Mercator series to the third order."""
+    # The ellipsoid and the projection's scale and false easting.
+    a, f, k0, east0 = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    phi, lam = math.radians(lat), math.radians(lon - (6 * zone - 183))
+    e = 2 * math.sqrt(n) / (1 + n)
+    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t))
+    x = eta + sum(c * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, c in enumerate(alpha, 1))
+    y = xi + sum(c * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, c in enumerate(alpha, 1))
+    return east0 + k0 * radius * x, k0 * radius * y
+
+
 def nearest_cells(points: DataFrame, cells: DataFrame, k: int = 4, degrees: float = 0.1) -> DataFrame:
     """The k nearest cells of each point. points: point_id, lat, lon; cells: row, col, cell_lat, cell_lon.
 
