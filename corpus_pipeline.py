@@ -57,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents are sampled by their cell's raked ratio, so that three quarters of the tokens stay."""
-    return mixing.calibrated(docs, keep=mixing.KEEP).where("sampled").select("row.*")
+    return mixing.calibrated(docs, keep=mixing.KEEP, rounds=mixing.ROUNDS_MOST, tolerance=mixing.TOLERANCE).where("sampled").select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

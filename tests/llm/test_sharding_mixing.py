@@ -53,6 +53,25 @@ def test_raking_meets_targets(spark):
     assert share == pytest.approx(0.7, abs=1e-6)
 
 
+def test_raking_stops_at_its_tolerance(spark):
+    cells = [(s, g, t, 50 * 3 ** (i % 7) + i) for i, (s, g, t) in enumerate((s, g, t) for s in "ABC" for g in ("en", "de") for t in ("p", "q"))]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    total = sum(c[3] for c in cells)
+    aims = {"source": {"A": 0.2, "B": 0.3, "C": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"p": 0.9, "q": 0.1}}
+    for together in (True, False):
+        got = {(r.source, r.lang, r.topic): r.ratio for r in mixing.rake(df, aims, mixing.ROUNDS_MOST, tolerance=1e-6, together=together).collect()}
+        for at, axis in enumerate(mixing.AXES):
+            for category, aim in aims[axis].items():
+                assert sum(got[c[:3]] * c[3] / total for c in cells if c[at] == category) == pytest.approx(aim, abs=1e-6)
+
+
+def test_many_cells_give_the_same_rows(spark, prose):
+    docs = spark.createDataFrame([(i, prose(i, 3 + i % 40), ("en", "de", None)[i % 3], f"s{i % 5}") for i in range(150)], "doc_id long, text string, lang string, source string")
+    cols = ["doc_id", "sampled", F.round("prob", 9).alias("prob"), "row"]
+    few, many = (mixing.calibrated(docs, small_cells=n).select(*cols).orderBy("doc_id").collect() for n in (mixing.SMALL_CELLS, 0))
+    assert few == many and len(few) == 150
+
+
 def test_sampling_follows_probabilities(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("word " * 20).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 4 == 0, "rare").otherwise("hot").alias("source"))
     out = mixing.calibrated(docs, {"source": {"rare": 1.0, "hot": 1.0}})
