@@ -269,6 +269,26 @@ def push_age(spark, d):
     return features.push_age(views.nwp(spark, d).select("init_time").distinct(), _onsets(spark, d))
 
 
+UPWIND = {"coast": ("S0", "S2"), "east": ("S3", "S4")}
+_UP = """WITH g AS (SELECT t + INTERVAL 10 MINUTE AS init_time, CASE WHEN station_id IN ('S0', 'S2') THEN 'coast' WHEN station_id IN ('S3', 'S4') THEN 'east' END AS grp,
+    CASE variable WHEN 'rh2m' THEN 'rh' ELSE variable END AS var, stat, avg(value) AS value
+  FROM (SELECT station_id, variable, t, 'd1h' AS stat, d1h AS value FROM ch UNION ALL SELECT station_id, variable, t, 'd3h', d3h FROM ch UNION ALL SELECT station_id, variable, t, 'anom', value FROM slot)
+  WHERE minute(t + INTERVAL 10 MINUTE) = 0 AND value IS NOT NULL AND station_id IN ('S0', 'S2', 'S3', 'S4') GROUP BY ALL)
+SELECT init_time, concat_ws('_', 'up', grp, var, stat) AS feature, value FROM g
+UNION ALL SELECT init_time, concat('up_coast_east_', c.var, '_anom'), c.value - e.value FROM g c JOIN g e USING (init_time, var, stat) WHERE stat = 'anom' AND c.grp = 'coast' AND e.grp = 'east'"""
+
+
+@query("upwind_group_means", f"SELECT init_time, feature, {r('value')} FROM ({_UP})")
+def upwind_group_means(spark, d):
+    """Group means of station changes and anomalies at whole hours, and coast less east."""
+    return features.upwind_features(_obs_qc(spark, d), UPWIND).where("feature <> 'up_push_age_min'").select("init_time", "feature", "value")
+
+
+@query("usable_rows", f"SELECT point_id, init_time, lead_min, {r('obs_gust', 'nwp_gust')} FROM base WHERE obs_gust IS NOT NULL AND nwp_gust IS NOT NULL")
+def usable_rows(spark, d):
+    return forecasters.usable(_base(spark, d), "gust").select("point_id", "init_time", "lead_min", "obs_gust", "nwp_gust")
+
+
 @query("knn_pairs", f"SELECT point_id, nb_id, rank, {r('dist_km')} FROM pairs_v")
 def knn_pairs(spark, d):
     return features.nearest_pairs(views.points(spark, d))
