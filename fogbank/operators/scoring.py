@@ -80,14 +80,6 @@ def day_blocks(pairs: DataFrame, by=CELL) -> DataFrame:
     return pairs.groupBy(*by, "day").agg(F.sum("crps").alias("crps"), F.sum("crps_base").alias("crps_base"), F.count("*").alias("n"))
 
 
-def drawn_places(r: str, n: str) -> str:
-    """SQL of draw r's n mixed integers; each modulo n is a day."""
-    out = "transform(sequence(0L, {n} - 1L), j -> ({r} * {a} + j * {b} + {s}) % {p})".format(r=r, n=n, **MIX)
-    for _ in range(STEPS):
-        out = "transform({x}, x -> (x * x + {s}) % {p})".format(x=out, **MIX)
-    return out
-
-
 #: Draws that one task row makes.
 TOGETHER = 100
 
@@ -95,20 +87,29 @@ TOGETHER = 100
 def bootstrap(blocks: DataFrame, draws: int = DRAWS, by=CELL, more: dict | None = None) -> DataFrame:
     """skill, skill_lo, skill_hi per cell: days are drawn with replacement by an integer rule that any engine repeats.
 
-    A cell's days are an array (one entry per day), so a draw is a fold over it and the blocks are read once. A cell's draws
+    A cell's days are arrays (one entry per day), so the blocks are read once. Draws and places are exploded, not folded by
+    lambdas: the mixing, the look-up and the partial sums of a draw then are one piece of generated code. A cell's draws
     are dealt to tasks in lots of TOGETHER, as there may be fewer cells than cores. ``more`` adds aggregates of the blocks.
+    A draw whose baseline sums to zero has no skill and is left out of the interval.
     """
     more = more or {}
     days = F.array_sort(F.collect_list(F.struct("day", "crps", "crps_base"))).alias("d")
     cells = blocks.groupBy(*by).agg(days, skill().alias("skill"), *[v.alias(k) for k, v in more.items()])
-    lots = cells.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((draws - 1) // TOGETHER).cast("long"))))
+    last = F.lit((draws - 1) // TOGETHER).cast("long")
+    lots = cells.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     lots = lots.repartition(blocks.sparkSession.sparkContext.defaultParallelism)
-    draw = f"""transform(sequence(lot * {TOGETHER} + 1, least((lot + 1) * {TOGETHER}, {draws}L)), r -> aggregate(transform({drawn_places("r", "size(d)")}, x -> d[int(x % size(d))]), named_struct('m', 0.0D, 'b', 0.0D),
-      (t, y) -> named_struct('m', t.m + y.crps, 'b', t.b + y.crps_base), t -> 1 - t.m / t.b))"""
-    each = lots.select(*by, "skill", *more, F.explode(F.expr(draw)).alias("draw"))
-    ends = F.percentile("draw", F.array(F.lit(0.025), F.lit(0.975))).alias("ends")
-    out = each.groupBy(*by).agg(ends, *[F.first(c).alias(c) for c in ("skill", *more)])
-    return out.select(*by, "skill", *more, F.col("ends")[0].alias("skill_lo"), F.col("ends")[1].alias("skill_hi"))
+    fixed = [*by, "skill", *more]
+    first, end = F.col("lot") * TOGETHER + 1, F.least((F.col("lot") + 1) * TOGETHER, F.lit(draws).cast("long"))
+    each = lots.select(*fixed, F.col("d.crps").alias("m"), F.col("d.crps_base").alias("b"), F.size("d").cast("long").alias("days"), F.explode(F.sequence(first, end)).alias("r"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("days") - 1)).alias("j"))
+    each = each.withColumn("x", F.expr("(r * {a} + j * {b} + {s}) % {p}".format(**MIX)))
+    for _ in range(STEPS):
+        each = each.withColumn("x", F.expr("(x * x + {s}) % {p}".format(**MIX)))
+    place = (F.col("x") % F.col("days")).cast("int")
+    sums = each.groupBy(*fixed, "r").agg(F.sum(F.get("m", place)).alias("m"), F.sum(F.get("b", place)).alias("b"))
+    ends = F.percentile(1 - F.try_divide("m", "b"), F.array(F.lit(0.025), F.lit(0.975))).alias("ends")
+    out = sums.groupBy(*by).agg(ends, *[F.first(c).alias(c) for c in ("skill", *more)])
+    return out.select(*fixed, F.col("ends")[0].alias("skill_lo"), F.col("ends")[1].alias("skill_hi"))
 
 
 def leaderboard(scores: DataFrame, groups: dict[str, Collection[str]] | None = None, draws: int = DRAWS) -> DataFrame:
