@@ -70,6 +70,15 @@ def latest(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFram
     return best.select(*[F.col(c) if c in keys else F.col(f"best.{c}").alias(c) for c in df.columns])
 
 
+def last_known(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
+    """One row per key: the greatest order and each other column's last non-null value, ties by the greatest value."""
+    keys, order = list(keys), list(order)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = [F.max(F.when(F.col(c).isNotNull(), F.struct(*order, c)))[c].alias(c) for c in rest]
+    out = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("last_order"), *best)
+    return out.select(*[F.col(f"last_order.{c}").alias(c) if c in order else F.col(c) for c in df.columns])
+
+
 def micros(ts: str | Column) -> Column:
     return F.unix_micros(col(ts))
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fogbank import pipeline
 from fogbank.functions import core
 from fogbank.operators import features, forecasters, gold, scoring, silver
 from fogbank.plans import views
 from fogbank.plans.views import oracle, rounded
 from fogbank.session import table
+from fogbank.sources import grids, parsers
 from fogbank.streaming.live import hourly_counts as tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -542,6 +545,97 @@ def network_features(spark, d):
     return features.network_features(obs, lons)
 
 
+@query("last_known", """SELECT user_id, max(ts) AS ts, round(last(v ORDER BY ts, v) FILTER (WHERE v IS NOT NULL), 6) + 0.0::DOUBLE AS value, last(k ORDER BY ts, k) FILTER (WHERE k IS NOT NULL) AS kind
+FROM (SELECT user_id, ts, CASE WHEN event_id % 3 > 0 THEN value END AS v, CASE WHEN event_id % 5 > 0 THEN event_type END AS k FROM events) GROUP BY user_id""")
+def last_known(spark, d):
+    """Each column's last non-null report, which may come from different rows."""
+    e = table(spark, d, "events").selectExpr("user_id", "ts", "CASE WHEN event_id % 3 > 0 THEN value END AS value", "CASE WHEN event_id % 5 > 0 THEN event_type END AS kind")
+    return core.last_known(e, ["user_id"], ["ts"])
+
+
+@query("run_window", f"SELECT point_id, init_time, lead_min, {r('t2m')} FROM nwp_v WHERE init_time >= TIMESTAMP '2024-01-05 06:00:00' AND init_time < TIMESTAMP '2024-01-07 00:00:00'")
+def run_window(spark, d):
+    """A run's half-open window; a time without zone is UTC."""
+    start, end = pipeline.window(datetime(2024, 1, 5, 6), datetime(2024, 1, 7, tzinfo=UTC))
+    return pipeline.within(views.nwp(spark, d), start, end).select("point_id", "init_time", "lead_min", "t2m")
+
+
+@query("blend_scores", f"SELECT model_name, variable, point_id, init_time, lead_min, {r('mu', 'sigma', 'error', 'crps')}, in_p10_p90 FROM blend_scored")
+def blend_scores(spark, d):
+    """The blend and its recalibration on the raw model's rows."""
+    blend = views.nwp(spark, d).select(
+        "point_id", "init_time", "lead_min", (F.col("t2m") + 0.5).alias("t2m"), F.when(F.col("lead_min") != 120, 1 + F.col("lead_min") / 600).alias("t2m_sd"), (F.col("gust") + 1).alias("gust"), F.lit(0.01).alias("gust_sd")
+    )
+    return scoring.blend_scores(blend, _scores(spark, d)).select("model_name", "variable", "point_id", "init_time", "lead_min", "mu", "sigma", "error", "crps", "in_p10_p90")
+
+
+# --- sources: texts and grids made of the tables ----------------------------------
+
+
+@query("asos_reports", f"""SELECT 'iem_asos' AS source, station_id, obs_time, variable, {r('value')} FROM (UNPIVOT (SELECT concat('S', user_id % 8) AS station_id, date_trunc('minute', ts) AS obs_time,
+  CASE WHEN event_id % 7 > 0 THEN (event_id % 60 + 30 - 32) * 5 / 9.0 END::DOUBLE AS t2m, CASE WHEN event_id % 11 > 0 THEN (event_id % 40 - 32) * 5 / 9.0 END::DOUBLE AS d2m,
+  (event_id % 30)::DOUBLE * 0.514444::DOUBLE AS wind10, (event_id % 360)::DOUBLE AS wdir10, CASE WHEN event_id % 3 = 0 THEN (event_id % 50)::DOUBLE * 0.514444::DOUBLE END AS gust
+  FROM events WHERE event_id % 13 > 0) ON t2m, d2m, wind10, wdir10, gust INTO NAME variable VALUE value)""")
+def asos_reports(spark, d):
+    """Airport CSV lines with comments, missing marks and a text that is no number."""
+    header = "station,valid,drct,sknt,gust,tmpf,dwpf"
+    fields = ["concat('S', user_id % 8)", "date_format(ts, 'yyyy-MM-dd HH:mm')", "event_id % 360", "event_id % 30", "IF(event_id % 3 = 0, string(event_id % 50), '')",
+        "IF(event_id % 7 > 0, string(event_id % 60 + 30), 'M')", "IF(event_id % 11 > 0, string(event_id % 40), 'bad')"]
+    lines = table(spark, d, "events").selectExpr(f"concat(IF(event_id % 13 > 0, '', '#'), concat_ws(',', {', '.join(fields)})) AS value")
+    return parsers.asos(lines, header).select("source", "station_id", "obs_time", "variable", "value")
+
+
+_REPORT = "concat('N', user_id % 50)"
+
+
+@query("network_hour_obs", f"""SELECT station_id, obs_time, variable, round(last(v ORDER BY event_id), 6) + 0.0::DOUBLE AS value, last(q ORDER BY event_id) AS qc_flag FROM (
+  SELECT event_id, {_REPORT} AS station_id, date_trunc('hour', ts) AS obs_time, 't2m' AS variable, CASE WHEN event_id % 5 > 0 THEN 270 + event_id % 30 END - 273.15::DOUBLE AS v, CASE event_id % 3 WHEN 0 THEN 'V' WHEN 1 THEN 'X' ELSE 'S' END AS q FROM events WHERE user_id % 50 BETWEEN 10 AND 40
+  UNION ALL SELECT event_id, {_REPORT}, date_trunc('hour', ts), 'wind10', (event_id % 20)::DOUBLE, NULL FROM events WHERE user_id % 50 BETWEEN 10 AND 40) WHERE v IS NOT NULL GROUP BY ALL""")
+def network_hour_obs(spark, d):
+    """A decoded network hour inside a box; the last report of a station, time and variable wins."""
+    reports = table(spark, d, "events").selectExpr(
+        "event_id AS pos", f"concat(' ', {_REPORT}, ' ') AS stationId", "'p' AS dataProvider", "37 + double(user_id % 50) AS latitude", "-122.0D AS longitude", "0D AS elevation",
+        "unix_seconds(date_trunc('hour', ts)) AS observationTime", "CASE WHEN event_id % 5 > 0 THEN double(270 + event_id % 30) END AS temperature",
+        "CASE event_id % 3 WHEN 0 THEN 'V' WHEN 1 THEN ' X' ELSE 'S ' END AS temperatureDD", "double(event_id % 20) AS windSpeed",
+    )
+    return parsers.network_hour(reports, (47.0, -123.0, 77.0, -121.0))[0].select("station_id", "obs_time", "variable", "value", "qc_flag")
+
+
+@query("picked_long", f"""SELECT init_time, (m)::INT AS lead_min, init_time + to_minutes(m) AS valid_time, point_id, variable, k, {r('value', 'grid_lon', 'grid_dist_m')} FROM (UNPIVOT (
+  SELECT o_orderdate::TIMESTAMP AS init_time, o_orderkey % 24 * 15 AS m, concat('P', o_custkey % 50) AS point_id, (o_orderkey % 4)::INT AS k, ((o_custkey * 7 % 360)::DOUBLE + 180) % 360 - 180 AS grid_lon,
+  (o_custkey % 30)::DOUBLE * 100 AS grid_dist_m, o_totalprice::DOUBLE AS t2m, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey::DOUBLE END AS gust FROM orders) ON t2m, gust INTO NAME variable VALUE value)""")
+def picked_long(spark, d):
+    """Picked cells, sub-hourly steps and longitudes of 0 to 360, as long rows."""
+    picked = table(spark, d, "orders").selectExpr(
+        "concat('P', o_custkey % 50) AS point_id", "o_orderkey % 4 AS k", "timestamp(o_orderdate) AS init_time", "o_orderkey % 24 * 15 AS step_min", "37D AS latitude", "double(o_custkey * 7 % 360) AS longitude",
+        "double(o_custkey % 30) / 10 AS distance_km", "double(o_totalprice) AS t2m", "CASE WHEN o_orderkey % 3 > 0 THEN double(o_custkey) END AS gust",
+    )
+    return parsers.picked_to_long(picked, ["t2m", "gust"], "hrrr", "sfc", "b").select("init_time", "lead_min", "valid_time", "point_id", "variable", "k", "value", "grid_lon", "grid_dist_m")
+
+
+_GRID = "p_partkey % 40 AS {q}row{q}, p_partkey {div} 40 AS col, 37.6013e0 + CAST(p_partkey % 40 AS DOUBLE) / 100 AS cell_lat, -122.6007e0 + CAST(p_partkey {div} 40 AS DOUBLE) / 100 AS cell_lon"
+_NEAREST = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist_km, "row", col)::INT - 1 AS k FROM (
+  SELECT point_id, "row", col, v, 12742.0 * asin(least(1.0, sqrt(pow(sin((radians(cell_lat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(cell_lat)) * pow(sin((radians(cell_lon) - radians(lon)) / 2), 2)))) AS dist_km
+  FROM points_v JOIN (SELECT {_GRID.format(div='//', q='"')}, CASE WHEN p_partkey % 7 > 0 THEN p_retailprice::DOUBLE END AS v FROM part) ON abs(cell_lat - lat) < 0.2 AND abs(cell_lon - lon) < 0.2)) WHERE k < 4)"""
+
+
+def _nearest(spark, d) -> DataFrame:
+    return grids.nearest_cells(views.points(spark, d), table(spark, d, "part").selectExpr(*_GRID.format(div="div", q="").split(", ")))
+
+
+@query("nearest_cells", f"""SELECT point_id, k, "row", col, {r('dist_km')} FROM {_NEAREST}""")
+def nearest_cells(spark, d):
+    """The four nearest grid cells of each point."""
+    return _nearest(spark, d).select("point_id", "k", "row", "col", (F.col("dist_m") / 1000).alias("dist_km"))
+
+
+@query("cell_extract", f"SELECT point_id, k, {r('v AS value')} FROM {_NEAREST}")
+def cell_extract(spark, d):
+    """Archive values at points' cells; the fill value is missing."""
+    archive = table(spark, d, "part").selectExpr("p_partkey % 40 AS row", "p_partkey div 40 AS col", "CASE WHEN p_partkey % 7 > 0 THEN double(p_retailprice) ELSE -9999D END AS value")
+    return grids.extract(archive, _nearest(spark, d)).select("point_id", "k", "value")
+
+
 @query("gbm_forecast")
 def gbm_forecast(spark, d):
     """Boosted trees, trained on the first 80% of time and applied to the rest (no SQL: a learned model)."""

@@ -182,6 +182,13 @@ FROM common s JOIN (SELECT variable, point_id, init_time, lead_min, crps FROM co
     SELECT variable, model_name, bucket, point, list(crps ORDER BY day) AS m, list(crps_base ORDER BY day) AS b FROM blocks GROUP BY ALL)))))))) GROUP BY variable, model_name, bucket, point, r) GROUP BY variable, model_name, bucket, point""",
     "board": """SELECT variable, model_name, bucket, point, count(*) AS n, avg(crps) AS crps, avg(abs(error)) AS mae, avg(error) AS bias, avg(in_p10_p90) AS coverage_80, any_value(skill) AS skill, any_value(skill_lo) AS skill_lo, any_value(skill_hi) AS skill_hi
 FROM pooled JOIN boot USING (variable, model_name, bucket, point) GROUP BY ALL""",
+    "blend_rows": """SELECT * FROM (SELECT s.variable, point_id, init_time, lead_min, strftime(init_time, '%Y-%m') AS month, s.obs, CASE s.variable WHEN 't2m' THEN n.t2m + 0.5 ELSE n.gust + 1 END AS mu,
+  CASE WHEN s.variable = 'gust' THEN 0.01 WHEN lead_min <> 120 THEN 1 + lead_min / 600.0 END::DOUBLE AS sd FROM scores s JOIN nwp_v n USING (point_id, init_time, lead_min) WHERE s.model_name = 'raw_hrrr') WHERE sd IS NOT NULL""",
+    "blend_sq": "SELECT variable, lead_min, month, sum(pow(mu - obs, 2)) AS q, count(*) AS n FROM blend_rows GROUP BY ALL",
+    "blend_rms": """SELECT variable, lead_min, month, sqrt(greatest(CASE WHEN sum(n) OVER w > n THEN (sum(q) OVER w - q) / (sum(n) OVER w - n) ELSE q / n END, 0)) AS rms FROM blend_sq WINDOW w AS (PARTITION BY variable, lead_min)""",
+    "blend_scored": """SELECT *, mu - obs AS error, CASE WHEN obs >= mu - 1.2815515655446004 * sigma AND obs <= mu + 1.2815515655446004 * sigma THEN 1 ELSE 0 END AS in_p10_p90, __CRPS__ AS crps FROM (
+  SELECT 'nbm' AS model_name, variable, point_id, init_time, lead_min, obs, mu, greatest(sd, 0.05::DOUBLE) AS sigma FROM blend_rows
+  UNION ALL SELECT 'nbm_cal', variable, point_id, init_time, lead_min, obs, mu, greatest(rms, 0.05::DOUBLE) FROM blend_rows JOIN blend_rms USING (variable, lead_min, month))""",
     "cells_v": _cells(False),
     "blend_v": _cells(False, "nbm"),
     "cells_latest": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model, product, init_time, lead_min, point_id, variable, level, member, k ORDER BY ingested_at DESC, value DESC) AS rn FROM cells_v WHERE member = 0) WHERE rn = 1",
