@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fogbank.functions.core import crps_sql, norm_cdf_sql
+from fogbank.functions.core import crps_sql, last_known, norm_cdf_sql
 from fogbank.operators import forecasters, scoring
 
 
@@ -51,7 +51,7 @@ def test_bootstrap_interval_is_as_wide_as_a_true_one(spark, days):
     rng = np.random.default_rng(days)
     m, b = rng.gamma(2, 1, days), rng.gamma(2, 1.1, days)
     rows = [("t2m", "x", "1-3 h", "all", f"{d:03}", float(x), float(y)) for d, (x, y) in enumerate(zip(m, b, strict=True))]
-    blocks = spark.createDataFrame(rows, "variable string, model_name string, bucket string, point string, day string, crps double, crps_base double")
+    blocks = spark.createDataFrame(rows, BLOCKS)
     got = scoring.bootstrap(blocks).first()
     at = rng.integers(0, days, (20_000, days))
     lo, hi = np.percentile(1 - m[at].sum(1) / b[at].sum(1), [2.5, 97.5])
@@ -59,6 +59,39 @@ def test_bootstrap_interval_is_as_wide_as_a_true_one(spark, days):
     assert got.skill_hi - got.skill_lo == pytest.approx(hi - lo, rel=0.15) and abs(got.skill_lo - lo) < 0.15 * (hi - lo)
 
 
+BLOCKS = "variable string, model_name string, bucket string, point string, day string, crps double, crps_base double"
+
+
+def test_bootstrap_follows_its_integer_rule_in_plain_loops(spark):
+    m, b = [1.0, 4.0, 2.5], [2.0, 3.0, 5.0]
+    blocks = spark.createDataFrame([("t2m", "x", "1-3 h", "all", str(d), m[d], b[d]) for d in range(3)], BLOCKS)
+    draws = []
+    for r in range(1, 151):  # more than one lot, the last one not full
+        days = []
+        for j in range(3):
+            x = (r * 1664525 + j * 1013904223 + 12345) % 2147483647
+            for _ in range(4):
+                x = (x * x + 12345) % 2147483647
+            days.append(x % 3)
+        draws.append(1 - sum(m[i] for i in days) / sum(b[i] for i in days))
+    lo, hi = np.percentile(draws, [2.5, 97.5])
+    got = scoring.bootstrap(blocks, 150).first()
+    assert (got.skill_lo, got.skill_hi) == (pytest.approx(lo), pytest.approx(hi))
+
+
+def test_bootstrap_without_baseline_or_rows(spark):
+    zero = spark.createDataFrame([("t2m", "x", "1-3 h", "all", str(d), 1.0, 0.0) for d in range(3)], BLOCKS)
+    got = scoring.bootstrap(zero, 20, more={"n": F.count("*")}).first()
+    assert (got.skill, got.skill_lo, got.skill_hi, got.n) == (None, None, None, 3)
+    assert scoring.bootstrap(zero.limit(0), 20).collect() == []
+
+
+def test_last_known_takes_each_column_from_its_last_row(spark):
+    df = spark.createDataFrame([("a", 1, 5.0, "x"), ("a", 2, None, "y"), ("a", 3, None, None), ("b", 1, None, None), ("a", 2, None, "w")], "k string, t int, v double, s string")
+    got = {r.k: (r.t, r.v, r.s) for r in last_known(df, ["k"], ["t"]).collect()}
+    assert got == {"a": (3, 5.0, "y"), "b": (1, None, None)} and last_known(df.limit(0), ["k"], ["t"]).collect() == []
+
+
 def test_month_excluded_rms(spark, at):
     rows = [("t2m", at(1), 60, 13.0, 10.0), ("t2m", at(2), 60, 11.0, 10.0)]
     df = spark.createDataFrame(rows, "variable string, init_time timestamp, lead_min int, mu double, obs double")
