@@ -127,14 +127,38 @@ def upwind_features(obs: DataFrame, groups=GROUPS) -> DataFrame:
 # --- neighbours -------------------------------------------------------------------
 
 
+#: Levels of boxes: 360 degrees wide at level 0, half as wide at each further one.
+BOX_LEVELS = 20
+
+
 def nearest_pairs(points: DataFrame, n: int = NEAREST) -> DataFrame:
-    """point_id, nb_id, rank, dist_km: each station's nearest others. points: point_id, lat, lon.
+    """point_id, nb_id, rank, dist_km: each station's nearest others, exactly. points: point_id, lat, lon.
 
-    Stations are a small dimension table (its size is checked by the caller); positions are compared in a
-    broadcast nested-loop join.
+    Stations are keyed by boxes of several widths. The narrowest box around a station that holds n others bounds the
+    distance of its n-th neighbour by the box's diagonal; the station then looks into the nine boxes around it at the first level
+    wide enough for that distance. All joins are on equal keys, and no side is broadcast unasked. Stations so near a pole
+    that no level is wide enough, and tables of fewer stations than asked for, use level 0, which is one box.
     """
-    other = points.select(F.col("point_id").alias("nb_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    d = points.join(F.broadcast(other), F.col("point_id") != F.col("nb_id")).withColumn("dist_km", great_circle_km("lat", "lon", "lat2", "lon2"))
+    wide = lambda level: F.lit(360.0) / F.pow(F.lit(2.0), level)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(BOX_LEVELS))).alias("level")
+    boxed = points.select("point_id", "lat", "lon", levels).withColumn("bi", F.floor((F.col("lat") + 90) / wide("level")))
+    boxed = boxed.withColumn("bj", F.pmod(F.floor((F.col("lon") + 180) / wide("level")), F.pow(F.lit(2.0), "level").cast("long")))
+    full = boxed.groupBy("level", "bi", "bj").agg(F.count("*").alias("held")).where(F.col("held") > n)
+    finest = boxed.join(full, ["level", "bi", "bj"]).groupBy("point_id").agg(F.max("level").alias("finest"))
+
+    # In degrees: how far the n-th neighbour may be, and how far east or west that distance reaches at this latitude.
+    far = wide("finest") * 1.4143
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(far)) / F.cos(F.radians("lat")))))
+    fits = lambda k: (far <= wide(F.lit(k))) & (F.abs("lat") + far < 90) & (reach <= wide(F.lit(k)))
+    level = F.coalesce(*[F.when(fits(k), F.lit(k)) for k in range(BOX_LEVELS, 0, -1)], F.lit(0))
+    asks = points.select("point_id", "lat", "lon").join(finest, "point_id", "left").withColumn("level", level)
+    boxes, steps = F.pow(F.lit(2.0), "level").cast("long"), F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    east = F.floor((F.col("lon") + 180) / wide("level"))
+    asks = asks.withColumn("bi", F.explode(F.transform(steps, lambda i: F.floor((F.col("lat") + 90) / wide("level")) + i)))
+    asks = asks.withColumn("bj", F.explode(F.array_distinct(F.transform(steps, lambda i: F.pmod(east + i, boxes)))))
+
+    other = boxed.select("level", "bi", "bj", F.col("point_id").alias("nb_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    d = asks.join(other, ["level", "bi", "bj"]).where("point_id <> nb_id").withColumn("dist_km", great_circle_km("lat", "lon", "lat2", "lon2"))
     w = Window.partitionBy("point_id").orderBy(F.round("dist_km", 6), "nb_id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("point_id", "nb_id", "rank", "dist_km")
 

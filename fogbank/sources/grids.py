@@ -105,10 +105,10 @@ def nearest_cells(points: DataFrame, cells: DataFrame, k: int = 4, degrees: floa
 def extract(archive: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Archive cells (init_time, lead_min, variable, row, col, value) at points' cells; fill values become null.
 
-    neighbours (point_id, k, row, col, dist_m) is four rows per point, a small dimension: it is broadcast.
+    neighbours (point_id, k, row, col, dist_m) is four rows per point; its measured size decides whether it is broadcast.
     """
     value = F.nanvl(F.nullif("value", F.lit(-9999.0)), F.lit(None).cast("double"))
-    return archive.join(F.broadcast(neighbours), ["row", "col"]).withColumn("value", value)
+    return archive.join(neighbours, ["row", "col"]).withColumn("value", value)
 
 
 # Groups of archive variables.

@@ -1,5 +1,6 @@
 from datetime import timedelta
 
+import numpy as np
 import pytest
 
 from fogbank.operators import features
@@ -55,3 +56,23 @@ def test_missing_static_features_are_an_error(spark):
     g = spark.createDataFrame([("A",), ("B",)], "point_id string")
     with pytest.raises(ValueError, match="B"):
         features.attach(g, static=spark.createDataFrame([("A", 1.0)], "point_id string, st_elev double"))
+
+
+def test_nearest_pairs_are_exact_wherever_points_lie(spark):
+    rng = np.random.default_rng(5)
+    crowd = [(37.7 + a, -122.4 + b) for a, b in rng.normal(0, 0.02, (60, 2))]
+    at = crowd + [(37.7, -122.4)] * 8 + [(60 + a, 179.95 + 0.1 * (i % 2) - 360 * (i % 2)) for i, a in enumerate(rng.uniform(0, 1, 12))]
+    at += [(float(a), float(b)) for a, b in zip(rng.uniform(-89.9, 89.9, 60), rng.uniform(-180, 180, 60), strict=True)] + [(89.99, 10.0), (89.99, -170.0), (-90.0, 0.0)]
+    points = spark.createDataFrame([(f"p{i:03}", float(a), float(b)) for i, (a, b) in enumerate(at)], "point_id string, lat double, lon double")
+    lat, lon = np.radians([a for a, _ in at]), np.radians([b for _, b in at])
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    dist = 12742 * np.arcsin(np.sqrt(np.minimum(1, h)))
+    np.fill_diagonal(dist, np.inf)
+    got = {}
+    for r in features.nearest_pairs(points, 5).orderBy("point_id", "rank").collect():
+        got.setdefault(int(r.point_id[1:]), []).append(r.dist_km)
+    assert len(got) == len(at)
+    for i, near in got.items():
+        assert near == pytest.approx(np.sort(dist[i])[:5], abs=1e-5)
+    few = features.nearest_pairs(points.where("point_id <= 'p002'"), 5)
+    assert few.count() == 6 and features.nearest_pairs(points.limit(0), 5).collect() == []
