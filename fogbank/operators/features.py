@@ -129,11 +129,28 @@ def upwind_features(obs: DataFrame, groups=GROUPS) -> DataFrame:
 
 #: Levels of boxes: 360 degrees wide at level 0, half as wide at each further one.
 BOX_LEVELS = 20
+#: Stations that are broadcast and compared with one another: 24 bytes and an id each, four million pairs at most.
+FEW_POINTS = 2000
 
 
-def nearest_pairs(points: DataFrame, n: int = NEAREST) -> DataFrame:
+def nearest_pairs(points: DataFrame, n: int = NEAREST, few: int = FEW_POINTS) -> DataFrame:
     """point_id, nb_id, rank, dist_km: each station's nearest others, exactly. points: point_id, lat, lon.
 
+    Up to ``few`` stations, which are counted, are compared in a broadcast loop; more meet in boxes, with the same result.
+    """
+    other = points.select(F.col("point_id").alias("nb_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    if points.limit(few + 1).count() <= few:
+        d = points.select("point_id", "lat", "lon").join(F.broadcast(other), F.col("point_id") != F.col("nb_id"))
+    else:
+        d = in_boxes(points, n)
+    d = d.withColumn("dist_km", great_circle_km("lat", "lon", "lat2", "lon2"))
+    w = Window.partitionBy("point_id").orderBy(F.round("dist_km", 6), "nb_id")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("point_id", "nb_id", "rank", "dist_km")
+
+
+def in_boxes(points: DataFrame, n: int) -> DataFrame:
+    """Pairs (point_id, lat, lon, nb_id, lat2, lon2) among which are each station's n nearest.
+
     Stations are keyed by boxes of several widths. The narrowest box around a station that holds n others bounds the
     distance of its n-th neighbour by the box's diagonal; the station then looks into the nine boxes around it at the first level
     wide enough for that distance. All joins are on equal keys, and no side is broadcast unasked. Stations so near a pole
@@ -158,9 +175,7 @@ def nearest_pairs(points: DataFrame, n: int = NEAREST) -> DataFrame:
     asks = asks.withColumn("bj", F.explode(F.array_distinct(F.transform(steps, lambda i: F.pmod(east + i, boxes)))))
 
     other = boxed.select("level", "bi", "bj", F.col("point_id").alias("nb_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    d = asks.join(other, ["level", "bi", "bj"]).where("point_id <> nb_id").withColumn("dist_km", great_circle_km("lat", "lon", "lat2", "lon2"))
-    w = Window.partitionBy("point_id").orderBy(F.round("dist_km", 6), "nb_id")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("point_id", "nb_id", "rank", "dist_km")
+    return asks.join(other, ["level", "bi", "bj"]).where("point_id <> nb_id")
 
 
 def neighbour_features(gold: DataFrame, pairs: DataFrame) -> DataFrame:

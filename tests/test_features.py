@@ -68,11 +68,12 @@ def test_nearest_pairs_are_exact_wherever_points_lie(spark):
     h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
     dist = 12742 * np.arcsin(np.sqrt(np.minimum(1, h)))
     np.fill_diagonal(dist, np.inf)
-    got = {}
-    for r in features.nearest_pairs(points, 5).orderBy("point_id", "rank").collect():
-        got.setdefault(int(r.point_id[1:]), []).append(r.dist_km)
-    assert len(got) == len(at)
-    for i, near in got.items():
-        assert near == pytest.approx(np.sort(dist[i])[:5], abs=1e-5)
-    few = features.nearest_pairs(points.where("point_id <= 'p002'"), 5)
-    assert few.count() == 6 and features.nearest_pairs(points.limit(0), 5).collect() == []
+    for few in (0, 1000):  # in boxes, and in a loop
+        got = {}
+        for r in features.nearest_pairs(points, 5, few).orderBy("point_id", "rank").collect():
+            got.setdefault(int(r.point_id[1:]), []).append(r.dist_km)
+        assert len(got) == len(at)
+        for i, near in got.items():
+            assert near == pytest.approx(np.sort(dist[i])[:5], abs=1e-5)
+    assert features.nearest_pairs(points.where("point_id <= 'p002'"), 5, 0).count() == 6
+    assert features.nearest_pairs(points.limit(0), 5).collect() == []
