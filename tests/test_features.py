@@ -77,3 +77,25 @@ def test_nearest_pairs_are_exact_wherever_points_lie(spark):
             assert near == pytest.approx(np.sort(dist[i])[:5], abs=1e-5)
     assert features.nearest_pairs(points.where("point_id <= 'p002'"), 5, 0).count() == 6
     assert features.nearest_pairs(points.limit(0), 5).collect() == []
+
+
+def test_network_features_of_stations_without_a_longitude(spark, at):
+    """Those have features and count in the mean, but are on neither side; without others they are left out."""
+    values = {"a": (10.0, 11.0), "b": (20.0, 24.0), "z": (30.0, 39.0)}
+    data = [(s, at(d, 5), "t_sensor", v, "ok") for s, vs in values.items() for d, v in zip((1, 2), vs, strict=True)]
+    obs = spark.createDataFrame(data, "station_id string, obs_time timestamp, variable string, value double, qc_flag string")
+    lons = {"a": -122.5, "b": -122.4}
+    all_ = {r.feature: r.value for r in features.network_features(obs, lons, others=True).collect()}
+    assert all_ == {"pa_a_anom": 1.0, "pa_b_anom": 4.0, "pa_z_anom": 9.0, "pa_mean_anom": 14 / 3, "pa_west_east_anom": -3.0}
+    some = {r.feature: r.value for r in features.network_features(obs, lons).collect()}
+    assert some == {"pa_a_anom": 1.0, "pa_b_anom": 4.0, "pa_mean_anom": 2.5, "pa_west_east_anom": -3.0}
+
+
+def test_network_features_query_has_every_station(spark, tmp_path):
+    from fogbank.plans import registry, views
+
+    n = 12 * views.USERS_PER_STATION
+    e = spark.range(2 * n).selectExpr("id AS event_id", f"CAST(timestamp_micros(1704067200000000 + id div {n} * 3600000000 + id % {n} * 1000000) AS TIMESTAMP_NTZ) AS ts", f"id % {n} AS user_id", "'click' AS event_type", "double(id % 50) AS value", "'{}' AS props")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    names = {r.feature for r in registry.queries()["network_features"](spark, str(tmp_path)).collect()}
+    assert {f"pa_S{i}_d1h" for i in (0, 8, 9, 10, 11)} <= names
