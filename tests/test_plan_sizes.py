@@ -57,6 +57,6 @@ def test_forecast_view_is_not_taken_for_small(spark, many):
     assert nwp._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= nwp.count() * len(nwp.columns) * 8
 
 
-@pytest.mark.parametrize("name", ["station_bias", "usable_rows", "sigma_by_lead", "lag_ensemble", "spread_sigma_fit", "blend_scores", "lag_members_range_join"])
+@pytest.mark.parametrize("name", ["station_bias", "usable_rows", "sigma_by_lead", "lag_ensemble", "spread_sigma_fit", "blend_scores", "lag_members_range_join", "training_examples"])
 def test_forecasts_are_not_broadcast(spark, many, low, name):
     assert max(ran(registry.queries()[name](spark, many)), default=0) <= SMALL
