@@ -1,5 +1,6 @@
 """As-of features against the literal rule."""
 
+import math
 import random
 import statistics
 from datetime import timedelta
@@ -57,6 +58,20 @@ def test_rolling_bias_equals_the_rule(spark, at):
     assert tested > 50
 
 
+def test_rolling_bias_keeps_nothing_of_older_errors(spark, at):
+    # Errors of 20 days with two decimals; a mean that is off in the last bit moves a forecast that is equal to its truth to another bin.
+    rnd, t0, hours = random.Random(11), at(1), 20 * 24
+    truth = {("A", t0 + timedelta(hours=h), "t2m"): round(rnd.uniform(0, 99), 2) for h in range(hours + 2) if rnd.random() > 0.7}
+    nwp = forecasts(spark, at, ["A"], hours, [1], lambda p, i, m: (100 + i * 7 % 80) / 10)
+    got = gold.rolling_bias(gold.base_rows(nwp, gold.hourly(reports(spark, truth)))).collect()
+    assert len(got) == hours
+    for r in got:
+        issue = r.init_time.replace(tzinfo=t0.tzinfo) + timedelta(minutes=55)
+        seen = [(t0 + timedelta(hours=i + 1), (100 + i * 7 % 80) / 10) for i in range(hours)]
+        errors = [truth["A", v, "t2m"] - x for v, x in seen if ("A", v, "t2m") in truth and issue - timedelta(days=14) < v + timedelta(minutes=5) <= issue]
+        assert r.bias14_t2m == (math.fsum(errors) / len(errors) if errors else None)
+
+
 def test_late_station_uses_the_hour_before(spark, at):
     nwp = forecasts(spark, at, ["GGBC1"], 6, [0, 1], lambda p, i, m: 10.0 * (i + 1))
     truth = {("GGBC1", at(1, h), "t2m"): 11.5 + h for h in range(7)}
