@@ -2,6 +2,7 @@
 
 import pytest
 
+from fogbank.operators import forecasters, gold
 from fogbank.plans import registry, views
 
 STATIONS, HOURS = 60, 240
@@ -60,3 +61,36 @@ def test_forecast_view_is_not_taken_for_small(spark, many):
 @pytest.mark.parametrize("name", ["station_bias", "usable_rows", "sigma_by_lead", "lag_ensemble", "spread_sigma_fit", "blend_scores", "lag_members_range_join", "training_examples"])
 def test_forecasts_are_not_broadcast(spark, many, low, name):
     assert max(ran(registry.queries()[name](spark, many)), default=0) <= SMALL
+
+
+def test_points_are_not_literals_of_the_plan(spark):
+    m = forecasters.make("gbm_residual", "t2m")
+    m.state |= {"points": {f"S{i}": i for i in range(500)}, "cols": ["point_number"]}
+    df = m._inputs(spark.createDataFrame([("S7",), ("S499",), ("new",)], "point_id string"))
+    assert "S450" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.point_id, r.x_point_number, r.m_point_number) for r in df.collect()) == [("S499", 499.0, 0.0), ("S7", 7.0, 0.0), ("new", forecasters.MISSING, 1.0)]
+
+
+def test_gbm_query_makes_its_training_rows_once(spark, many, monkeypatch):
+    """What the fit gets is made already, and has the rows and features of the whole training table."""
+    got = []
+
+    class Seen(Exception):
+        pass
+
+    class Stand:
+        def fit(self, train):
+            got.append(train)
+            raise Seen
+
+    monkeypatch.setattr(registry.forecasters, "make", lambda *a, **k: Stand())
+    with pytest.raises(Seen):
+        registry.queries()["gbm_forecast"](spark, many)
+    plan = got[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    nwp, obs = views.nwp(spark, many), registry._obs_qc(spark, many)
+    lean = gold.training_examples(nwp, obs, views.LATE, labelled=True)
+    whole = gold.training_examples(nwp, obs, views.LATE).where("obs_t2m IS NOT NULL OR obs_gust IS NOT NULL")
+    digits = [f"round({c}, 9) AS {c}" if t == "double" else c for c, t in whole.dtypes]
+    a, b = whole.selectExpr(*digits), lean.selectExpr(*digits)
+    assert a.count() == b.count() > 1000 and a.exceptAll(b).isEmpty()
