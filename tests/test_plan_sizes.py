@@ -94,3 +94,12 @@ def test_gbm_query_makes_its_training_rows_once(spark, many, monkeypatch):
     digits = [f"round({c}, 9) AS {c}" if t == "double" else c for c, t in whole.dtypes]
     a, b = whole.selectExpr(*digits), lean.selectExpr(*digits)
     assert a.count() == b.count() > 1000 and a.exceptAll(b).isEmpty()
+
+
+def test_blend_makes_no_bias(spark, many):
+    """The blend stands on the raw model's rows, which need no bias and are the same among all models' rows."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    raw, every = registry._scores(spark, many, raw=True), registry._scores(spark, many)
+    assert "stretch" in plan(every) and "stretch" not in plan(registry.queries()["blend_scores"](spark, many))
+    whole = every.where("model_name = 'raw_hrrr'")
+    assert raw.count() == whole.count() > 1000 and raw.exceptAll(whole).isEmpty()
