@@ -1,0 +1,77 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from fogbank.llm import infill
+
+TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def plainly(doc, text, share=50, spm=80, marks=("<P>", "<S>", "<M>")):
+    text = text or ""
+    h = hashlib.sha256(f"42:{'' if doc is None else doc}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in (0, 8, 16, 24))
+    tokens = TOKEN.findall(text)
+    n = len(tokens)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if not text or any(x in text for x in marks) or h3 % 100 >= share:
+        return n, "plain", None, None, text
+    if h4 % 100 < spm:
+        return n, "spm", len(p), len(m), marks[1] + s + marks[0] + p + marks[2] + m
+    return n, "psm", len(p), len(m), marks[0] + p + marks[1] + s + marks[2] + m
+
+
+TEXTS = [
+    "one two three four", " lead and trail \n", "", None, "   ", "a", "tabs\tand\x0blines\r\n  here", "é ünïcode \U0001f600 \U0001f600x y", "has <P> in it", "<S", "P> x <", "nul \x00 in it", "it's 'quoted' \\Q",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, prose):
+    texts = TEXTS * 12 + [prose(7, 40_000)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "no id at all", "x"), (3, "again 3", "x"), (3, "again 3", "x"), (-5, "below nought is fine", "x")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, output string").repartition(3)
+
+
+def test_equals_plain_code(docs):
+    rows, df = docs
+    got = infill.fill_in_middle(df).collect()
+    key = lambda r: tuple((x is None, x or 0 if not isinstance(x, str) else x) for x in r)
+    assert sorted([tuple(r) for r in got], key=key) == sorted([(i, *plainly(i, t)) for i, t, _ in rows], key=key)
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+
+
+def test_texts_come_back(docs):
+    rows, df = docs
+    out = infill.fill_in_middle(df, share=100)
+    back = out.select("doc_id", infill.restored(F.col("output"), F.col("form")).alias("text")).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text) for r in back) == sorted(((i is None, i or 0), t or "") for i, t, _ in rows)
+    assert out.where("form <> 'plain'").count() > len(rows) // 2
+
+
+def test_other_marks_and_shares(spark):
+    rows = [(i, f"alpha beta <P> gamma' {i}") for i in range(60)]
+    marks = ("[it's|pre]", "[suf.*]", "[mid]")
+    out = infill.fill_in_middle(spark.createDataFrame(rows, "k int, body string"), "k", "body", share=100, spm_share=50, marks=marks)
+    got = out.withColumn("back", infill.restored(F.col("output"), F.col("form"), marks)).collect()
+    for r in got:
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == plainly(r.doc_id, rows[r.doc_id][1], 100, 50, marks)
+        assert r.back == rows[r.doc_id][1]
+    assert {r.form for r in got} == {"psm", "spm"} and out.schema["doc_id"].dataType.simpleString() == "int"
+    with pytest.raises(ValueError, match="differ"):
+        infill.fill_in_middle(out, marks=("a", "a", "b"))
+
+
+def test_small_lots_and_empty_tables(docs):
+    rows, df = docs
+    whole = sorted(map(str, infill.fill_in_middle(df).collect()))
+    assert sorted(map(str, infill.fill_in_middle(df, lot_bytes=10).collect())) == whole
+    assert infill.fill_in_middle(df.limit(0)).count() == 0
+
+
+def test_no_shuffle(docs):
+    plan = infill.fill_in_middle(docs[1].coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Repartition" in plan and "Aggregate" not in plan and "Join" not in plan
