@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import decontam, fingerprint, infill, langid, minhash, mixing, secrets, sharding, substring, toxicity, warc
+from fogbank.llm import decontam, fingerprint, infill, langid, minhash, mixing, secrets, sharding, spelling, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": secrets.op9_secrets,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_infill": infill.op11_infill,
+        "op12_spelling": spelling.op12_spelling,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": mixing.OP8_SQL,
         "op9_secrets": secrets.OP9_SQL,
         "op11_infill": infill.OP11_SQL,
+        "op12_spelling": spelling.OP12_SQL,
     }
