@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fogbank.llm import decontam, fingerprint, infill, langid, minhash, mixing, secrets, sharding, spelling, substring, toxicity, warc
+from fogbank.llm import decontam, extract, fingerprint, infill, langid, minhash, mixing, secrets, sharding, spelling, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_infill": infill.op11_infill,
         "op12_spelling": spelling.op12_spelling,
+        "op13_extraction": extract.op13_extraction,
     }
 
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_secrets": secrets.OP9_SQL,
         "op11_infill": infill.OP11_SQL,
         "op12_spelling": spelling.OP12_SQL,
+        "op13_extraction": extract.OP13_SQL,
     }
