@@ -1,7 +1,7 @@
 """Probabilistic forecasters behind fit(train) and predict(rows), and the backtests that run them.
 
-fit and predict take and return DataFrames. The tree models are boosted by pyspark.ml, so a fit is distributed; they
-take no missing values, so each input is filled with a sentinel and joined by an indicator.
+fit and predict take and return DataFrames. The tree models learn the forecast's error by ``boosting``; missing inputs
+stay missing, and the station is a category.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fogbank.functions.core import finite
+from fogbank.operators import boosting
 from fogbank.operators.scoring import assign_folds, monthly_folds, rms_by_lead, score, station_groups
 from fogbank.schemas import CYCLIC_FIELDS, LAG_FIELDS, NWP_FIELDS, REGIME_FIELDS, TARGETS
 
 SIGMA_FLOOR = 0.1
 GATE_AXIS = 270.0
 REGIME_DERIVED = ("inv925", "inv850", "wind925", "onshore925")
-MISSING = -9999.0
 
 
 def with_regime(df: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def spread_fit(rows: DataFrame, least_rows: int = 100) -> DataFrame:
 
 @dataclass
 class Boosted:
-    """Boosted trees on the forecast's error; sigma from the last 15% of the training rows by time."""
+    """Leaf-wise boosted trees on the forecast's error; sigma from the last 15% of the training rows by time."""
 
     target: str
     name: str
@@ -85,7 +85,7 @@ class Boosted:
     regime: bool = False
     lagged: bool = False
     spread_sigma: bool = False
-    rounds: int = 60
+    settings: boosting.Settings = boosting.Settings()
     held: float = 0.15
     state: dict = field(default_factory=dict)
 
@@ -103,42 +103,30 @@ class Boosted:
             if not found:
                 raise ValueError(f"{self.name} needs the {group}* features joined onto the training rows")
             cols += found
-        if self.point:
-            cols.append("point_number")
         return cols
 
-    def _inputs(self, df: DataFrame) -> DataFrame:
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        """df with the inputs as doubles (missing: null) and the station's number; inputs that df lacks are missing."""
         df = with_regime(df) if self.regime else df
         if self.point:
             # A table, as the points may be thousands: as literals they would be in the plan of every step of the fit.
-            known = df.sparkSession.createDataFrame([(p, float(i)) for p, i in self.state["points"].items()], "point_id string, point_number double")
+            known = df.sparkSession.createDataFrame(sorted(self.state["points"].items()), "point_id string, point_number int")
             df = df.join(F.broadcast(known), "point_id", "left")  # one row per station
-        filled = []
-        for c in self.state.get("cols") or self.columns(df):
-            v = finite(F.col(c).cast("double"))
-            filled += [F.coalesce(v, F.lit(MISSING)).alias(f"x_{c}"), v.isNull().cast("double").alias(f"m_{c}")]
-        return df.select("*", *filled)
+        values = [finite(F.col(c).cast("double")) if c in df.columns else F.lit(None).cast("double") for c in self.state["cols"]]
+        return df.select("*", *[v.alias(f"x_{c}") for v, c in zip(values, self.state["cols"], strict=True)])
 
     def fit(self, train: DataFrame) -> Boosted:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import GBTRegressor
-
         if self.point:
             self.state["points"] = {r.point_id: i for i, r in enumerate(train.select("point_id").distinct().orderBy("point_id").collect())}
         self.state["cols"] = self.columns(with_regime(train) if self.regime else train)
-        names = [f"{k}_{c}" for c in self.state["cols"] for k in ("x", "m")]
-        self.state["assembler"] = VectorAssembler(inputCols=names, outputCol="features")
         # The cut is the time of the row at 85% of the time order, exactly; times are counted, so few of them are held.
         cut = train.agg(F.expr(f"percentile_disc({1 - self.held}) WITHIN GROUP (ORDER BY unix_seconds(valid_time))")).first()[0]
-        rows = self.state["assembler"].transform(
-            self._inputs(train).withColumn("label", F.col(f"obs_{self.target}") - F.col(f"nwp_{self.target}")).withColumn("late", F.unix_seconds("valid_time") > F.lit(cut))
-        )
-        trees = GBTRegressor(
-            featuresCol="features", labelCol="label", maxIter=self.rounds, maxDepth=5, stepSize=0.1, minInstancesPerNode=50,
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=7, validationIndicatorCol="late", validationTol=1e-4,
-        )
-        self.state["model"] = trees.fit(rows)
-        held = self.state["model"].transform(rows.where("late")).withColumn("resid", F.col("label") - F.col("prediction"))
+        rows = self._numbered(train).withColumn("error", F.col(f"obs_{self.target}") - F.col(f"nwp_{self.target}"))
+        late = F.unix_seconds("valid_time") > F.lit(cut)
+        names = [f"x_{c}" for c in self.state["cols"]]
+        key = ["point_id", F.unix_micros("init_time"), "lead_min"]
+        self.state["model"] = boosting.fit(rows, names, "error", late, key, "point_number" if self.point else None, self.settings)
+        held = rows.where(late).withColumn("resid", F.col("error") - self.state["model"].column(rows))
         self.state["table"] = rms_by_lead(held)
         if self.spread_sigma:
             self.state["spread"] = spread_fit(held.select("lead_min", F.col(f"lag_sd_{self.target}").alias("spread"), "resid"))
@@ -146,8 +134,8 @@ class Boosted:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         keep = rows.columns
-        out = self.state["model"].transform(self.state["assembler"].transform(self._inputs(rows)))
-        out = out.select(*keep, (F.col(f"nwp_{self.target}") + F.col("prediction")).alias("mu"))
+        numbered = self._numbered(rows)
+        out = numbered.select(*keep, (F.col(f"nwp_{self.target}") + self.state["model"].column(numbered)).alias("mu"))
         out = sigma_by_lead(out, self.state["table"])
         if self.spread_sigma:
             spread = F.col(f"lag_sd_{self.target}")
@@ -183,7 +171,8 @@ def make(name: str, target: str, **options) -> Shifted | Boosted:
         return Shifted(target, name)
     if name not in BOOSTED:
         raise ValueError(f"unknown model {name!r}; known: {', '.join(MODELS)}")
-    return Boosted(target, name, **(BOOSTED[name] | options))
+    tuned = {k: options.pop(k) for k in tuple(options) if k in boosting.Settings.__dataclass_fields__}
+    return Boosted(target, name, **(BOOSTED[name] | options | dict(settings=boosting.Settings(**tuned))))
 
 
 def scored_rows(model, test: DataFrame, fold: str, run_id: str = "") -> DataFrame:

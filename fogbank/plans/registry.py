@@ -13,7 +13,7 @@ from fogbank.functions import core
 from fogbank.operators import features, forecasters, gold, scoring, silver
 from fogbank.plans import views
 from fogbank.plans.views import oracle, rounded
-from fogbank.session import made_once, table
+from fogbank.session import durable, table
 from fogbank.sources import grids, parsers
 from fogbank.streaming.live import hourly_counts as tumbling
 
@@ -644,7 +644,7 @@ def cell_extract(spark, d):
 def gbm_forecast(spark, d):
     """Boosted trees, trained on the first 80% of time and applied to the rest (no SQL: a learned model)."""
     # A fit reads its rows many times.
-    rows = made_once(gold.training_examples(views.nwp(spark, d), _obs_qc(spark, d), views.LATE, labelled=True).where("obs_t2m IS NOT NULL"))
+    rows = durable(gold.training_examples(views.nwp(spark, d), _obs_qc(spark, d), views.LATE, labelled=True).where("obs_t2m IS NOT NULL"))
     cut = rows.agg(F.percentile_approx(F.unix_seconds("valid_time"), 0.8)).first()[0]
     train, test = rows.where(F.unix_seconds("valid_time") <= F.lit(cut)), rows.where(F.unix_seconds("valid_time") > F.lit(cut))
     return forecasters.make("gbm_residual", "t2m").fit(train).predict(test).select("point_id", "init_time", "lead_min", "mu", "sigma")

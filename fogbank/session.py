@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def made_once(df: DataFrame) -> DataFrame:
-    """df, computed now and kept for its many readers: in the session's checkpoint folder, or in a local session's own
-    storage. A session on a cluster without that folder gets df as it is, as executors' own disks are no place to keep it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir():
-        return df.checkpoint()
-    return df.localCheckpoint() if sc.master == "local" or sc.master.startswith("local[") else df
+#: A temporary folder for local sessions without a shared one, as in tests.
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one only where a local session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="fogbank-core-")
+    return found.rstrip("/")
+
+
+def durable(df: DataFrame, scratch: list | None = None) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: computed once for its many readers, without its lineage.
+
+    The table is added to ``scratch``, if given, for release() once nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/made-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if scratch is not None:
+        scratch.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(scratch: list) -> None:
+    """Deletes tables that are read no more."""
+    while scratch:
+        spark, path = scratch.pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

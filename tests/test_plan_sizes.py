@@ -65,10 +65,10 @@ def test_forecasts_are_not_broadcast(spark, many, low, name):
 
 def test_points_are_not_literals_of_the_plan(spark):
     m = forecasters.make("gbm_residual", "t2m")
-    m.state |= {"points": {f"S{i}": i for i in range(500)}, "cols": ["point_number"]}
-    df = m._inputs(spark.createDataFrame([("S7",), ("S499",), ("new",)], "point_id string"))
+    m.state |= {"points": {f"S{i}": i for i in range(500)}, "cols": []}
+    df = m._numbered(spark.createDataFrame([("S7",), ("S499",), ("new",)], "point_id string"))
     assert "S450" not in df._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted((r.point_id, r.x_point_number, r.m_point_number) for r in df.collect()) == [("S499", 499.0, 0.0), ("S7", 7.0, 0.0), ("new", forecasters.MISSING, 1.0)]
+    assert sorted((r.point_id, r.point_number) for r in df.collect()) == [("S499", 499), ("S7", 7), ("new", None)]
 
 
 def test_gbm_query_makes_its_training_rows_once(spark, many, monkeypatch):
