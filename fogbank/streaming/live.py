@@ -24,11 +24,19 @@ def run_available(spark: SparkSession, source: DataFrame, out: str, checkpoint:
     source.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def rebuild_touched(lake: Lake):
-    """For foreachBatch: append a batch of observations (exactly once by batch id) and rebuild the days it touches."""
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps over its restarts: it stands in the checkpoint before the first batch."""
+    return spark.read.text(f"{checkpoint.rstrip('/')}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def rebuild_touched(lake: Lake, checkpoint: str):
+    """For foreachBatch: append a batch of observations (exactly once by stream and batch) and rebuild the days it touches.
+
+    A batch's number alone is no name: another stream into the lake, or a new checkpoint, counts from 0 again.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        name = f"stream/{batch_id}"
+        name = f"stream/{stream_id(batch.sparkSession, checkpoint)}/{batch_id}"
         if name not in lake.recorded_batches("bronze.obs"):
             lake.append_bronze("bronze.obs", batch, [name])
         days = [str(r.d) for r in batch.select(F.to_date("obs_time").alias("d")).distinct().orderBy("d").collect()]  # days, not rows
@@ -40,4 +48,4 @@ def rebuild_touched(lake: Lake):
 
 
 def ingest(lake: Lake, stream: DataFrame, checkpoint: str) -> None:
-    stream.writeStream.foreachBatch(rebuild_touched(lake)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(rebuild_touched(lake, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
