@@ -328,22 +328,25 @@ def sigma_by_lead(spark, d):
     return scoring.rms_by_lead(_base(spark, d).withColumn("resid", F.col("obs_t2m") - F.col("nwp_t2m")))
 
 
-def _fitted(name: str, mu: str) -> str:
-    return f"""SELECT point_id, init_time, lead_min, {r('mu', 'greatest(coalesce(rms, middle), 0.1) AS sigma')} FROM (SELECT *, {mu} AS mu FROM base JOIN rolling USING (point_id, init_time, lead_min)) b
-LEFT JOIN (SELECT lead_min, sqrt(avg(pow(obs_t2m - mu, 2))) AS rms FROM (SELECT lead_min, obs_t2m, {mu} AS mu FROM base JOIN rolling USING (point_id, init_time, lead_min)) WHERE obs_t2m IS NOT NULL GROUP BY 1) t USING (lead_min),
-(SELECT median(rms) AS middle FROM (SELECT lead_min, sqrt(avg(pow(obs_t2m - mu, 2))) AS rms FROM (SELECT lead_min, obs_t2m, {mu} AS mu FROM base JOIN rolling USING (point_id, init_time, lead_min)) WHERE obs_t2m IS NOT NULL GROUP BY 1)) m"""
+def _fitted(rows: str, mu: str) -> str:
+    return f"""SELECT point_id, init_time, lead_min, {r('mu', 'sigma')} FROM (
+  WITH made AS MATERIALIZED (SELECT point_id, init_time, lead_min, obs_t2m, {mu} AS mu FROM {rows}),
+  leads AS MATERIALIZED (SELECT lead_min, sqrt(avg(pow(obs_t2m - mu, 2))) AS rms FROM made WHERE obs_t2m IS NOT NULL GROUP BY 1)
+  SELECT point_id, init_time, lead_min, mu, greatest(coalesce(rms, middle), 0.1) AS sigma FROM made LEFT JOIN leads USING (lead_min), (SELECT median(rms) AS middle FROM leads))"""
 
 
-def _forecast(name: str):
-    def run(spark, d):
-        rows = gold.with_rolling_bias(_base(spark, d), views.LATE)
-        return forecasters.make(name, "t2m").fit(rows).predict(rows).select("point_id", "init_time", "lead_min", "mu", "sigma")
+@query("raw_scores", _fitted("base", "nwp_t2m"))
+def raw_scores(spark, d):
+    return _forecast(_base(spark, d), "raw_hrrr")
 
-    return run
 
+@query("bias_scores", _fitted("base JOIN rolling USING (point_id, init_time, lead_min)", "nwp_t2m + coalesce(bias14_t2m, 0)"))
+def bias_scores(spark, d):
+    return _forecast(gold.with_rolling_bias(_base(spark, d), views.LATE), "bias_rolling")
 
-query("raw_scores", _fitted("raw_hrrr", "nwp_t2m"))(_forecast("raw_hrrr"))
-query("bias_scores", _fitted("bias_rolling", "nwp_t2m + coalesce(bias14_t2m, 0)"))(_forecast("bias_rolling"))
+
+def _forecast(rows: DataFrame, name: str) -> DataFrame:
+    return forecasters.make(name, "t2m").fit(rows).predict(rows).select("point_id", "init_time", "lead_min", "mu", "sigma")
 
 
 @query("month_excluded_rms", f"""SELECT o_orderkey, {r('sqrt(greatest(CASE WHEN n - nm > 0 THEN (s - sm) / (n - nm) ELSE s / n END, 0)) AS rms_other')} FROM (
@@ -648,3 +651,6 @@ def gbm_forecast(spark, d):
     cut = rows.agg(F.percentile_approx(F.unix_seconds("valid_time"), 0.8)).first()[0]
     train, test = rows.where(F.unix_seconds("valid_time") <= F.lit(cut)), rows.where(F.unix_seconds("valid_time") > F.lit(cut))
     return forecasters.make("gbm_residual", "t2m").fit(train).predict(test).select("point_id", "init_time", "lead_min", "mu", "sigma")
+
+
+from fogbank.plans import streams  # noqa: E402, F401  # registers its queries by the helpers above
