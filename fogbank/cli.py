@@ -6,6 +6,8 @@ import argparse
 import os
 from datetime import UTC, date, datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from fogbank import pipeline, report, session
 from fogbank.lake import Lake, copy_bronze
 from fogbank.operators import features, gold, scoring, silver, terrain
@@ -34,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--sensors", default="", help="sensors and their longitudes: ID=LON,ID=LON")
     t = build.add_parser("static")
     t.add_argument("registry")
-    t.add_argument("raster", help="a .npy file of heights, rows from south to north")
+    t.add_argument("raster", help="Parquet of the raster's cells: row (from the south), col, z")
     t.add_argument("heights", help="Parquet: point_id, height, dist_m of the model's cells")
     t.add_argument("--corner", required=True, help="metres east and north of the first cell's south-west corner: X,Y")
     t.add_argument("--cell", type=float, default=10.0)
@@ -95,19 +97,6 @@ def build_gold(lake: Lake, sensors: dict[str, float] | None = None) -> None:
     lake.replace_partition("gold.upwind_features", features.upwind_features(obs))
 
 
-def http_get(url: str, params: dict) -> tuple[int, dict, bytes]:
-    """One request; answers of any status are returned."""
-    from urllib.error import HTTPError
-    from urllib.parse import urlencode
-    from urllib.request import urlopen
-
-    try:
-        with urlopen(f"{url}?{urlencode(params, doseq=True)}" if params else url, timeout=120) as r:
-            return r.status, dict(r.headers), r.read()
-    except HTTPError as err:
-        return err.code, dict(err.headers), err.read()
-
-
 def positions(spark, path: str):
     return load_registry(path).frame(spark) if path else None
 
@@ -137,13 +126,13 @@ def main(argv: list[str] | None = None) -> None:
         case "build", "gold":
             build_gold(lake, {k: float(v) for k, v in (x.split("=") for x in a.sensors.split(",") if x)})
         case "build", "static":
-            import numpy as np
-
             west, south = map(float, a.corner.split(","))
-            raster = terrain.Raster(np.load(a.raster), west + a.cell / 2, south + a.cell / 2, a.cell)
+            cells = spark.read.parquet(a.raster)
+            size = cells.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+            raster = terrain.Raster(cells, size.row + 1, size.col + 1, west + a.cell / 2, south + a.cell / 2, a.cell)
             pipeline.build_static(lake, positions(spark, a.registry), raster, spark.read.parquet(a.heights), utm)
         case "backfill", _:
-            print(feeds.station_backfill(lake, http_get, [tuple(x.split("/", 1)) for x in a.stations.split(",")], a.start, a.end, a.refetch_days))
+            print(feeds.station_backfill(lake, [tuple(x.split("/", 1)) for x in a.stations.split(",")], a.start, a.end, a.refetch_days))
         case "ingest", _:
             hour = lambda t: spark.read.parquet(p) if os.path.isdir(p := f"{a.folder}/{t:%Y-%m-%dT%H}") else None
             print(feeds.realtime(lake, hour, bounds(a.bounds), a.hours))

@@ -7,6 +7,7 @@ what waits for the watermark comes out.
 from __future__ import annotations
 
 import uuid
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ def cuts_of(df: DataFrame, ts: str) -> tuple[list, object]:
     return ([span.a + (span.b - span.a) * i / SLICES for i in range(1, SLICES)], span.b) if span.a is not None else ([], None)
 
 
-def finished(spark: SparkSession, stream: DataFrame, root: str, scratch: list) -> DataFrame:
-    """The stream's whole output, of which only the output files are kept."""
-    with stateful.rocks_db(spark):
+def finished(spark: SparkSession, stream: DataFrame, root: str, scratch: list, store=nullcontext) -> DataFrame:
+    """The stream's whole output, of which only the output files are kept. store: where it keeps its state, if not as the session says."""
+    with store(spark):
         live.run_available(spark, stream, f"{root}/out", f"{root}/checkpoint")
     release(scratch)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
@@ -52,7 +53,7 @@ def stream_push_onsets(spark, d):
     cuts, last = cuts_of(rows, "obs_time")
     end = spark.createDataFrame([(COAST[0], "t2m", last, 0.0)] if last else [], rows.schema).withColumn("obs_time", F.col("obs_time") + F.expr("INTERVAL 3 DAYS"))
     stream = stateful.push_onsets(in_slices(rows, "obs_time", cuts, end.select(*rows.columns), f"{root}/in"), COAST)
-    return finished(spark, stream, root, [(spark, f"{root}/in"), (spark, f"{root}/checkpoint")]).withColumn("day", F.col("day").cast("string"))
+    return finished(spark, stream, root, [(spark, f"{root}/in"), (spark, f"{root}/checkpoint")], stateful.rocks_db).withColumn("day", F.col("day").cast("string"))
 
 
 @query("stream_truth", f"SELECT point_id, init_time, lead_min, valid_time, {r('obs_t2m', 'obs_gust')} FROM base")

@@ -24,52 +24,60 @@ def number(c: str | Column) -> Column:
     return c.try_cast("double")
 
 
-def observed(df: DataFrame, source: str, batch: str, values: list[str]) -> DataFrame:
-    """station_id, obs_time and value columns to bronze.obs rows; missing values are left out."""
-    long = longer(df.withColumns({v: F.nanvl(F.col(v), F.lit(None).cast("double")) for v in values}), ["station_id", "obs_time"], values)
+def observed(df: DataFrame, source: str, batch: str | None, values: list[str]) -> DataFrame:
+    """station_id, obs_time and value columns to bronze.obs rows; missing values are left out. Without a batch: df's own."""
+    df = df if batch is None else df.withColumn("batch", F.lit(batch))
+    long = longer(df.withColumns({v: F.nanvl(F.col(v), F.lit(None).cast("double")) for v in values}), ["station_id", "obs_time", "batch"], values)
     return long.select(
         F.lit(source).alias("source"), "station_id", "obs_time", "variable", "value", F.lit(None).cast("string").alias("qc_flag"),
-        F.lit(batch).alias("ingest_batch"), F.current_timestamp().alias("ingested_at"),
+        F.col("batch").alias("ingest_batch"), F.current_timestamp().alias("ingested_at"),
     )
 
 
 def csv_columns(lines: DataFrame, names: list[str], comment: str = "#") -> DataFrame:
-    """Columns of CSV lines (column ``value``), found by the header line's names; the header may vary per file."""
+    """Columns of CSV lines (column ``value``), found by the header line's names; the header may vary per file.
+
+    Lines' own batch, if they have one, stays.
+    """
     header = F.col("header")
     rows = lines.where(~F.col("value").startswith(comment) & (F.trim("value") != ""))
     parts = F.split("value", ",")
     at = lambda n: F.get(parts, F.array_position(header, F.lit(n)).cast("int") - 1)
-    return rows.select(*[F.when(F.trim(at(n)).isin("", "M"), None).otherwise(F.trim(at(n))).alias(n) for n in names])
+    own = [F.col("batch")] if "batch" in lines.columns else []
+    return rows.select(*own, *[F.when(F.trim(at(n)).isin("", "M"), None).otherwise(F.trim(at(n))).alias(n) for n in names])
 
 
-def with_header(lines: DataFrame, header: str) -> DataFrame:
+def with_header(lines: DataFrame, header: str | None) -> DataFrame:
+    """Lines with their header's names as a list: one header for all, or each line's own (a text, as read)."""
+    if header is None:
+        return lines.withColumn("header", F.transform(F.split("header", ","), F.trim))
     return lines.where(F.col("value") != header).withColumn("header", F.array(*[F.lit(h.strip()) for h in header.split(",")]))
 
 
-def asos(lines: DataFrame, header: str, batch: str = "") -> DataFrame:
+def asos(lines: DataFrame, header: str | None = None, batch: str | None = "") -> DataFrame:
     """Airport CSV: station, valid, tmpf, dwpf, sknt, drct, gust; Fahrenheit and knots."""
     c = csv_columns(with_header(lines, header), ["station", "valid", "tmpf", "dwpf", "sknt", "drct", "gust"])
     wide = c.select(
-        F.col("station").alias("station_id"), F.to_timestamp("valid", "yyyy-MM-dd HH:mm").alias("obs_time"),
+        *[x for x in ("batch",) if batch is None], F.col("station").alias("station_id"), F.to_timestamp("valid", "yyyy-MM-dd HH:mm").alias("obs_time"),
         celsius(number("tmpf")).alias("t2m"), celsius(number("dwpf")).alias("d2m"), (number("sknt") * KNOT).alias("wind10"),
         number("drct").alias("wdir10"), (number("gust") * KNOT).alias("gust"),
     )
     return observed(wide, "iem_asos", batch, ["t2m", "d2m", "wind10", "wdir10", "gust"])
 
 
-def hads(lines: DataFrame, header: str, batch: str = "") -> DataFrame:
+def hads(lines: DataFrame, header: str | None = None, batch: str | None = "") -> DataFrame:
     """Hydrological CSV: station, utc_valid and the air temperature column TAIRGZZ in Fahrenheit."""
     c = csv_columns(with_header(lines, header), ["station", "utc_valid", "TAIRGZZ"])
     time = F.coalesce(F.try_to_timestamp("utc_valid", F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp("utc_valid", F.lit("yyyy-MM-dd HH:mm")))
-    return observed(c.select(F.col("station").alias("station_id"), time.alias("obs_time"), celsius(number("TAIRGZZ")).alias("t2m")), "iem_hads", batch, ["t2m"])
+    return observed(c.select(*[x for x in ("batch",) if batch is None], F.col("station").alias("station_id"), time.alias("obs_time"), celsius(number("TAIRGZZ")).alias("t2m")), "iem_hads", batch, ["t2m"])
 
 
 # Positions of the buoy columns after the five of time, and the sentinels that mean missing.
 BUOY = {"wdir10": (5, 999.0), "wind10": (6, 99.0), "gust": (7, 99.0), "t2m": (13, 999.0), "sst": (14, 999.0), "d2m": (15, 999.0)}
 
 
-def stdmet(lines: DataFrame, station_id: str, batch: str = "") -> DataFrame:
-    """Buoy text: white space columns, comment lines start with #, years of two or four digits."""
+def stdmet(lines: DataFrame, station_id: str | None = None, batch: str | None = "") -> DataFrame:
+    """Buoy text: white space columns, comment lines start with #, years of two or four digits. Without a station: the lines' own."""
     p = F.split(F.trim("value"), r"\s+")
     at = lambda i: F.try_element_at(p, F.lit(i + 1))
     year = number(at(0)).cast("int")
@@ -77,7 +85,8 @@ def stdmet(lines: DataFrame, station_id: str, batch: str = "") -> DataFrame:
     time = F.try_make_timestamp(full, *[number(at(i)).cast("int") for i in (1, 2, 3, 4)], F.lit(0))
     rows = lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith("YY") & (F.trim("value") != ""))
     vals = [F.when(number(at(i)) < lim, number(at(i))).alias(v) for v, (i, lim) in BUOY.items()]
-    wide = rows.select(F.lit(station_id).alias("station_id"), time.alias("obs_time"), *vals).where("obs_time IS NOT NULL")
+    station = F.col("station") if station_id is None else F.lit(station_id)
+    wide = rows.select(*[x for x in ("batch",) if batch is None], station.alias("station_id"), time.alias("obs_time"), *vals).where("obs_time IS NOT NULL")
     return observed(wide, "ndbc", batch, list(BUOY))
 
 

@@ -110,49 +110,6 @@ def test_fetch_waits_and_gives_up():
         catalog.fetch(lambda: (503, {}, b""), 2, lambda s: None)
 
 
-def ridge():
-    """Sea west of column 100, flat land at 10 m, a ridge of 100 m at columns 150 to 159; cells of 10 m."""
-    z = np.full((300, 400), 10.0)
-    z[:, :100], z[:, 150:160] = -5.0, 100.0
-    return terrain.Raster(z, 0.0, 0.0, 10.0)
-
-
-def test_shelter_and_fetch_around_a_ridge():
-    r = ridge()
-    lee = (2000.0, 1500.0)
-    assert terrain.shelter(r, *lee, 13, 270, 1000) > 5 > 0 > terrain.shelter(r, 1550, 1500, 103, 270, 1000)
-    assert terrain.fetch(r, *lee, 270) == pytest.approx(1000, abs=20) and terrain.fetch(r, *lee, 90) == terrain.FETCH_CAP_M
-
-
-def test_water_is_low_and_flat():
-    rng = np.random.default_rng(0)
-    z = 1.5 + rng.normal(0, 0.02, (300, 300))
-    z[:, 150:] = 1.5 + np.abs(rng.normal(0, 3, (300, 150)))
-    water = terrain.water_mask(z, 10.0)
-    assert water[:, :40].all() and not water[:, 260:].any()
-    r = terrain.Raster(z, 0.0, 0.0, 10.0)
-    wet = np.argwhere(water)
-    assert terrain.water_distance(r, 150, 250) == pytest.approx(10 * np.sqrt(((wet - (150, 250)) ** 2).sum(1).min()))
-    assert terrain.box_mean(z, 2)[30, 19] == pytest.approx(z[28:33, 17:22].mean()) and terrain.box_mean(z, 1)[0, 0] == pytest.approx((4 * z[0, 0] + 2 * z[0, 1] + 2 * z[1, 0] + z[1, 1]) / 9)
-
-
-def test_static_features(spark):
-    z = np.full((300, 300), 50.0)
-    z[:, :100] = -20.0
-    z[200:, 200:] += np.arange(100)[:, None] * 2.0  # rises 2 m every 10 m northwards
-    pts = spark.createDataFrame([("sea", 500.0, 1500.0, 0.0), ("land", 2000.0, 1500.0, 30.0), ("hill", 2500.0, 2500.0, 0.0)], "point_id string, x double, y double, model_height double")
-    got: dict = {}
-    for x in terrain.static_features(pts, terrain.Raster(z, 0.0, 0.0, 10.0)).collect():
-        got.setdefault(x.point_id, {})[x.feature] = x.value
-    assert all(set(g) == set(terrain.FEATURES) for g in got.values())
-    assert got["sea"]["elev_m"] == 0 and got["sea"]["dist_water_m"] == 0 and got["land"]["dist_water_m"] == pytest.approx(1010)
-    assert got["land"]["elev_m"] == pytest.approx(50) and got["land"]["elev_minus_hrrr_m"] == pytest.approx(20) and got["land"]["fetch_250_m"] > 900
-    hill = got["hill"]
-    assert hill["slope_deg"] == pytest.approx(np.degrees(np.arctan(0.2))) and hill["aspect_cos"] == pytest.approx(-1) and hill["tpi_300_m"] == pytest.approx(0)
-    with pytest.raises(ValueError, match="outside"):
-        terrain.point_features(ridge(), -10_000, 0, 0.0)
-
-
 def test_model_height_and_known_points(spark, at):
     cells = spark.createDataFrame([("P", 10.0, 50.0), ("P", 40.0, 300.0)], "point_id string, height double, dist_m double")
     assert terrain.model_terrain(cells).first().model_height == pytest.approx((10 / 100 + 40 / 300) / (1 / 100 + 1 / 300))
@@ -165,42 +122,6 @@ def test_model_height_and_known_points(spark, at):
 
 # --- feeds ------------------------------------------------------------------------
 
-ASOS = "station,valid,tmpf,dwpf,sknt,drct,gust\nSFO,2025-01-05 00:56,50,M,10,270,\nSFO,2025-02-01 00:00,50,40,10,270,\n"
-BUOY = "#YY  MM DD hh mm WDIR WSPD GST  WVHT   DPD   APD MWD   PRES  ATMP  WTMP  DEWP  VIS  TIDE\n#yr  mo dy hr mn degT m/s  m/s m sec sec degT hPa degC degC degC mi ft\n2025 01 05 10 00 270 5.0 7.0 99.00 99.00 99.00 999 1015.0 12.0 999.0 999.0 99.0 99.00\n"
-
-
-def test_requests():
-    url, p = feeds.asos_request("KSFO", date(2025, 1, 1), date(2025, 2, 1))
-    assert url.endswith("/asos.py") and p["station"] == "SFO" and (p["month1"], p["month2"]) == (1, 2) and p["data"] == feeds.ASOS_FIELDS
-    assert feeds.hads_request("X", date(2025, 1, 1), date(2025, 2, 1))[1]["ets"] == "2025-02-01T00:00Z"
-    assert [p.get("filename") for _, p in feeds.buoy_requests("FTPC1", 2025, 11)] == ["ftpc1h2025.txt.gz", "ftpc1b2025.txt.gz", None]
-
-
-def test_station_months_resume_and_refetch(spark, tmp_path):
-    lake = Lake(spark, f"file://{tmp_path}/l", {"bronze.obs": TABLES["bronze.obs"]})
-    lake.init()
-    asked = []
-
-    def get(url, params):
-        asked.append(params.get("filename") or url.rsplit("/", 1)[1])
-        if "asos" in url:
-            return 200, {}, ASOS.encode()
-        if "realtime2" in url:
-            return 200, {}, BUOY.encode()
-        return (404, {}, b"") if "h2025" in params["filename"] else (200, {}, b"<html>no such file")
-
-    run = lambda today: feeds.station_backfill(lake, get, [("iem_asos", "KSFO"), ("ndbc", "FTPC1")], date(2025, 1, 1), date(2025, 2, 1), today=today, log=lambda _: None)
-    assert run(date(2025, 2, 10)) == dict(appended=2, skipped=0, empty=0)
-    assert asked == ["asos.py", "ftpc1h2025.txt.gz", "ftpc112025.txt.gz", "FTPC1.txt"]
-    got = {(r.source, r.variable): r.value for r in lake.read("bronze.obs").collect()}
-    assert got["iem_asos", "t2m"] == pytest.approx(10) and got["ndbc", "gust"] == 7.0 and ("iem_asos", "d2m") not in got
-    assert run(date(2025, 2, 10))["appended"] == 2 and run(date(2025, 6, 1)) == dict(appended=0, skipped=2, empty=0)
-    with pytest.raises(ValueError, match="unknown source"):
-        feeds.station_month(spark, get, "x", "A", date(2025, 1, 1), date(2025, 2, 1))
-    with pytest.raises(catalog.Missing):
-        feeds.station_month(spark, lambda u, p: (404, {}, b""), "ndbc", "A", date(2025, 1, 1), date(2025, 2, 1))
-
-
 def test_realtime_hours(spark, tmp_path, at):
     lake = Lake(spark, f"file://{tmp_path}/l", {k: TABLES[k] for k in ("bronze.obs", "bronze.stations")})
     lake.init()
@@ -234,34 +155,47 @@ def test_messages_and_cycles(spark, at):
     assert feeds.rrfs_cycle(pick, at(1), [1]).first().ingest_batch == "rrfs/2025-01-01T00"
 
 
-def test_archive_windows_are_stitched_and_kept(tmp_path, at):
+def test_archive_windows_are_read_by_tasks_and_kept(spark, tmp_path, at):
     full = np.arange(2 * 450 * 450, dtype="float32").reshape(2, 450, 450)
     full[:, 200, 200] = feeds.FILL
-    asked = []
+    log = tmp_path / "asked"
+    log.mkdir()
 
-    def chunk(name, kind, i, j):
-        asked.append((name, kind))
+    def chunk(name, kind, i, j):  # runs in the tasks: what was asked for is told by files
+        (log / f"{name}-{kind}-{i}-{j}").touch()
         return None if name == "absent" else full[: 1 if kind == "anl" else 2, 150 * i : 150 * i + 150, 150 * j : 150 * j + 150]
 
     box = (140, 310, 190, 205)
-    got = feeds.cycle_window(tmp_path, at(1), ["a"], box, chunk)["a"]
-    assert got.shape == (feeds.CACHE_LEADS + 1, 171, 16) and np.isnan(got[0, 60, 10]) and got[2, 0, 0] == full[1, 140, 190] and np.isnan(got[3]).all()
-    n = len(asked)
-    assert feeds.cycle_window(tmp_path, at(1), ["a"], box, chunk)["a"].shape == got.shape and len(asked) == n
-    feeds.cycle_window(tmp_path, at(1), ["a", "b"], box, chunk)
-    assert {x for x, _ in asked[n:]} == {"b"} and not list(tmp_path.rglob(".*"))
-    with pytest.raises(catalog.Missing):
-        feeds.cycle_window(tmp_path, at(1), ["absent"], box, chunk)
-
-
-def test_elevation_tiles(tmp_path):
+    window = lambda *names: feeds.cycle_window(spark, f"file://{tmp_path}/store", at(1), names, box, chunk)
+    got = {(r.lead_min, r.row, r.col): r.value for r in window("a").collect()}
+    assert len(got) == 3 * 171 * 16 and {m for m, _, _ in got} == {0, 60, 120}
+    assert got[0, 200, 200] is None and got[120, 140, 190] == full[1, 140, 190] and got[0, 310, 205] == full[0, 310, 205]
+    assert len(list(log.iterdir())) == 2 * 3 * 1 + 2 * 3 * 0 + (2 * 3 if 205 // 150 != 190 // 150 else 0)
+    for f in log.iterdir():
+        f.unlink()
+    assert window("a").count() == len(got) and not list(log.iterdir())
+    assert {r.variable for r in window("a", "b").select("variable").distinct().collect()} == {"a", "b"} and {f.name[0] for f in log.iterdir()} == {"b"}
+    with pytest.raises(catalog.Missing, match="absent"):
+        window("a", "absent")
+
+
+def test_elevation_tiles_are_read_by_tasks_once(spark, tmp_path):
     z = np.arange(30 * 50, dtype="float32").reshape(30, 50)
-    calls = []
-    tile = lambda w, s, e, n: (calls.append(1), z[int(s / 10) : int(n / 10), int(w / 10) : int(e / 10)])[1]
-    r = feeds.elevation(tmp_path, tile, (0, 0, 500, 300), size=200)
-    assert (r.z == z).all() and (r.x0, r.y0) == (5, 5) and len(calls) == 6
-    assert (feeds.elevation(tmp_path, tile, (0, 0, 500, 300), size=200).z == z).all() and len(calls) == 6
-    with pytest.raises(ValueError, match="gaps"):
-        feeds.elevation(tmp_path, lambda *b: np.full((20, 20), np.nan), (0, 0, 200, 200), size=200)
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def tile(w, s, e, n):
+        (log / f"{w:.0f}-{s:.0f}").touch()
+        return z[int(s / 10) : int(n / 10), int(w / 10) : int(e / 10)]
+
+    store = f"file://{tmp_path}/store"
+    r = feeds.elevation(spark, store, tile, (0, 0, 500, 300), size=200)
+    assert (r.rows, r.cols, r.x0, r.y0) == (30, 50, 5, 5) and len(list(log.iterdir())) == 6
+    assert {(c.row, c.col): c.z for c in r.cells.collect()} == {(i, j): z[i, j] for i in range(30) for j in range(50)}
+    for f in log.iterdir():
+        f.unlink()
+    assert feeds.elevation(spark, store, tile, (0, 0, 500, 300), size=200).cells.count() == 1500 and not list(log.iterdir())
+    with pytest.raises(Exception, match="gaps"):
+        feeds.elevation(spark, store, lambda *b: np.full((20, 20), np.nan), (0, 0, 200, 200), size=200)
     with pytest.raises(ValueError, match="box"):
-        feeds.elevation(tmp_path, tile, (0, 0, 505, 300))
+        feeds.elevation(spark, store, tile, (0, 0, 505, 300))
