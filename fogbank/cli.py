@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fogbank import pipeline, report, session
 from fogbank.lake import Lake, copy_bronze
-from fogbank.operators import features, gold, scoring, silver, terrain
+from fogbank.operators import scoring, silver, terrain
+from fogbank.refresh import refresh_gold
 from fogbank.sources import feeds
 from fogbank.sources.catalog import bounds, load_registry
 from fogbank.sources.grids import utm
@@ -32,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     s = build.add_parser("silver")
     s.add_argument("start", type=date.fromisoformat)
     s.add_argument("end", type=date.fromisoformat, nargs="?", default=None, help="exclusive; tomorrow (UTC) if left out")
-    g = build.add_parser("gold")
+    g = build.add_parser("gold", help="what has changed in silver since the last build")
     g.add_argument("--sensors", default="", help="sensors and their longitudes: ID=LON,ID=LON")
     t = build.add_parser("static")
     t.add_argument("registry")
@@ -90,13 +91,6 @@ def build_silver(lake: Lake, start: date, end: date) -> None:
         lake.replace_partition(name, make(lake.read(source, where)), where)
 
 
-def build_gold(lake: Lake, sensors: dict[str, float] | None = None) -> None:
-    obs = lake.read("silver.obs_qc")
-    lake.replace_partition("gold.training_examples", gold.training_examples(lake.read("silver.nwp_aligned", "model = 'hrrr'"), obs))
-    lake.replace_partition("gold.network_features", features.network_features(obs.where("source = 'purpleair'"), sensors or {}))
-    lake.replace_partition("gold.upwind_features", features.upwind_features(obs))
-
-
 def positions(spark, path: str):
     return load_registry(path).frame(spark) if path else None
 
@@ -124,7 +118,9 @@ def main(argv: list[str] | None = None) -> None:
         case "build", "silver":
             build_silver(lake, a.start, a.end or tomorrow())
         case "build", "gold":
-            build_gold(lake, {k: float(v) for k, v in (x.split("=") for x in a.sensors.split(",") if x)})
+            sensors = {k: float(v) for k, v in (x.split("=") for x in a.sensors.split(",") if x)}
+            for table, days in refresh_gold(lake, sensors).items():
+                print(table, "built" if days is None else ", ".join(f"{a} to {b}" for a, b in days) or "unchanged")
         case "build", "static":
             west, south = map(float, a.corner.split(","))
             cells = spark.read.parquet(a.raster)

@@ -6,9 +6,14 @@ stay missing, and the station is a category.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Collection
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime
+from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,7 @@ from fogbank.functions.core import finite
 from fogbank.operators import boosting
 from fogbank.operators.scoring import assign_folds, monthly_folds, rms_by_lead, score, station_groups
 from fogbank.schemas import CYCLIC_FIELDS, LAG_FIELDS, NWP_FIELDS, REGIME_FIELDS, TARGETS
+from fogbank.session import durable, release, shared_dir
 
 SIGMA_FLOOR = 0.1
 GATE_AXIS = 270.0
@@ -175,55 +181,83 @@ def make(name: str, target: str, **options) -> Shifted | Boosted:
     return Boosted(target, name, **(BOOSTED[name] | options | dict(settings=boosting.Settings(**tuned))))
 
 
-def scored_rows(model, test: DataFrame, fold: str, run_id: str = "") -> DataFrame:
-    t = model.target
-    out = model.predict(test).select(
-        F.lit(model.name).alias("model_name"), F.lit(run_id).alias("run_id"), F.lit("backtest").alias("kind"), F.lit(fold).alias("fold"), F.lit(t).alias("variable"),
-        "point_id", "init_time", "issue_time", "lead_min", "valid_time", F.col(f"obs_{t}").alias("obs"), "mu", "sigma",
-    )
-    return score(out)
+@dataclass(frozen=True)
+class Fit:
+    """One model of one target, trained on what was known before a fold and tested in it, maybe with stations left out."""
 
+    model: str
+    target: str
+    fold: str
+    start: datetime
+    end: datetime
+    held_out: tuple[str, ...] = ()
+
+    def rows(self, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+        good, others, own = usable(gold, self.target), F.lit(True), F.lit(True)
+        if self.held_out:
+            own = F.col("point_id").isin(*self.held_out)
+            others = ~own
+        begin, end = F.lit(self.start), F.lit(self.end)
+        tested = (F.col("init_time") >= begin) & (F.col("init_time") < end) & (F.col("lead_min") >= 60)
+        return good.where(others & (F.col("valid_time") < begin)), good.where(own & tested)
+
+    def scores(self, gold: DataFrame, **options) -> DataFrame | None:
+        """The test rows with their forecasts and scores; None without rows to train or test on."""
+        train, test = self.rows(gold)
+        if train.isEmpty() or test.isEmpty():
+            return None
+        made = make(self.model, self.target, **(options if self.model in BOOSTED else {})).fit(train).predict(test)
+        fixed = dict(model_name=self.model, run_id="", kind="backtest", fold=self.fold, variable=self.target)
+        key = ["point_id", "init_time", "issue_time", "lead_min", "valid_time"]
+        return score(made.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *key, F.col(f"obs_{self.target}").alias("obs"), "mu", "sigma"))
+
+
+def planned_fits(gold: DataFrame, names: Collection[str], targets: Collection[str], groups: list[list[str]] | None = None, min_train_months: int = 3, fold_months: int = 1) -> list[Fit]:
+    """All fits of a backtest: a few for each month, model and target, and each group of stations that is left out."""
+    out = []
+    for target in targets:
+        folds = monthly_folds(usable(gold, target), min_train_months, fold_months, fold_months).orderBy("test_start").collect()
+        for fold, (k, group) in product(folds, enumerate(groups or [()])):
+            name = f"{fold.fold}/g{k}" if groups else fold.fold
+            out += [Fit(model, target, name, fold.test_start, fold.test_end, tuple(group)) for model in names]
+    return out
 
-def backtest(gold: DataFrame, names: Collection[str], targets: Collection[str], min_train_months: int = 3, **options) -> DataFrame:
-    """Rolling origin: each month is forecast by models trained on all rows known before it.
 
-    The fold list is a few rows a year, so the loop is over fits; each fit and forecast is a distributed job.
+def run_fits(gold: DataFrame, fits: list[Fit], at_once: int = 4, **options) -> DataFrame:
+    """The scores of all fits, at most ``at_once`` of which run at a time, each in a scheduler pool of its own.
+
+    The training rows are made once for all of them, and each fit's scores are written once; jobs of different fits share the
+    cluster, fairly where the session's scheduler is fair.
     """
-    out = None
-    for t in targets:
-        rows = usable(gold, t)
-        for fold in monthly_folds(rows, min_train_months).orderBy("test_start").collect():
-            train = rows.where(F.col("valid_time") < F.lit(fold.test_start))
-            test = rows.where((F.col("init_time") >= F.lit(fold.test_start)) & (F.col("init_time") < F.lit(fold.test_end)) & (F.col("lead_min") >= 60))
-            if not train.limit(1).count() or not test.limit(1).count():
-                continue
-            for name in names:
-                part = scored_rows(make(name, t, **(options if name in BOOSTED else {})).fit(train), test, fold.fold)
-                out = part if out is None else out.unionByName(part)
-    if out is None:
+    spark, scratch = gold.sparkSession, []
+    rows = durable(gold, scratch)
+    path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+
+    def work(numbered: tuple[int, Fit]) -> int:
+        i, fit = numbered
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % at_once}")
+        scores = fit.scores(rows, **options)
+        if scores is not None:
+            scores.write.parquet(f"{path}/{i}")
+        return scores is not None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(work), enumerate(fits)))
+    release(scratch)
+    if not any(done):
         raise ValueError("no fold has both training and test rows")
-    return out
+    return spark.read.parquet(*[f"{path}/{i}" for i, ok in enumerate(done) if ok])
 
 
-def holdout(gold: DataFrame, names: Collection[str], targets: Collection[str], groups: list[list[str]], min_train_months: int = 3, fold_months: int = 3, **options) -> DataFrame:
+def backtest(gold: DataFrame, names: Collection[str], targets: Collection[str], min_train_months: int = 3, at_once: int = 4, **options) -> DataFrame:
+    """Rolling origin: each month is forecast by models trained on all rows known before it."""
+    return run_fits(gold, planned_fits(gold, names, targets, None, min_train_months), at_once, **options)
+
+
+def holdout(gold: DataFrame, names: Collection[str], targets: Collection[str], groups: list[list[str]], min_train_months: int = 3, fold_months: int = 3, at_once: int = 4, **options) -> DataFrame:
     """Leave stations out: each group is forecast by models trained on the other stations before the fold."""
     checked_groups(gold, groups)
-    out = None
-    for t in targets:
-        rows = usable(gold, t)
-        for fold in monthly_folds(rows, min_train_months, fold_months, fold_months).orderBy("test_start").collect():
-            for k, group in enumerate(groups):
-                held = F.col("point_id").isin(group)
-                train = rows.where(~held & (F.col("valid_time") < F.lit(fold.test_start)))
-                test = rows.where(held & (F.col("init_time") >= F.lit(fold.test_start)) & (F.col("init_time") < F.lit(fold.test_end)) & (F.col("lead_min") >= 60))
-                if not train.limit(1).count() or not test.limit(1).count():
-                    continue
-                for name in names:
-                    part = scored_rows(make(name, t, **(options if name in BOOSTED else {})).fit(train), test, f"{fold.fold}/g{k}")
-                    out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no fold has both training and test rows")
-    return out
+    return run_fits(gold, planned_fits(gold, names, targets, groups, min_train_months, fold_months), at_once, **options)
 
 
 def checked_groups(gold: DataFrame, groups: list[list[str]]) -> None:

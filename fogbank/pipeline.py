@@ -8,6 +8,8 @@ import subprocess
 import uuid
 from collections.abc import Collection, Iterable
 from datetime import UTC, datetime
+from functools import reduce
+from itertools import chain, product
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -25,11 +27,11 @@ TABLE_OF = {"pa_": "gold.network_features", "up_": "gold.upwind_features", "st_"
 
 def revision() -> str:
     """The commit of the code that runs, with -dirty if files differ from it."""
-    run = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True, cwd=Path(__file__).parent).stdout.strip()
     try:
-        return run("rev-parse", "--short", "HEAD") + ("-dirty" if run("status", "--porcelain") else "") or "unknown"
+        said = subprocess.run(["git", "describe", "--always", "--dirty", "--exclude=*"], capture_output=True, text=True, cwd=Path(__file__).parent)
     except OSError:
         return "unknown"
+    return said.stdout.strip() or "unknown"
 
 
 # --- inputs -----------------------------------------------------------------------
@@ -97,119 +99,118 @@ def checked(rows: DataFrame, targets: Collection[str]) -> None:
 
 
 def with_baseline(names: Collection[str]) -> list[str]:
-    return list(names) if scoring.BASELINE in names else [scoring.BASELINE, *names]
+    return list(dict.fromkeys([*([] if scoring.BASELINE in names else [scoring.BASELINE]), *names]))
 
 
 def meta(start, end, **more) -> dict:
     return dict(git_sha=revision(), generated_at=datetime.now(UTC), window_start=start, window_end=end, **more)
 
 
+def inputs(lake: Lake, names: Collection[str], targets: Collection[str], start, end, points: DataFrame | None) -> tuple[DataFrame, dict[str, int], tuple]:
+    """A run's checked rows, the versions that they are of, and its window."""
+    span = window(start, end)
+    rows, versions = training_rows(lake, names, points)
+    rows = within(rows, *span)
+    checked(rows, targets)
+    return rows, versions, span
+
+
+def folder(*parts: str | Path) -> Path:
+    out = Path(*parts)
+    out.mkdir(parents=True, exist_ok=True)
+    return out
+
+
+def told(out: Path, board: DataFrame, about: dict, **tables: DataFrame) -> DataFrame:
+    """Writes a report's leaderboard, further tables and what they are about; gives the leaderboard."""
+    for name, df in {"leaderboard": board, **tables}.items():
+        order = [c for c in ("variable", "model_name", "bucket", "point") if c in df.columns] if name != "leaderboard" else ["variable", "bucket", "point", "skill"]
+        df.orderBy(*order).toPandas().to_csv(out / f"{name}.csv", index=False)  # a row per model and cell
+    (out / "meta.json").write_text(json.dumps(report.clean(about), indent=2, default=str))
+    return board
+
+
 # --- drivers ----------------------------------------------------------------------
 
+BACKTEST = "kind = 'backtest'"
+LOGGED = ("crps", "mae", "skill", "skill_lo", "coverage_80")
+
 
 def run_backtest(lake: Lake, names: Collection[str], targets: Collection[str], reports: str | Path, start=None, end=None, points: DataFrame | None = None, **options) -> DataFrame:
     """Rolling backtest: replaces the lake's backtest forecasts and scores, logs each model's run, writes the reports."""
-    start, end = window(start, end)
     names = with_baseline(names)
-    rows, versions = training_rows(lake, names, points)
-    rows = within(rows, start, end)
-    checked(rows, targets)
-    runs, out = {}, None
-    for t in targets:
-        for n in names:
-            runs[n, t] = uuid.uuid4().hex
-            part = forecasters.backtest(rows, [n], [t], **options).withColumn("run_id", F.lit(runs[n, t]))
-            out = part if out is None else out.unionByName(part)
-    lake.replace_partition("gold.forecasts", out, "kind = 'backtest'")
-    # The scores are read back from what was written, so the fits' results are made once for each table.
-    stored = lake.read("gold.forecasts", "kind = 'backtest'")
-    truth = None
-    for t in targets:
-        own = rows.select("point_id", "init_time", "lead_min", F.lit(t).alias("variable"), F.col(f"obs_{t}").alias("obs"))
-        truth = own if truth is None else truth.unionByName(own)
-    lake.replace_partition("gold.scores", scoring.score(stored.join(truth, ["variable", "point_id", "init_time", "lead_min"])), "kind = 'backtest'")
-    version = versions["gold.training_examples"]
-    scores = lake.read("gold.scores", "kind = 'backtest'")
-    Path(reports).mkdir(parents=True, exist_ok=True)
-    board = scoring.leaderboard(scores, GROUPS)
-    cells = [r.asDict() for r in board.where("point = 'all'").collect()]  # a row per model, target and bucket
+    rows, versions, span = inputs(lake, names, targets, start, end, points)
+    runs = {(n, t): uuid.uuid4().hex for t in targets for n in names}
+    run_of = F.create_map(*[F.lit(x) for (n, t), run in runs.items() for x in (f"{n}/{t}", run)])
+    # Fits write their scores once; both tables come from there.
+    made = forecasters.backtest(rows, names, targets, **options).withColumn("run_id", F.element_at(run_of, F.concat_ws("/", "model_name", "variable")))
+    for table in ("gold.forecasts", "gold.scores"):
+        lake.replace_partition(table, made, BACKTEST)
+    scores, version = lake.read("gold.scores", BACKTEST), versions["gold.training_examples"]
+    log = folder(reports) / "runs.jsonl"
+    cells = scoring.leaderboard(scores, GROUPS).where("point = 'all'").collect()  # a row per model, target and bucket
     for (n, t), run in runs.items():
         lake.tag("gold.training_examples", f"run-{run}", version)
-        mine = {f"{k}_{c['bucket'].replace(' ', '').replace('-', '_')}": c[k] for c in cells if (c["model_name"], c["variable"]) == (n, t) for k in ("crps", "mae", "skill", "skill_lo", "coverage_80")}
-        report.log_run(Path(reports) / "runs.jsonl", dict(model=n, target=t, versions=versions, window_start=start, window_end=end), mine, dict(run_id=run, kind="backtest", git_sha=revision()))
-    report.write_reports(scores, reports, GROUPS, meta(start, end, gold_snapshot_id=version, models=names, targets=list(targets), runs={f"{n}/{t}": r for (n, t), r in runs.items()}))
+        about = dict(model=n, target=t, versions=versions, window_start=span[0], window_end=span[1])
+        short = {c: c["bucket"].translate({32: None, ord("-"): "_"}) for c in cells if (c["model_name"], c["variable"]) == (n, t)}
+        report.log_run(log, about, {f"{k}_{b}": c[k] for c, b in short.items() for k in LOGGED}, dict(run_id=run, kind="backtest", git_sha=revision()))
+    report.write_reports(scores, reports, GROUPS, meta(*span, gold_snapshot_id=version, models=names, targets=list(targets), runs={f"{n}/{t}": r for (n, t), r in runs.items()}))
     return scores
 
 
-def run_holdout(lake: Lake, names: Collection[str], targets: Collection[str], reports: str | Path, groups: int | list[list[str]] = 6, start=None, end=None, points: DataFrame | None = None, **options) -> DataFrame:
-    """Leave stations out; nothing goes into the lake, so the rolling backtest stays. groups: how many, or the stations of each."""
-    start, end = window(start, end)
-    asked = list(names)
-    if isinstance(groups, list):
-        groups = [sorted({s.strip() for s in g if s.strip()}) for g in groups]
-        if not groups or not all(groups):
-            raise ValueError("held-out stations must be named")
-    rows, versions = training_rows(lake, names, points)
-    rows = within(rows, start, end)
-    checked(rows, targets)
+def station_sets(rows: DataFrame, groups: int | list[list[str]], targets: Collection[str]) -> tuple[list[str], list[list[str]]]:
+    """All stations, and the groups to leave out: so many, or the named ones, if there are rows to train and test on for each."""
     stations = sorted(r.point_id for r in rows.select("point_id").distinct().collect())
     if isinstance(groups, int):
         number = scoring.station_groups(stations, groups)
-        groups = [sorted(s for s in stations if number[s] == k) for k in range(groups)]
-    else:
-        forecasters.checked_groups(rows, groups)
-        for t in targets:
-            good = forecasters.usable(rows, t)
-            first = good.agg(F.add_months(F.date_trunc("month", F.min("init_time")), 3).cast("timestamp").alias("s")).first().s
-            for g in groups:
-                held = F.col("point_id").isin(g)
-                if not good.where(held).limit(1).count():
-                    raise ValueError(f"the held-out stations have no usable rows for {t}")
-                test = good.where(held & (F.col("init_time") >= F.lit(first)) & (F.col("lead_min") >= 60))
-                if not test.limit(1).count() or not good.where(~held & (F.col("valid_time") < F.lit(first))).limit(1).count():
-                    raise ValueError(f"too few rows to train or test on for {t}")
-    out = Path(reports) / "holdout"
-    out.mkdir(parents=True, exist_ok=True)
-    forecasters.holdout(rows, with_baseline(names), targets, groups, **options).write.mode("overwrite").parquet(f"{out}/scores.parquet")
+        return stations, [[s for s in stations if number[s] == k] for k in range(groups)]
+    named = [sorted({s.strip() for s in g} - {""}) for g in groups]
+    if not named or not all(named):
+        raise ValueError("held-out stations must be named")
+    forecasters.checked_groups(rows, named)
+    fits = forecasters.planned_fits(rows, [scoring.BASELINE], targets, named, fold_months=3)
+    for target, group in product(targets, named):
+        mine = [f for f in fits if f.target == target and f.held_out == tuple(group)]
+        if forecasters.usable(rows, target).where(F.col("point_id").isin(group)).isEmpty():
+            raise ValueError(f"the held-out stations have no usable rows for {target}")
+        if not any(not train.isEmpty() and not test.isEmpty() for train, test in (f.rows(rows) for f in mine)):
+            raise ValueError(f"too few rows to train or test on for {target}")
+    return stations, named
+
+
+def run_holdout(lake: Lake, names: Collection[str], targets: Collection[str], reports: str | Path, groups: int | list[list[str]] = 6, start=None, end=None, points: DataFrame | None = None, **options) -> DataFrame:
+    """Leave stations out; nothing goes into the lake, so the rolling backtest stays. groups: how many, or the stations of each."""
+    if isinstance(groups, list) and not any(s.strip() for g in groups for s in g):
+        raise ValueError("held-out stations must be named")
+    rows, versions, span = inputs(lake, names, targets, start, end, points)
+    stations, left_out = station_sets(rows, groups, targets)
+    out = folder(reports, "holdout")
+    forecasters.holdout(rows, with_baseline(names), targets, left_out, **options).write.mode("overwrite").parquet(f"{out}/scores.parquet")
     scores = rows.sparkSession.read.parquet(f"{out}/scores.parquet")
-    others = {str(i): [s for s in stations if s not in g] for i, g in enumerate(groups)}
-    (out / "meta.json").write_text(json.dumps(report.clean(meta(start, end, snapshots=versions, groups=groups, training_stations_by_group=others, models=asked, targets=list(targets))), indent=2, default=str))
-    _csv(scoring.leaderboard(scores, GROUPS), out / "leaderboard.csv", "variable", "bucket", "point", "skill")
+    trained_on = {str(i): sorted(set(stations) - set(g)) for i, g in enumerate(left_out)}
+    told(out, scoring.leaderboard(scores, GROUPS), meta(*span, snapshots=versions, groups=left_out, training_stations_by_group=trained_on, models=list(names), targets=list(targets)))
     return scores
 
 
 def run_blend_comparison(lake: Lake, names: Collection[str], reports: str | Path) -> DataFrame:
     """The blend on the rows of the stored backtest, for the runs of it that bronze has; all models on common rows."""
     versions = {t: lake.current(t)["version"] for t in ("bronze.nwp_point", "gold.scores")}
-    blend = silver.nbm_aligned(lake.read("bronze.nwp_point", "model = 'nbm'", version=versions["bronze.nwp_point"]))
+    read = lambda t, where: lake.read(t, where, version=versions[t])
+    blend = silver.nbm_aligned(read("bronze.nwp_point", "model = 'nbm'"))
     runs = blend.select("init_time").distinct()
-    some = lake.read("gold.scores", "kind = 'backtest'", version=versions["gold.scores"]).where(F.col("model_name").isin(*with_baseline(names)))
-    some = some.join(runs, "init_time", "left_semi").drop("run_id", "kind", "fold")
-    scores = some.unionByName(scoring.blend_scores(blend, some), allowMissingColumns=True)
-    board = scoring.leaderboard(scores, GROUPS)
-    out = Path(reports) / "nbm"
-    out.mkdir(parents=True, exist_ok=True)
-    _csv(board, out / "leaderboard.csv", "variable", "bucket", "point", "skill")
-    (out / "meta.json").write_text(json.dumps(report.clean(meta(None, None, snapshots=versions, nbm_runs=runs.count())), indent=2, default=str))
-    return board
+    stored = read("gold.scores", BACKTEST).where(F.col("model_name").isin(*with_baseline(names))).join(runs, "init_time", "left_semi").drop("run_id", "kind", "fold")
+    board = scoring.leaderboard(stored.unionByName(scoring.blend_scores(blend, stored), allowMissingColumns=True), GROUPS)
+    return told(folder(reports, "nbm"), board, meta(None, None, snapshots=versions, nbm_runs=runs.count()))
 
 
 def run_ablation(name: str, rows: DataFrame, pairs: Iterable[tuple[str, str]], targets: Collection[str], reports: str | Path | None = None, groups: list[list[str]] | None = None, **options) -> DataFrame:
     """The paired change of each (model, base) on common rows, from rolling folds or, with groups, with stations left out."""
-    pairs = list(pairs)
-    names = sorted({scoring.BASELINE, *(m for p in pairs for m in p)})
-    scored = forecasters.holdout(rows, names, targets, groups, **options) if groups else forecasters.backtest(rows, names, targets, **options)
-    scored = scoring.common_rows(scored)
-    changes = None
-    for m, b in pairs:
-        one = scoring.paired_change(scored, m, b)
-        changes = one if changes is None else changes.unionByName(one)
+    pairs = [tuple(p) for p in pairs]
+    names = sorted({scoring.BASELINE, *chain.from_iterable(pairs)})
+    scored = scoring.common_rows(forecasters.holdout(rows, names, targets, groups, **options) if groups else forecasters.backtest(rows, names, targets, **options))
+    changes = reduce(DataFrame.unionByName, (scoring.paired_change(scored, *p) for p in pairs))
     if reports is not None:
-        out = Path(reports)
-        out.mkdir(parents=True, exist_ok=True)
-        _csv(changes, out / "paired.csv", "variable", "model_name", "bucket", "point")
-        _csv(scoring.leaderboard(scored, GROUPS), out / "leaderboard.csv", "variable", "bucket", "point", "skill")
-        (out / "meta.json").write_text(json.dumps(report.clean(dict(name=name, pairs=pairs, targets=list(targets))), indent=2, default=str))
+        told(folder(reports), scoring.leaderboard(scored, GROUPS), dict(name=name, pairs=pairs, targets=list(targets)), paired=changes)
     return changes
 
 
@@ -220,8 +221,3 @@ def build_static(lake: Lake, registry: DataFrame, raster: terrain.Raster, height
     spots = [(r.point_id, *map(float, place(r.lat, r.lon))) for r in known.collect()]  # a list of stations
     points = known.sparkSession.createDataFrame(spots, "point_id string, x double, y double")
     lake.replace_partition("silver.static_features", terrain.static_features(points.join(terrain.model_terrain(heights), "point_id"), raster))
-
-
-def _csv(df: DataFrame, path: Path, *order: str) -> None:
-    """A report's table: a row per model and cell."""
-    df.orderBy(*order).toPandas().to_csv(path, index=False)

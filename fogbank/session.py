@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 
 def build(app: str = "fogbank", cpus: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
-    """A local session with the settings every plan here relies on (UTC, AQE, Arrow)."""
+    """A local session with the settings every plan here relies on (UTC, AQE, Arrow, fair pools)."""
     b = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FOGBANK_DRIVER_MEMORY", "8g"))
