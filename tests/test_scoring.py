@@ -170,3 +170,31 @@ def test_gbm_query_trains_with_the_default_rounds(spark, monkeypatch):
     with pytest.raises(Made) as made:
         registry.queries()["gbm_forecast"](spark, "/root/testdata/sf0.001")
     assert made.value.args == ({},)
+
+
+def test_fits_at_once_give_the_same_scores_and_overlap(spark, monkeypatch):
+    import threading
+    import time
+
+    g = gold_rows(spark)
+    for c in ("hour_sin", "hour_cos", "doy_sin", "doy_cos"):
+        g = g.withColumn(c, F.sin(F.hour("valid_time").cast("double")))
+    spans, lock, real = [], threading.Lock(), forecasters.Fit.scores
+
+    def timed(self, *a, **k):
+        began = time.perf_counter()
+        out = real(self, *a, **k)
+        with lock:
+            spans.append((began, time.perf_counter()))
+        return out
+
+    monkeypatch.setattr(forecasters.Fit, "scores", timed)
+    names, made = ["raw_hrrr", "bias_rolling", "gbm_nwp"], []
+    for at_once in (1, 4):
+        spans.clear()
+        made.append(forecasters.backtest(g, names, ["t2m"], at_once=at_once, rounds=3))
+        overlap = any(a < d and c < b for i, (a, b) in enumerate(spans) for c, d in spans[i + 1 :])
+        assert len(spans) == len(forecasters.planned_fits(g, names, ["t2m"])) and overlap == (at_once > 1)
+    digits = [[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes] for m in made]
+    one, four = (m.select(*d) for m, d in zip(made, digits, strict=True))
+    assert one.count() == four.count() > 100 and one.exceptAll(four).isEmpty()
