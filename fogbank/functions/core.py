@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,31 +12,52 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 #: The 90th percentile of the standard normal.
 Z90 = 1.2815515655446004
-# Abramowitz and Stegun 26.2.17, |error| < 7.5e-8.
-_P = 0.2316419
-_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+# W. J. Cody's rational approximations of the error function (1969), coefficients from the highest power down; for
+# erf(x) / x in x^2 below 0.46875, for erfc(x) exp(x^2) in x below 4, and for the rest of it in 1 / x^2 beyond.
+NEAR = 0.46875
+NEAR_TOP = (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
+NEAR_BOTTOM = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
+FAR = 4.0
+MIDDLE_TOP = (
+    2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+    8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3,
+)
+MIDDLE_BOTTOM = (
+    1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+    3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3,
+)
+FAR_TOP = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4)
+FAR_BOTTOM = (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def norm_pdf_sql(z: str) -> str:
-    return f"(exp(-({z}) * ({z}) / 2) / {math.sqrt(2 * math.pi)!r})"
+def polynomial(coefficients: Iterable[float], x: Column) -> Column:
+    """From the highest power down."""
+    return reduce(lambda total, c: total * x + c, map(F.lit, coefficients))
 
 
-def norm_cdf_sql(z: str) -> str:
-    """The normal distribution function as plain arithmetic: the same text runs in Spark and DuckDB."""
-    t = f"(1 / (1 + {_P} * abs({z})))"
-    poly = f"({t} * ({_B[0]} + {t} * ({_B[1]} + {t} * ({_B[2]} + {t} * ({_B[3]} + {t} * {_B[4]})))))"
-    upper = f"({norm_pdf_sql(z)} * {poly})"
-    return f"(CASE WHEN ({z}) >= 0 THEN 1 - {upper} ELSE {upper} END)"
+def erfc(x: Column) -> Column:
+    """The complementary error function of numbers from 0 on, to double precision in its tail, too."""
+    ratio = lambda top, bottom, y: polynomial(top, y) / polynomial(bottom, y)
+    s, small = x * x, F.exp(-x * x)
+    beyond = (1 / math.sqrt(math.pi) - ratio(FAR_TOP, FAR_BOTTOM, 1 / s) / s) / x
+    return F.when(x <= NEAR, 1 - x * ratio(NEAR_TOP, NEAR_BOTTOM, s)).when(x <= FAR, small * ratio(MIDDLE_TOP, MIDDLE_BOTTOM, x)).otherwise(small * beyond)
 
 
-def crps_sql(mu: str, sigma: str, obs: str) -> str:
+def norm_cdf(z: Column) -> Column:
+    """The normal distribution function."""
+    side = F.signum(z)
+    return (1 + side) / 2 - side * erfc(F.abs(z) / math.sqrt(2)) / 2
+
+
+def crps(mu: str | Column, sigma: str | Column, obs: str | Column) -> Column:
     """Continuous ranked probability score of a Gaussian."""
-    z = f"(({obs} - {mu}) / {sigma})"
-    return f"({sigma} * ({z} * (2 * {norm_cdf_sql(z)} - 1) + 2 * {norm_pdf_sql(z)} - {1 / math.sqrt(math.pi)!r}))"
+    z = (col(obs) - col(mu)) / col(sigma)
+    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    return col(sigma) * (z * (2 * norm_cdf(z) - 1) + 2 * density - 1 / math.sqrt(math.pi))
 
 
 def finite(c: str | Column) -> Column:

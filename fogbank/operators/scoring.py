@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fogbank.functions.core import Z90, crps_sql, hours_after, lead_bucket, norm_cdf_sql
+from fogbank.functions.core import Z90, crps, hours_after, lead_bucket, norm_cdf
 
 BASELINE = "raw_hrrr"
 KEY = ("variable", "point_id", "init_time", "lead_min")
@@ -31,7 +31,7 @@ def score(df: DataFrame) -> DataFrame:
         .withColumn("p50", F.col("mu"))
         .withColumn("p90", F.col("mu") + Z90 * F.col("sigma"))
         .withColumn("error", F.col("mu") - F.col("obs"))
-        .withColumn("crps", F.expr(crps_sql("mu", "sigma", "obs")))
+        .withColumn("crps", crps("mu", "sigma", "obs"))
         .withColumn("in_p10_p90", ((F.col("obs") >= F.col("p10")) & (F.col("obs") <= F.col("p90"))).cast("int"))
     )
 
@@ -171,7 +171,7 @@ def by_local_hour(scores: DataFrame) -> DataFrame:
 
 
 def pit_histogram(scores: DataFrame) -> DataFrame:
-    pit = F.expr(norm_cdf_sql("((obs - mu) / sigma)"))
+    pit = norm_cdf((F.col("obs") - F.col("mu")) / F.col("sigma"))
     return scores.withColumn("bin", F.least(F.floor(pit * 10), F.lit(9)).cast("int")).where("bin IS NOT NULL").groupBy("variable", "model_name", "bin").agg(F.count("*").alias("n"))
 
 

@@ -426,7 +426,7 @@ def by_local_hour(spark, d):
     return scoring.by_local_hour(_scores(spark, d))
 
 
-@query("pit_histogram", f"SELECT variable, model_name, least(floor({core.norm_cdf_sql('((obs - mu) / sigma)')} * 10), 9)::INT AS bin, count(*) AS n FROM scores GROUP BY 1, 2, 3")
+@query("pit_histogram", f"SELECT variable, model_name, least(floor({views.norm_cdf_sql('((obs - mu) / sigma)')} * 10), 9)::INT AS bin, count(*) AS n FROM scores GROUP BY 1, 2, 3")
 def pit_histogram(spark, d):
     return scoring.pit_histogram(_scores(spark, d))
 

@@ -4,16 +4,28 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fogbank.functions.core import crps_sql, last_known, norm_cdf_sql
+from fogbank.functions.core import crps, last_known, norm_cdf
 from fogbank.operators import forecasters, scoring
+from fogbank.plans import views
 
 
 def test_normal_distribution_and_crps(spark):
     df = spark.createDataFrame([(0.0, 1.0, 0.0), (0.0, 1e-3, 5.0), (1.0, 2.0, -1.5)], "mu double, sigma double, obs double")
-    got = [r.c for r in df.select(F.expr(crps_sql("mu", "sigma", "obs")).alias("c")).collect()]
-    assert got[0] == pytest.approx(0.23370, abs=1e-5) and got[1] == pytest.approx(5.0, abs=1e-3)
-    z = spark.range(-40, 41).select((F.col("id") / 10).alias("z")).select("z", F.expr(norm_cdf_sql("z")).alias("p")).collect()
-    assert all(abs(r.p - 0.5 * (1 + math.erf(r.z / math.sqrt(2)))) < 1e-7 for r in z)
+    got = [r.c for r in df.select(crps("mu", "sigma", "obs").alias("c")).collect()]
+    assert got[0] == pytest.approx(0.23369498, abs=1e-8) and got[1] == pytest.approx(5.0 - 1e-3 / math.sqrt(math.pi), abs=1e-12)
+    z = spark.range(-8000, 8001).select((F.col("id") / 1000).alias("z")).select("z", norm_cdf(F.col("z")).alias("p")).collect()
+    assert max(abs(r.p - (1 + math.erf(r.z / math.sqrt(2))) / 2) for r in z) < 1e-14
+    assert max(abs(r.p / (math.erfc(-r.z / math.sqrt(2)) / 2) - 1) for r in z) < 1e-12  # relative, so that tails are right
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("-inf"),), (40.0,), (-0.0,)], "z double")
+    assert [r.p for r in odd.select(norm_cdf(F.col("z")).alias("p")).collect()] == [None, 1.0, 0.0, 1.0, 0.5]
+
+
+def test_the_sql_has_another_formula_with_the_same_values():
+    import duckdb
+
+    text = views.norm_cdf_sql("z")
+    got = duckdb.sql(f"SELECT z, {text} AS p FROM (SELECT i / 1000 AS z FROM range(-8000, 8001) t(i))").fetchall()
+    assert max(abs(p - (1 + math.erf(z / math.sqrt(2))) / 2) for z, p in got) < 1e-13
 
 
 SCORES = "model_name string, variable string, point_id string, init_time timestamp, lead_min int, valid_time timestamp, obs double, mu double, sigma double"
