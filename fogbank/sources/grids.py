@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fogbank.functions.core import great_circle_km
+from fogbank.functions.core import EARTH_KM, great_circle_km
+from fogbank.session import durable
 
 
 @dataclass(frozen=True)
@@ -72,36 +73,77 @@ class Lambert:
         return box
 
 
+# The ellipsoid, and a transverse Mercator zone's scale and false easting.
+AXIS, FLATTENING, ZONE_SCALE, ZONE_EAST = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0
+
+
+class Zone:
+    """A northern zone of the universal transverse Mercator grid, by Krueger's series to the fourth order (well under 1 mm)."""
+
+    def __init__(self, zone: int = 10):
+        n = FLATTENING / (2 - FLATTENING)
+        self.middle = 6 * zone - 183
+        self.radius = ZONE_SCALE * AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+        self.e = 2 * math.sqrt(n) / (1 + n)
+        # The series' coefficients, to the plane, back, and from the conformal latitude to the geographic one.
+        self.there = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+        self.back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+        self.latitude = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+
+    def plane(self, lat, lon) -> tuple[np.ndarray, np.ndarray]:
+        """Metres east and north."""
+        s, lam = np.sin(np.radians(lat)), np.radians(np.asarray(lon) - self.middle)
+        t = np.sinh(np.arctanh(s) - self.e * np.arctanh(self.e * s))
+        xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.hypot(1, t))
+        x = eta + sum(c * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, c in enumerate(self.there, 1))
+        y = xi + sum(c * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, c in enumerate(self.there, 1))
+        return ZONE_EAST + self.radius * x, self.radius * y
+
+    def globe(self, x, y) -> tuple[np.ndarray, np.ndarray]:
+        """Latitude and longitude of metres east and north."""
+        xi, eta = np.asarray(y) / self.radius, (np.asarray(x) - ZONE_EAST) / self.radius
+        a = xi - sum(c * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, c in enumerate(self.back, 1))
+        b = eta - sum(c * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, c in enumerate(self.back, 1))
+        chi = np.arcsin(np.sin(a) / np.cosh(b))
+        lat = chi + sum(c * np.sin(2 * j * chi) for j, c in enumerate(self.latitude, 1))
+        return np.degrees(lat), self.middle + np.degrees(np.arctan2(np.sinh(b), np.cos(a)))
+
+
 def utm(lat: float, lon: float, zone: int = 10) -> tuple[float, float]:
-    """Metres east and north of a northern UTM zone: the ellipsoidal transverse Mercator series to the third order."""
-    # The ellipsoid and the projection's scale and false easting.
-    a, f, k0, east0 = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    phi, lam = math.radians(lat), math.radians(lon - (6 * zone - 183))
-    e = 2 * math.sqrt(n) / (1 + n)
-    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
-    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t))
-    x = eta + sum(c * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, c in enumerate(alpha, 1))
-    y = xi + sum(c * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, c in enumerate(alpha, 1))
-    return east0 + k0 * radius * x, k0 * radius * y
+    """Metres east and north of a northern zone."""
+    x, y = Zone(zone).plane(lat, lon)
+    return float(x), float(y)
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame, k: int = 4, degrees: float = 0.1) -> DataFrame:
     """The k nearest cells of each point. points: point_id, lat, lon; cells: row, col, cell_lat, cell_lon.
 
-    Both sides are keyed by boxes of the given size and a point looks into the nine boxes around it, so the join is
-    on equal keys. Cells beyond a box's width of a point are not seen: choose degrees above twice the cell size.
+    Both sides are keyed by boxes, and a point looks into the nine around its own, so the join is on equal keys. A point is
+    settled if its k cells are nearer than anything outside those boxes can be; the others look again in boxes twice as
+    wide, till the nine hold everything. Fewer than k cells come out only where there are no more.
     """
-    box = lambda c: F.floor(F.col(c) / degrees)
-    keyed = cells.withColumn("bi", box("cell_lat")).withColumn("bj", box("cell_lon"))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = points.withColumn("bi", box("lat")).withColumn("bj", box("lon")).withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
-    near = near.withColumn("bi", F.col("bi") + F.col("di")).withColumn("bj", F.col("bj") + F.col("dj")).drop("di", "dj")
-    d = near.join(keyed, ["bi", "bj"]).withColumn("dist_m", 1000 * great_circle_km("lat", "lon", "cell_lat", "cell_lon"))
-    w = Window.partitionBy("point_id").orderBy("dist_m", "row", "col")
-    return d.withColumn("k", F.row_number().over(w) - 1).where(F.col("k") < k).select("point_id", "k", "row", "col", "cell_lat", "cell_lon", "dist_m")
+    left, out = points.select("point_id", "lat", "lon"), None
+    while True:
+        box = lambda c, d=degrees: F.floor(F.col(c) / d)
+        keyed = cells.select("row", "col", "cell_lat", "cell_lon", box("cell_lat").alias("bi"), box("cell_lon").alias("bj"))
+        steps = lambda c: F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)]))
+        asked = left.withColumns({"i": box("lat"), "j": box("lon")}).withColumn("bi", steps("i")).withColumn("bj", steps("j"))
+        d = asked.join(keyed, ["bi", "bj"]).withColumn("dist_m", 1000 * great_circle_km("lat", "lon", "cell_lat", "cell_lon"))
+        w = Window.partitionBy("point_id").orderBy("dist_m", "row", "col")
+        ranked = d.withColumn("k", F.row_number().over(w) - 1).where(F.col("k") < k).select("point_id", "k", "row", "col", "cell_lat", "cell_lon", "dist_m")
+        out = ranked if out is None else out.unionByName(ranked)
+        if degrees >= 180:
+            return out
+        # Outside the boxes a cell is at least a box's width off, along a meridian or to another one.
+        aside = F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(degrees, 90.0))))
+        free = 1000 * EARTH_KM * F.least(F.lit(math.radians(degrees)), aside)
+        held: list = []
+        first = durable(out, held)
+        far = first.groupBy("point_id").agg(F.count("*").alias("n"), F.max("dist_m").alias("far"))
+        open_ = points.select("point_id", "lat", "lon").join(far, "point_id", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("far") > free)).select("point_id", "lat", "lon")
+        if open_.isEmpty():
+            return first
+        out, left, degrees = first.join(open_, "point_id", "left_anti"), durable(open_), 2 * degrees
 
 
 def extract(archive: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -129,23 +171,31 @@ def select(spec: str) -> list[str]:
     return list(dict.fromkeys(chain.from_iterable(NAMED[p] for p in asked)))
 
 
-def bearing(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    """Degrees from north of the chord between two near points."""
-    dx = (lon2 - lon1) * math.cos(math.radians((lat1 + lat2) / 2))
-    return math.degrees(math.atan2(dx, lat2 - lat1)) % 360
+def bearing(lat1, lon1, lat2, lon2):
+    """Degrees from north on the ellipsoid from one point to another one near by."""
+    middle = np.radians((np.asarray(lat1) + lat2) / 2)
+    e2 = FLATTENING * (2 - FLATTENING)
+    w = 1 - e2 * np.sin(middle) ** 2
+    east = np.cos(middle) / np.sqrt(w) * (np.asarray(lon2) - lon1)  # by the curvature across the meridian, and along it
+    return np.degrees(np.arctan2(east, (1 - e2) / w**1.5 * (np.asarray(lat2) - lat1))) % 360
+
+
+CHORD_M = 10.0
 
 
-def densify(target: str, line: list[tuple[float, float]], every_m: float) -> list[dict]:
-    """Points at equal steps along a line of (lat, lon), both ends included: point_id, seq, lat, lon, bearing."""
-    at = [0.0]
-    for (a, b), (c, e) in zip(line, line[1:], strict=False):
-        at.append(at[-1] + math.hypot((c - a), (e - b) * math.cos(math.radians((a + c) / 2))) * 111_194.93)
-    n = max(1, round(at[-1] / every_m))
-    dist = np.linspace(0, at[-1], n + 1)
-    lat, lon = (np.interp(dist, at, [p[i] for p in line]) for i in (0, 1))
-    heads = [bearing(lat[i], lon[i], lat[i + 1], lon[i + 1]) for i in range(n)]
-    heads.append(heads[-1])
-    return [dict(point_id=f"{target}:{i:03d}", seq=i, lat=float(lat[i]), lon=float(lon[i]), bearing=heads[i]) for i in range(n + 1)]
+def densify(target: str, line: list[tuple[float, float]], every_m: float, zone: int = 10) -> list[dict]:
+    """Points at equal steps of about every_m along a line of (lat, lon), ends included: point_id, seq, lat, lon, bearing.
+
+    Lengths are those of the zone's plane; a point's bearing is that of a chord of CHORD_M around it, within the line.
+    """
+    plane = Zone(zone)
+    x, y = plane.plane(*np.array(line, dtype=float).T)
+    at = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])
+    place = lambda d: plane.globe(np.interp(d, at, x), np.interp(d, at, y))
+    where = np.linspace(0, at[-1], max(1, round(at[-1] / every_m)) + 1)
+    lat, lon = place(where)
+    heads = bearing(*place(np.maximum(where - CHORD_M / 2, 0)), *place(np.minimum(where + CHORD_M / 2, at[-1])))
+    return [dict(point_id=f"{target}:{i}", seq=i, lat=float(a), lon=float(o), bearing=float(h)) for i, (a, o, h) in enumerate(zip(lat, lon, heads, strict=True))]
 
 
 def cycles(start: datetime, end: datetime, stride_h: int = 1) -> list[datetime]:

@@ -1,4 +1,5 @@
 import json
+import math
 from datetime import UTC, date, datetime
 
 import numpy as np
@@ -81,8 +82,45 @@ def test_sequences_and_selectors():
     assert grids.select("regime, t2m") == [*grids.REGIME, "t2m"]
     with pytest.raises(ValueError, match="unknown"):
         grids.select("nope")
-    pts = grids.densify("r", [(37.0, -122.0), (37.01, -122.0)], 250)
-    assert len(pts) == 5 and pts[0]["bearing"] == pytest.approx(0) and pts[-1]["lat"] == pytest.approx(37.01)
+
+
+def test_transverse_mercator_and_routes():
+    z = grids.Zone(10)
+    # Known places: the meridian's arc to 45 degrees, and the zone's edge on the equator.
+    assert [float(v) for v in z.plane(45.0, -123.0)] == pytest.approx([500_000, 0.9996 * 4984944.378], abs=0.001)
+    assert float(z.plane(0.0, -120.0)[0]) == pytest.approx(833978.557, abs=0.001)
+    lat, lon = np.meshgrid(np.linspace(1, 70, 24), np.linspace(-126, -120, 13))
+    back = z.globe(*z.plane(lat, lon))
+    assert np.abs(back[0] - lat).max() < 1e-9 and np.abs(back[1] - lon).max() < 1e-9
+    pts = grids.densify("r", [(37.0, -122.0), (37.01, -122.0), (37.01, -121.99)], 250)
+    assert [p["point_id"] for p in pts] == [f"r:{i}" for i in range(len(pts))] and len(pts) == 9  # 1109.9 m north, 889.8 m east
+    assert (pts[0]["lat"], pts[0]["lon"]) == pytest.approx((37.0, -122.0)) and (pts[-1]["lat"], pts[-1]["lon"]) == pytest.approx((37.01, -121.99))
+    # A degree of latitude has 110,988 m here, one of longitude 88,985 m, each 0.9997 of that in the plane; steps are of 249.9 m.
+    step = (0.01 * 110_988 + 0.01 * 88_985) / 8
+    assert pts[1]["lat"] == pytest.approx(37 + step / 110_988, abs=1 / 110_988) and pts[6]["lon"] == pytest.approx(-122 + (6 * step - 1109.88) / 88_985, abs=1 / 88_985)
+    assert [round(pts[i]["bearing"]) % 360 for i in (0, 1, 7, 8)] == [0, 0, 90, 90]
+    corner = grids.densify("c", [(37.0, -122.0), (37.001, -122.0), (37.001, -122.0 + 110.988 / 88_985)], 110.98)[1]  # 5 m to either side of the turn
+    assert 30 < corner["bearing"] < 60 and grids.densify("d", [(37.0, -122.0), (37.00001, -122.0)], 250)[0]["bearing"] == pytest.approx(0, abs=1e-6)
+
+
+def test_nearest_cells_widen_their_boxes_until_they_are_sure(spark):
+    rng = np.random.default_rng(5)
+    cells = [(i, 0, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-60, 60, 300), rng.uniform(-170, 170, 300), strict=True))]
+    points = [(f"P{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-50, 50, 25), rng.uniform(-120, 120, 25), strict=True))]
+    point_schema, cell_schema = "point_id string, lat double, lon double", "row int, col int, cell_lat double, cell_lon double"
+    got: dict = {}
+    for r in grids.nearest_cells(spark.createDataFrame(points, point_schema), spark.createDataFrame(cells, cell_schema)).collect():
+        got.setdefault(r.point_id, {})[r.k] = r.row
+
+    def apart(a, o, b, p):
+        a, o, b, p = map(math.radians, (a, o, b, p))
+        return math.asin(math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((p - o) / 2) ** 2))
+
+    for name, a, o in points:
+        want = sorted(cells, key=lambda c: apart(a, o, c[2], c[3]))[:4]
+        assert [got[name][k] for k in range(4)] == [c[0] for c in want]
+    few = grids.nearest_cells(spark.createDataFrame(points[:2], point_schema), spark.createDataFrame(cells[:3], cell_schema))
+    assert few.count() == 6 and grids.nearest_cells(spark.createDataFrame(points[:2], point_schema), spark.createDataFrame([], cell_schema)).count() == 0
 
 
 def test_settings(tmp_path):
