@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import argparse
-import os
 from datetime import UTC, date, datetime, timedelta
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fogbank import pipeline, report, session
-from fogbank.lake import Lake, copy_bronze
+from fogbank.lake import Lake, batch_id, copy_bronze
 from fogbank.operators import scoring, silver, terrain
 from fogbank.refresh import refresh_gold
-from fogbank.sources import feeds
-from fogbank.sources.catalog import bounds, load_registry
-from fogbank.sources.grids import utm
+from fogbank.sources import feeds, parsers
+from fogbank.sources.catalog import Missing, backfill, bounds, load_registry, parse_init
+from fogbank.sources.grids import cycles, utm
+from fogbank.sources.web import http_get
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,18 +42,32 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("heights", help="Parquet: point_id, height, dist_m of the model's cells")
     t.add_argument("--corner", required=True, help="metres east and north of the first cell's south-west corner: X,Y")
     t.add_argument("--cell", type=float, default=10.0)
-    for verb in ("backfill", "ingest"):
-        v = sub.add_parser(verb).add_subparsers(dest="what", required=True)
-        one = v.add_parser("stations" if verb == "backfill" else "network")
-        if verb == "backfill":
-            one.add_argument("stations", help="SOURCE/STATION,SOURCE/STATION")
-            one.add_argument("start", type=date.fromisoformat)
-            one.add_argument("end", type=date.fromisoformat)
-            one.add_argument("--refetch-days", type=int, default=feeds.REFETCH_DAYS)
-        else:
-            one.add_argument("folder", help="decoded hours as Parquet, one folder per hour: YYYY-MM-DDTHH")
-            one.add_argument("--bounds", required=True, help="south,west,north,east")
-            one.add_argument("--hours", type=int, default=2)
+    fill = sub.add_parser("backfill", help="what bronze hasn't recorded of a span of time").add_subparsers(dest="what", required=True)
+    months = fill.add_parser("stations", help="station months from the web")
+    months.add_argument("stations", help="SOURCE/STATION,SOURCE/STATION")
+    months.add_argument("--refetch-days", type=int, default=feeds.REFETCH_DAYS)
+    # Decoded hours and cycles come as Parquet, one folder for each: YYYY-MM-DDTHH.
+    network = fill.add_parser("madis", help="network hours")
+    network.add_argument("--bounds", required=True, help="south,west,north,east")
+    runs = [fill.add_parser(model, help="picked cells of model cycles, long") for model in CYCLES]
+    for one in (months, network, *runs):
+        one.add_argument("start", type=date.fromisoformat)
+        one.add_argument("end", type=date.fromisoformat)
+    ingest = sub.add_parser("ingest", help="the newest of a source").add_subparsers(dest="what", required=True)
+    hours = ingest.add_parser("network", help="the last network hours")
+    hours.add_argument("--bounds", required=True, help="south,west,north,east")
+    hours.add_argument("--hours", type=int, default=2)
+    nwp = ingest.add_parser("nwp", help="one cycle of a model")
+    nwp.add_argument("model", choices=CYCLES)
+    nwp.add_argument("init", help="latest, latest-N or an ISO time")
+    for one in (network, *runs, hours, nwp):
+        one.add_argument("folder", help="decoded Parquet, one folder an hour or cycle: YYYY-MM-DDTHH")
+        one.add_argument("--stride", type=int, default=1, help="every so many hours")
+    reports = ingest.add_parser("obs", help="this month's station reports")
+    reports.add_argument("stations", help="SOURCE/STATION,SOURCE/STATION")
+    sensor = ingest.add_parser("purpleair", help="a sensor's own page")
+    sensor.add_argument("host")
+    sensor.add_argument("station")
     for verb in ("backtest", "holdout", "ablation"):
         back = sub.add_parser(verb)
         back.add_argument("--targets", default="t2m,gust")
@@ -91,6 +106,48 @@ def build_silver(lake: Lake, start: date, end: date) -> None:
         lake.replace_partition(name, make(lake.read(source, where)), where)
 
 
+#: The models whose cycles can be taken in.
+CYCLES = ("hrrr", "nbm", "rrfs")
+
+
+def stations(text: str) -> list[tuple[str, str]]:
+    return [tuple(x.split("/", 1)) for x in text.split(",")]
+
+
+def cycles_between(start: date, end: date, stride: int) -> list[datetime]:
+    at = lambda d: datetime(d.year, d.month, d.day, tzinfo=UTC)
+    return cycles(at(start), at(end), stride)
+
+
+def decoded(spark: SparkSession, folder: str, t: datetime) -> DataFrame | None:
+    """An hour's or a cycle's decoded rows, None if the source has none."""
+    path = f"{folder.rstrip('/')}/{t:%Y-%m-%dT%H}"
+    return spark.read.parquet(path) if feeds.written(spark, path) else None
+
+
+def there(df: DataFrame | None, t: datetime) -> DataFrame:
+    if df is None:
+        raise Missing(f"{t:%Y-%m-%dT%H}")
+    return df
+
+
+def backfill_cycles(lake: Lake, model: str, folder: str, inits: list[datetime]) -> int:
+    """Appends the cycles that bronze hasn't recorded; rows carry the id that is recorded."""
+
+    def load(init: datetime) -> DataFrame:
+        rows = there(decoded(lake.spark, folder, init), init)
+        return rows.withColumns({"model": F.lit(model), "init_time": F.lit(init), "ingest_batch": F.lit(batch_id(model, init)), "ingested_at": F.current_timestamp()})
+
+    return backfill(lake, "bronze.nwp_point", model, inits, load)
+
+
+def backfill_network(lake: Lake, folder: str, box: tuple[float, float, float, float], hours: list[datetime]) -> dict[str, int]:
+    """Observations and stations of the hours that bronze hasn't recorded."""
+    part = lambda i: lambda t: parsers.network_hour(there(decoded(lake.spark, folder, t), t), box, batch_id("madis", t))[i]
+    # Stations first: the hours' observations are what tells that they are done.
+    return {table: backfill(lake, table, "madis", hours, part(i)) for table, i in (("bronze.stations", 1), ("bronze.obs", 0))}
+
+
 def positions(spark, path: str):
     return load_registry(path).frame(spark) if path else None
 
@@ -127,11 +184,22 @@ def main(argv: list[str] | None = None) -> None:
             size = cells.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
             raster = terrain.Raster(cells, size.row + 1, size.col + 1, west + a.cell / 2, south + a.cell / 2, a.cell)
             pipeline.build_static(lake, positions(spark, a.registry), raster, spark.read.parquet(a.heights), utm)
-        case "backfill", _:
-            print(feeds.station_backfill(lake, [tuple(x.split("/", 1)) for x in a.stations.split(",")], a.start, a.end, a.refetch_days))
-        case "ingest", _:
-            hour = lambda t: spark.read.parquet(p) if os.path.isdir(p := f"{a.folder}/{t:%Y-%m-%dT%H}") else None
-            print(feeds.realtime(lake, hour, bounds(a.bounds), a.hours))
+        case "backfill", "stations":
+            print(feeds.station_backfill(lake, stations(a.stations), a.start, a.end, a.refetch_days))
+        case "ingest", "obs":
+            today = datetime.now(UTC).date()
+            print(feeds.station_backfill(lake, stations(a.stations), today.replace(day=1), today + timedelta(days=1)))
+        case "backfill", "madis":
+            print(backfill_network(lake, a.folder, bounds(a.bounds), cycles_between(a.start, a.end, a.stride)))
+        case "ingest", "network":
+            print(feeds.realtime(lake, lambda t: decoded(spark, a.folder, t), bounds(a.bounds), a.hours))
+        case "backfill", model:
+            print(backfill_cycles(lake, model, a.folder, cycles_between(a.start, a.end, a.stride)))
+        case "ingest", "nwp":
+            print(backfill_cycles(lake, a.model, a.folder, [parse_init(a.init)]))
+        case "ingest", "purpleair":
+            name = batch_id("purpleair", a.station, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M"))
+            print(lake.append_bronze("bronze.obs", feeds.local_sensor(spark, http_get, a.host, a.station, name), [name]))
         case "backtest", _:
             pipeline.run_backtest(lake, a.models.split(","), a.targets.split(","), a.reports, a.start, a.end, positions(spark, a.registry))
         case "holdout", _:

@@ -154,7 +154,7 @@ def run_backtest(lake: Lake, names: Collection[str], targets: Collection[str], r
         about = dict(model=n, target=t, versions=versions, window_start=span[0], window_end=span[1])
         short = {c: c["bucket"].translate({32: None, ord("-"): "_"}) for c in cells if (c["model_name"], c["variable"]) == (n, t)}
         report.log_run(log, about, {f"{k}_{b}": c[k] for c, b in short.items() for k in LOGGED}, dict(run_id=run, kind="backtest", git_sha=revision()))
-    report.write_reports(scores, reports, GROUPS, meta(*span, gold_snapshot_id=version, models=names, targets=list(targets), runs={f"{n}/{t}": r for (n, t), r in runs.items()}))
+    report.write_reports(scores, reports, GROUPS, meta(*span, gold_snapshot_id=version, models=names, targets=list(targets), runs={f"{n}/{t}": r for (n, t), r in runs.items()}), f"{lake.root}/_reports/backtest")
     return scores
 
 
@@ -185,8 +185,9 @@ def run_holdout(lake: Lake, names: Collection[str], targets: Collection[str], re
     rows, versions, span = inputs(lake, names, targets, start, end, points)
     stations, left_out = station_sets(rows, groups, targets)
     out = folder(reports, "holdout")
-    forecasters.holdout(rows, with_baseline(names), targets, left_out, **options).write.mode("overwrite").parquet(f"{out}/scores.parquet")
-    scores = rows.sparkSession.read.parquet(f"{out}/scores.parquet")
+    kept = f"{lake.root}/_reports/holdout/scores.parquet"  # where the tasks and later readers find it
+    forecasters.holdout(rows, with_baseline(names), targets, left_out, **options).write.mode("overwrite").parquet(kept)
+    scores = rows.sparkSession.read.parquet(kept)
     trained_on = {str(i): sorted(set(stations) - set(g)) for i, g in enumerate(left_out)}
     told(out, scoring.leaderboard(scores, GROUPS), meta(*span, snapshots=versions, groups=left_out, training_stations_by_group=trained_on, models=list(names), targets=list(targets)))
     return scores

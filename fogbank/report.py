@@ -34,10 +34,12 @@ def records(df: DataFrame) -> list[dict]:
     return [clean(r.asDict()) for r in df.collect()]
 
 
-def write_reports(scores: DataFrame, out: str | Path, groups: dict | None = None, meta: dict | None = None) -> None:
+def write_reports(scores: DataFrame, out: str | Path, groups: dict | None = None, meta: dict | None = None, store: str | None = None) -> None:
+    """Small tables to the driver's folder ``out``; the scores themselves, written by tasks, to ``store`` on any file system."""
     out = Path(out)
     out.mkdir(parents=True, exist_ok=True)
-    scores.write.mode("overwrite").parquet(f"file://{out.resolve()}/scores.parquet")
+    if store:
+        scores.write.mode("overwrite").parquet(f"{store}/scores.parquet")
     scoring.leaderboard(scores, groups).orderBy("variable", "bucket", "point", "skill").toPandas().to_csv(out / FILES[0], index=False)
     scoring.monthly_skill(scores).orderBy("variable", "model_name", "month").toPandas().to_csv(out / FILES[1], index=False)
     (out / FILES[2]).write_text(json.dumps(clean(meta or {}), default=str))

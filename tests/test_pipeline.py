@@ -51,7 +51,7 @@ def test_champion_runs_from_the_lake(lake, tmp_path):
     assert meta["models"] == ["raw_hrrr", "gbm_terrain_stack"] and meta["window_end"].startswith("2025-05-01") and set(meta["runs"]) == {"raw_hrrr/t2m", "gbm_terrain_stack/t2m"}
     runs = [json.loads(x) for x in (tmp_path / "runs.jsonl").read_text().splitlines()]
     assert len(runs) == 2 and runs[1]["metrics"]["skill_1_3h"] > 0.2 and f"run-{runs[1]['tags']['run_id']}" in lake.tags("gold.training_examples")
-    assert (tmp_path / "scores.parquet").is_dir() and (tmp_path / "leaderboard.csv").exists()
+    assert lake.spark.read.parquet(f"{lake.root}/_reports/backtest/scores.parquet").count() == scores.count() and (tmp_path / "leaderboard.csv").exists()
 
 
 def test_holdout_and_its_checks(lake, tmp_path):
@@ -97,3 +97,29 @@ def test_verbs(at):
     assert parse("holdout", "--groups", "A,B;C").groups == "A,B;C" and cli.groups("A,B;C") == [["A", "B"], ["C"]] and cli.groups("6") == 6
     assert parse("build", "static", "r", "z.npy", "h", "--corner", "1,2").cell == 10.0 and parse("ablation", "n", "a:b").pairs == "a:b"
     assert parse("backfill", "stations", "ndbc/X", "2025-01-01", "2025-02-01").refetch_days == 45 and parse("nbm").models == "bias_rolling"
+
+
+def test_verbs_take_decoded_cycles_and_hours_in_and_resume(spark, tmp_path, capsys, monkeypatch):
+    """backfill of a model's cycles and of network hours, ingest of the latest, each recorded under the id that its rows carry."""
+    from datetime import UTC, datetime
+
+    root, folder = f"file://{tmp_path}/lake", f"file://{tmp_path}/decoded"
+    lake = Lake(spark, root)
+    lake.init()
+    t = lambda h: datetime(2025, 1, 1, h, tzinfo=UTC)
+    cells = "product string, lead_min int, valid_time timestamp, point_id string, variable string, level string, member int, k int, value double"
+    for h in (0, 2):
+        spark.createDataFrame([("co", 60, t(h + 1), "P", "t2m", "2m", 0, 0, 280.0)], cells).write.parquet(f"{folder}/nbm/{t(h):%Y-%m-%dT%H}")
+        report = [(0, "A ", "X", 37.5, -122.5, 3.0, int(t(h).timestamp()), 290.15, "V")]
+        spark.createDataFrame(report, "pos int, stationId string, dataProvider string, latitude double, longitude double, elevation double, observationTime long, temperature double, temperatureDD string").write.parquet(f"{folder}/net/{t(h):%Y-%m-%dT%H}")
+    monkeypatch.setattr(cli.session, "build", lambda *a: spark)
+    run = lambda *a: cli.main(["--lake", root, *a])
+    run("backfill", "nbm", "2025-01-01", "2025-01-02", f"{folder}/nbm")
+    assert lake.recorded_batches("bronze.nwp_point") == {"nbm/2025-01-01T00", "nbm/2025-01-01T02"} == {r.ingest_batch for r in lake.read("bronze.nwp_point").collect()}
+    run("backfill", "nbm", "2025-01-01", "2025-01-02", f"{folder}/nbm")
+    run("ingest", "nwp", "nbm", "2025-01-01T02:00", f"{folder}/nbm")
+    assert lake.read("bronze.nwp_point").count() == 2
+    for _ in range(2):
+        run("backfill", "madis", "2025-01-01", "2025-01-02", f"{folder}/net", "--bounds", "37,-123,38,-122")
+    assert lake.recorded_batches("bronze.obs") == {"madis/2025-01-01T00", "madis/2025-01-01T02"} and lake.read("bronze.obs").count() == 2 and lake.read("bronze.stations").count() == 2
+    assert "missing" in capsys.readouterr().out
