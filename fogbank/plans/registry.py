@@ -302,15 +302,15 @@ def knn_pairs(spark, d):
 
 
 _NB = [f"nb{k}_{f}" for k in (1, 2, 3) for f in features.NEIGHBOUR_FIELDS]
-_RING = "SELECT concat('S', s) AS point_id, concat('S', (s + k) % 8) AS nb_id, k AS rank, CAST(k * 3 + s AS DOUBLE) / 10 AS dist_km FROM {s} s({s1}), {k} k({k1})"
 
 
 @query("neighbour_features", f"""SELECT point_id, init_time, lead_min, {r(*[f"max({f}) FILTER (WHERE rank = {k}) AS nb{k}_{f}" for k in (1, 2, 3) for f in features.NEIGHBOUR_FIELDS], *[f"sum(w * {f}) / sum(w) FILTER (WHERE {f} IS NOT NULL) AS nbw_{f}" for f in features.NEIGHBOUR_FIELDS])}
 FROM (SELECT p.point_id, p.rank, p.w, i.init_time, i.lead_min, i.err_at_init_t2m, i.err_at_init_gust, r.bias14_t2m, r.bias14_gust FROM init_err i JOIN rolling r USING (point_id, init_time, lead_min)
-  JOIN (SELECT *, 1 / greatest(dist_km, 0.2::DOUBLE) AS w FROM (SELECT concat('S', s) AS point_id, concat('S', (s + k) % 8) AS nb_id, k AS rank, CAST(k * 3 + s AS DOUBLE) / 10 AS dist_km FROM (SELECT unnest(range(8)) AS s) a, (SELECT unnest(range(1, 6)) AS k) b)) p ON p.nb_id = i.point_id) GROUP BY 1, 2, 3""")
+  JOIN (SELECT *, 1 / greatest(dist_km, 0.2::DOUBLE) AS w FROM (SELECT concat('S', s) AS point_id, concat('S', (s + k) % {views._COUNT}) AS nb_id, k AS rank, CAST(k * 3 + s AS DOUBLE) / 10 AS dist_km FROM (SELECT unnest(range({views._COUNT})) AS s) a, (SELECT unnest(range(1, 6)) AS k) b)) p ON p.nb_id = i.point_id) GROUP BY 1, 2, 3""")
 def neighbour_features(spark, d):
     base = _base(spark, d)
-    ring = spark.sql("SELECT concat('S', s) AS point_id, concat('S', (s + k) % 8) AS nb_id, k AS rank, CAST(k * 3 + s AS DOUBLE) / 10 AS dist_km FROM (SELECT *, explode(sequence(1, 5)) AS k FROM (SELECT explode(sequence(0, 7)) AS s) a) b")
+    n = views.stations(spark, d)
+    ring = spark.sql(f"SELECT concat('S', s) AS point_id, concat('S', (s + k) % {n}) AS nb_id, CAST(k AS INT) AS rank, CAST(k * 3 + s AS DOUBLE) / 10 AS dist_km FROM range({n}) a(s) CROSS JOIN range(1, 6) b(k)")
     rows = gold.init_error(gold.with_rolling_bias(base, views.LATE), views.nwp(spark, d))
     return features.neighbour_features(rows, ring).select("point_id", "init_time", "lead_min", *_NB, *[f"nbw_{f}" for f in features.NEIGHBOUR_FIELDS])
 

@@ -58,19 +58,20 @@ _AT = "CASE j WHEN 4 THEN 'cloudBase:0' WHEN 5 THEN 'cloudCeiling:0' WHEN 6 THEN
 
 
 def _cells(spark: bool, model: str = "hrrr") -> str:
-    """Four cells around each supplier's position for every cycle that events cover at noon or midnight, sent twice."""
+    """Four cells around each station for each day's first cycle that events cover, sent twice."""
     x = lambda n: f"explode(sequence(0, {n - 1}))" if spark else f"unnest(range({n}))"
     hour = "(unix_micros(init_time) div 3600000000)" if spark else "(epoch_us(init_time) // 3600000000)"
     valid = "timestamp_micros(unix_micros(init_time) + lead * 3600000000)" if spark else "make_timestamp(epoch_us(init_time) + lead * 3600000000)"
     seen = "timestamp_micros(unix_micros(init_time) + (lead + again * 5) * 3600000000)" if spark else "make_timestamp(epoch_us(init_time) + (lead + again * 5) * 3600000000)"
     name = _LEVELS if model == "hrrr" else "CASE j WHEN 0 THEN 't2m' WHEN 1 THEN 't2m_sd' WHEN 2 THEN 'gust' ELSE 'gust_sd' END"
     n = 14 if model == "hrrr" else 4
+    days = "SELECT DISTINCT date_trunc('day', ts) AS init_time FROM events"
+    each = f"SELECT /*+ REPARTITION({_TASKS}) */ init_time, s FROM ({days}) a CROSS JOIN range({_COUNT}) r(s)" if spark else f"SELECT init_time, unnest(range({_COUNT})) AS s FROM ({days}) a"
     return f"""SELECT '{model}' AS model, 'sfc' AS product, init_time, CAST(lead * 60 AS INT) AS lead_min, {valid} AS valid_time, concat('S', s) AS point_id,
   {name} AS variable, {_AT} AS level, 0 AS member, CAST(k AS INT) AS k,
   CASE WHEN ({hour} + j * 3 + k + s) % 13 = 0 THEN NULL ELSE CAST(2500 + ({hour} * 7 + lead * 3 + j * 17 + k * 5 + s * 29 + again * 11) % 500 AS DOUBLE) / 10 END AS value,
   CAST(-1224 - k - s AS DOUBLE) / 10 AS grid_lon, CAST(50 + k * 700 + s * 10 AS DOUBLE) AS grid_dist_m, {seen} AS ingested_at
-FROM (SELECT *, {x(2)} AS again FROM (SELECT *, {x(n)} AS j FROM (SELECT *, {x(4)} AS k FROM (SELECT *, {x(3)} AS lead FROM (SELECT init_time, {x(STATIONS)} AS s
-  FROM (SELECT DISTINCT date_trunc('day', ts) AS init_time FROM events) a) b) c) d) e) f"""
+FROM (SELECT *, {x(2)} AS again FROM (SELECT *, {x(n)} AS j FROM (SELECT *, {x(4)} AS k FROM (SELECT *, {x(3)} AS lead FROM ({each}) b) c) d) e) f"""
 
 
 def _coast(spark: bool) -> str:
