@@ -5,8 +5,10 @@ Every version of every path is content-addressed (SHA-256 of its UTF-8 bytes). T
 many paths and versions carry it, and findings are joined back to all paths. Rule sets have versions of their own, so a
 new set doesn't make the old ones run again: the base rules, and added ones that find more kinds.
 
-The query keeps a history of two commits: the documents as they are, and the versions of those paths whose assigned
-secrets were redacted later. The second commit is scanned against the ledger of the first, so only new blobs are.
+The query has a history: an earlier scan of the documents, when there were only the base rules, left a ledger; the documents are
+scanned again now that there are added rules, and so are later versions of those paths whose assigned secrets were redacted. Each
+scan takes the pairs that the ledger lacks; a pair scanned twice would stand in it twice and be found twice. A row has the findings
+of its document and, if it has one, of the later version.
 
 Spans come from built-in functions: ``split`` by a rule's pattern gives the text between matches and
 ``regexp_extract_all`` the matches, so running sums of their lengths are the code-point offsets. The sums go through
@@ -31,7 +33,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 # A private key's first line, and a name with a password in an address.
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-LOGIN = r"[a-z][a-z0-9+.-]*://[A-Za-z0-9_.%+-]+:[A-Za-z0-9_.%+!$*-]+@"
+# The address's scheme has at most 31 characters (of a longer run its end counts), so that a run without one is passed in linear time.
+LOGIN = r"[a-z][a-z0-9+.-]{0,30}://[A-Za-z0-9_.%+-]+:[A-Za-z0-9_.%+!$*-]+@"
 RULES = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 ADDED = (("pem", PEM), ("login", LOGIN))
 RANK = {kind: i for i, (kind, _) in enumerate((*RULES, *ADDED))}
@@ -111,47 +114,68 @@ def findings(versioned: DataFrame, ledger: DataFrame, rules: str | tuple[str, ..
     )
 
 
+def without_secrets(text: str) -> Column:
+    """A text with its assigned secrets redacted; null where it has none."""
+    rx = _literal(ASSIGN)
+    return F.expr(f"CASE WHEN {text} RLIKE {rx} THEN regexp_replace({text}, {rx}, '[redacted]') END")
+
+
 def redacted(versioned: DataFrame) -> DataFrame:
     """The later versions of those paths that have an assigned secret: doc_id, blob, text without it."""
-    rx = _literal(ASSIGN)
-    clean = versioned.where(F.expr(f"text RLIKE {rx}")).select("doc_id", F.expr(f"regexp_replace(text, {rx}, '[redacted]')").alias("text"))
-    return versions(clean)
+    return versions(versioned.select("doc_id", without_secrets("text").alias("text")).where("text IS NOT NULL"))
+
+
+def scanned(history: list[tuple[DataFrame, tuple[str, ...]]], scratch: list | None = None) -> DataFrame:
+    """The ledger after scans of (versions, rule sets), one after another; each takes what the ledger lacks by then."""
+    ledger = None
+    for versioned, sets in history:
+        new = durable(scan_unseen(versioned, ledger, sets), scratch)
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return ledger
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = tuple(RULE_SETS)
     first = versions(documents(spark, sf_dir))
-    ledger = durable(scan_unseen(first, None, sets))
-    ledger = ledger.unionByName(durable(scan_unseen(redacted(first), ledger, sets)))
+    ledger = scanned([(first, (RULE_VERSION,)), (first, sets), (redacted(first), sets)])
+    # A path's row holds the addresses of both of its versions, so that repeated ids don't meet each other's.
+    hits = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    later = F.when(F.col("clean").isNotNull(), F.unhex(F.sha2(F.col("clean").cast("binary"), 256)))
+    paths = first.select("doc_id", "blob", without_secrets("text").alias("clean")).select("doc_id", "blob", later.alias("later"))
+    found = paths.join(hits, "blob", "left").join(hits.select(F.col("blob").alias("later"), F.col("found").alias("later_found")), "later", "left")
+    found = found.withColumn("found", F.coalesce("found", F.array().cast(SPAN)))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda *kinds: F.filter("found", lambda x: x["kind"].isin(*kinds))
-    return findings(first, ledger, sets).select(
+    return found.select(
         "doc_id",
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k, _ in RULES],
         F.sha2(listed(of(*[k for k, _ in RULES])).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
+        F.when(F.col("later").isNotNull(), F.coalesce(listed(F.col("later_found")), F.lit(""))).alias("later_spans"),
     )
 
 
-def _duck_spans(kind: str, rx: str) -> str:
+def _duck_spans(kind: str, rx: str, table: str) -> str:
     keep = f"length(regexp_extract(hit, '{rx}', 2)) >= {ASSIGN_MIN}" if kind == "assign" else "true"
     return f"""SELECT doc_id, {RANK[kind]} AS rank, '{kind}' AS kind, stop - length(hit) AS start, stop FROM (
       SELECT doc_id, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
         SELECT doc_id, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(range(len(hits))) AS i FROM (
-          SELECT doc_id, regexp_split_to_array(text, '{rx}') AS gaps, regexp_extract_all(text, '{rx}') AS hits FROM d)))
+          SELECT doc_id, regexp_split_to_array(text, '{rx}') AS gaps, regexp_extract_all(text, '{rx}') AS hits FROM {table})))
     WHERE {keep}"""
 
 
 _RE2 = {"assign": ASSIGN_RE2, "access": ACCESS, "hex": HEX, "pem": PEM, "login": LOGIN}
 _BASE = "(" + ", ".join(f"'{k}'" for k, _ in RULES) + ")"
+_ALL = lambda table: " UNION ALL ".join(_duck_spans(k, rx, table) for k, rx in _RE2.items())
+_LIST = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
 OP9_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS ({' UNION ALL '.join(_duck_spans(k, rx) for k, rx in _RE2.items())}),
+e AS (SELECT doc_id, regexp_replace(text, '{ASSIGN_RE2}', '[redacted]', 'g') AS text FROM d WHERE regexp_matches(text, '{ASSIGN_RE2}')),
+s AS ({_ALL('d')}),
 g AS (
   SELECT doc_id, sum((kind = 'assign')::INT)::BIGINT AS n_assign, sum((kind = 'access')::INT)::BIGINT AS n_access,
-    sum((kind = 'hex')::INT)::BIGINT AS n_hex,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE kind IN {_BASE}) AS base,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
-  FROM s GROUP BY doc_id)
+    sum((kind = 'hex')::INT)::BIGINT AS n_hex, {_LIST} FILTER (WHERE kind IN {_BASE}) AS base, {_LIST} AS spans
+  FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, {_LIST} AS later_spans FROM ({_ALL('e')}) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN g USING (doc_id)"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CASE WHEN e.doc_id IS NOT NULL THEN coalesce(later_spans, '') END AS later_spans
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id"""

@@ -69,3 +69,40 @@ def test_odd_rows(spark, odd_docs):
     v = secrets.versions(odd_docs)
     assert secrets.findings(v, secrets.scan_unseen(v)).count() == odd_docs.count()
     assert secrets.scan_unseen(secrets.versions(odd_docs.limit(0))).count() == 0
+
+
+def test_a_long_run_without_an_address_takes_linear_time(spark):
+    import time
+
+    def took(n):
+        df = secrets.versions(spark.createDataFrame([(1, "http://x " + "z" * n)], "doc_id long, text string"))
+        began = time.perf_counter()
+        assert secrets.scan_unseen(df, None, tuple(secrets.RULE_SETS)).select(F.sum(F.size("found"))).first()[0] == 0
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(1_000_000) < 10
+    long_scheme = secrets.versions(spark.createDataFrame([(1, "b" * 50 + "://me:pass@host")], "doc_id long, text string"))
+    assert secrets.scan_unseen(long_scheme, None, secrets.ADDED_VERSION).first().found[0].start == 19
+
+
+def test_the_query_shows_what_each_scan_of_the_history_does(spark, tmp_path, monkeypatch):
+    """Without the ledger's anti-join pairs are found twice; without the scan of later versions their spans are missing."""
+    texts = [*TEXTS, "at https://me:pass1@host/x password=abcdefgh12345 and " + "0123456789abcdef" * 2, "-----BEGIN RSA PRIVATE KEY-----"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[7])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op9_secrets(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) + 2
+    every = lambda t: sorted([*brute(t), *[(m.start(), 3, "pem", m.end()) for m in re.finditer(secrets.PEM, t or "")], *[(m.start(), 4, "login", m.end()) for m in re.finditer(secrets.LOGIN, t or "")]])
+    listed = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+    for r in got:
+        text = texts[7 if r.doc_id is None else r.doc_id]
+        clean = re.sub(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "[redacted]", text or "", flags=re.A)
+        assert r.spans == listed(every(text)) and r.later_spans == (listed(every(clean)) if clean != (text or "") else None)
+    assert sum(r.later_spans not in (None, "") for r in got) >= 3
+    plain = secrets.scan_unseen
+    monkeypatch.setattr(secrets, "scan_unseen", lambda v, ledger, sets: plain(v, None, sets))
+    assert sorted(map(str, secrets.op9_secrets(spark, str(tmp_path)).collect())) != sorted(map(str, got))
+    monkeypatch.undo()
+    real = secrets.scanned
+    monkeypatch.setattr(secrets, "scanned", lambda history: real(history[:2]))
+    assert sum(r.later_spans not in (None, "") for r in secrets.op9_secrets(spark, str(tmp_path)).collect()) < sum(r.later_spans not in (None, "") for r in got)
