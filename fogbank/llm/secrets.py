@@ -139,7 +139,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = versions(documents(spark, sf_dir))
     ledger = scanned([(first, (RULE_VERSION,)), (first, sets), (redacted(first), sets)])
     # A path's row holds the addresses of both of its versions, so that repeated ids don't meet each other's.
-    hits = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    # Written down, so that the joins stand on plain exchanges, which Spark splits where many paths have one blob.
+    hits = durable(ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found")))
     later = F.when(F.col("clean").isNotNull(), F.unhex(F.sha2(F.col("clean").cast("binary"), 256)))
     paths = first.select("doc_id", "blob", without_secrets("text").alias("clean")).select("doc_id", "blob", later.alias("later"))
     found = paths.join(hits, "blob", "left").join(hits.select(F.col("blob").alias("later"), F.col("found").alias("later_found")), "later", "left")
