@@ -6,12 +6,13 @@ each filter's maximum over the window goes through ReLU to a softmax layer. A do
 over its windows, weighted by their bytes, so the whole text counts.
 
 Training uses at most ``max_rows`` labelled rows, shared evenly among the languages so that rare ones are learned (of each
-the least by a hash of their id), and ``windows_per_row`` windows of each, spread evenly over its text: a documented
-bound, so the fit is the same work at any corpus size. The MAX_LANGS most frequent languages are learned. Prediction covers
-every document and makes Python objects of LOT_BYTES of text at a time.
+the least by a hash of their id; of rows that repeat an id one is taken), and ``windows_per_row`` windows of each, spread evenly
+over its text: a documented bound, so the fit is the same work at any corpus size. A language needs a row, so with more
+languages than ``max_rows`` the most frequent are learned. Prediction covers every document and makes Python objects of LOT_BYTES
+of text at a time.
 
-Null text or text without a letter is ``und`` with score 0; with no labelled row at all everything is ``und``;
-repeated rows are predicted alike; an empty table gives no rows.
+Null text or text without a letter is ``und`` with score 0, which is no language to learn, either; with no labelled row at all
+everything is ``und``; repeated rows are predicted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ FILTERS = 10
 EMBED = 8
 MAX_ROWS = 3000
 WINDOWS_PER_ROW = 3
-MAX_LANGS = 200
 LOT_BYTES = 4 << 20
 EPOCHS = 4
 BATCH = 64
@@ -162,8 +162,8 @@ def sample(rows: DataFrame, id_col: str, lang_col: str, most: int) -> list:
     """At most ``most`` ids of rows, the least by hash of each language: two passes over narrow columns."""
     h = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
     counted = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), h.alias("h"))
-    # MAX_LANGS rows come back at most, and then about as many ids as are wanted.
-    counts = {r.lang: r["count"] for r in counted.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    # ``most`` rows come back at most, and then about as many ids as are wanted.
+    counts = {r.lang: r["count"] for r in counted.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return []
     want = shares(counts, most)
@@ -188,12 +188,14 @@ def fit(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text",
                         out.append((lang, w[i].tobytes()))
             yield pd.DataFrame(out, columns=["lang", "w"])
 
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN) & F.col(text_col).isNotNull())
     # At most max_rows ids: the list is bounded by that parameter.
     chosen = sample(rows, id_col, lang_col, max_rows)
     if not chosen:
         return None
-    labelled = rows.where(F.col(id_col).isin(chosen)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"))
+    # One row of each id: an id that is repeated often brings no more than its share.
+    one = rows.where(F.col(id_col).isin(chosen)).groupBy(F.col(id_col).alias("i")).agg(F.min(F.struct(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"))).alias("r"))
+    labelled = one.select("r.lang", "r.t")
     got = labelled.mapInPandas(pick, "lang string, w binary").collect()
     if not got:
         return None
@@ -245,14 +247,17 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
 
 def language(docs: DataFrame, net: Network | None, text_col: str = "text") -> Column:
-    """The predicted language as a column: filters documents without moving them."""
+    """The predicted language as a column: labels and filters documents without moving them.
+
+    Marked as not deterministic, so that a filter on it doesn't classify a second time.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("string")
     def lang(texts: pd.Series) -> pd.Series:
         return pd.Series(classify(shared.value, texts.tolist())[0])
 
-    return lang(F.col(text_col).cast("binary"))
+    return lang.asNondeterministic()(F.col(text_col).cast("binary"))
 
 
 def lettered(docs: DataFrame, text_col: str = "text") -> Column:

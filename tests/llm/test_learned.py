@@ -76,6 +76,16 @@ def test_rare_languages_are_sampled(spark):
     a = langid.sample(df, "doc_id", "lang", 100)
     assert a == langid.sample(df.repartition(7), "doc_id", "lang", 100) and len(a) == 100 and sum(i < 30 for i in a) == 30
     assert langid.sample(df.limit(0), "doc_id", "lang", 100) == []
+    many = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 450).cast("string")).alias("lang"))
+    assert len(langid.sample(many, "doc_id", "lang", 450)) == 450  # one of each of 450 languages
+
+
+def test_an_id_that_is_repeated_brings_no_more_than_its_share(spark, prose, monkeypatch):
+    rows = [(1, prose(1, 30), "en")] * 400 + [(2, prose(2, 30, "de"), "de"), (3, "und", "und"), (4, prose(3, 30, "de"), "de")]
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, labels, langs: seen.append((len(windows), langs)))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert seen == [(3, ["de", "en"])] or (seen[0][1] == ["de", "en"] and seen[0][0] <= 9)
 
 
 def test_clashing_columns_do_not_reach_the_results(spark, odd_docs):

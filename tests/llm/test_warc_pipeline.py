@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,24 @@ def test_language_stage_without_labels_keeps_lettered_texts(spark):
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {1, 4}
 
 
+def test_the_network_labels_what_the_later_stages_mix(spark, prose, monkeypatch):
+    """Wrong and missing labels are mended, and a network that has learned nothing changes labels and the mixed documents."""
+    from fogbank.llm import langid
+
+    langs = (["en"] * 8 + ["de", "fr"]) * 24
+    wrong = lambda i: zlib.crc32(str(i).encode()) % 4 == 2 and i % 2  # noqa: E731  # of those that aren't learned from
+    rows = [(i, prose(i, 60, lang), "fr" if wrong(i) else None if i % 20 == 0 else lang, f"src{i % 3}", 0) for i, lang in enumerate(langs)] + [(900, "12 34", "en", "src0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, told int")
+    good = corpus_pipeline.identify_language(spark, docs, "")
+    assert good.columns == docs.columns and {r.doc_id: r.lang for r in good.collect()} == dict(enumerate(langs))
+    mixed = {r.doc_id for r in corpus_pipeline.mix(spark, good, "").collect()}
+    real = langid.train
+    monkeypatch.setattr(langid, "train", lambda w, y, names: real(w[:1], y[:1] * 0, names, epochs=1))
+    poor = corpus_pipeline.identify_language(spark, docs, "")
+    assert {r.doc_id: r.lang for r in poor.collect()} != dict(enumerate(langs))
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, poor, "").collect()} != mixed
+
+
 def test_near_dedup_keeps_one_row_of_repeated_and_null_ids(spark, prose):
     a, b, c, d = (prose(i, 80) for i in range(20, 24))
     rows = [(1, a), (1, a), (2, a + " x"), (None, a), (None, b), (None, b), (5, c), (5, d), (7, d), (3, d + " y"), (None, None), (9, prose(30, 80))]
