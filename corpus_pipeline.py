@@ -14,11 +14,18 @@ from fogbank.llm.common import durable, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents whose language can't be told (null text, no letter) go."""
+    """Operator 3: documents whose language can't be told (null text, no letter) go; lang becomes the language that was told.
+
+    So the later stages, whose cells are by language, stand on the network and not on labels.
+    """
     net = langid.fit(docs, ~langid.fold_held_out())
-    if net is None:  # no labelled text to learn from: letters alone decide, as they do for the network
+    if net is None:  # no labelled text to learn from: letters alone decide, and labels stay
         return docs.where(langid.lettered(docs))
-    return docs.where(langid.language(docs, net) != langid.UNKNOWN)
+    name = "told"
+    while name in docs.columns:
+        name += "_"
+    told = docs.withColumn(name, langid.language(docs, net)).where(F.col(name) != langid.UNKNOWN)
+    return told.select(*[F.col(name).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
