@@ -90,15 +90,13 @@ def scan_unseen(versioned: DataFrame, ledger: DataFrame | None = None, rules: st
     """
     wanted = (rules,) if isinstance(rules, str) else tuple(rules)
     todo = F.array(*[F.lit(r) for r in wanted])
-    blobs = versioned.select("blob", "text")
-    if ledger is not None:  # a blob has a row per rule set, so its list is short
+    # Map-side combine: each task sends one copy of a blob, however often the blob occurs, and the ledger meets it after that.
+    once = versioned.groupBy("blob").agg(F.first("text").alias("text"))
+    if ledger is None:
+        once = once.withColumn("todo", todo)
+    else:  # a blob has a row per rule set, so its list is short
         seen = ledger.where(F.col("rules").isin(*wanted)).groupBy("blob").agg(F.collect_set("rules").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>"))))
-        blobs = blobs.where(F.size("todo") > 0)
-    else:
-        blobs = blobs.withColumn("todo", todo)
-    # Map-side combine: each task sends one copy of a blob, however often the blob occurs.
-    once = blobs.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+        once = once.join(seen, "blob", "left").withColumn("todo", F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
     found = " ".join(f"WHEN '{r}' THEN array_sort(concat({', '.join(_spans(k, p) for k, p in RULE_SETS.get(r, RULES))}))" for r in wanted)
     return once.select("blob", "text", F.explode("todo").alias("rules")).select("blob", "rules", F.expr(f"CASE rules {found} END").alias("found"))
 
