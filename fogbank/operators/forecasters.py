@@ -6,6 +6,7 @@ stay missing, and the station is a category.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
@@ -24,6 +25,8 @@ from fogbank.schemas import CYCLIC_FIELDS, LAG_FIELDS, NWP_FIELDS, REGIME_FIELDS
 from fogbank.session import durable, release, shared_dir
 
 SIGMA_FLOOR = 0.1
+#: What a group's inputs are called, where that is more than a prefix: nb1_..., nbw_..., but not the blend's nbm_... columns.
+PATTERNS = {"nb": r"nb(\d+|w)_"}
 GATE_AXIS = 270.0
 REGIME_DERIVED = ("inv925", "inv850", "wind925", "onshore925")
 
@@ -105,7 +108,7 @@ class Boosted:
         if self.lagged:
             cols += [f for f in LAG_FIELDS if f.endswith(f"_{self.target}")]
         for group in self.extra:
-            found = sorted(c for c in df.columns if c.startswith(group))
+            found = sorted(c for c in df.columns if re.match(PATTERNS.get(group, group), c))
             if not found:
                 raise ValueError(f"{self.name} needs the {group}* features joined onto the training rows")
             cols += found
@@ -158,7 +161,7 @@ BOOSTED = {
     "gbm_terrain": dict(extra=("st_",)),
     "gbm_nwp": dict(own=False),
     "gbm_nwp_terrain": dict(own=False, extra=("st_",)),
-    "gbm_nwp_neighbours": dict(own=False, extra=("nb",)),
+    "gbm_nwp_neighbours": dict(own=False, extra=("st_", "nb")),
     "gbm_terrain_neighbours": dict(extra=("st_", "nb")),
     "gbm_terrain_regime": dict(extra=("st_",), regime=True),
     "gbm_nwp_terrain_regime": dict(own=False, extra=("st_",), regime=True),

@@ -104,11 +104,11 @@ def refresh(lake: Lake, table: str, make: Callable[..., DataFrame], by_point: bo
     return spans
 
 
-def refresh_gold(lake: Lake, sensors: dict[str, float] | None = None) -> dict[str, list[tuple[date, date]] | None]:
-    """All three gold tables that are made of silver; the runs of days that were made again, by table."""
+def refresh_gold(lake: Lake, sensors: dict[str, float] | None = None, tables: Iterable[str] = tuple(SOURCES)) -> dict[str, list[tuple[date, date]] | None]:
+    """Gold tables that are made of silver, all three if not told which; the runs of days that were made again, by table."""
     makers = {
         "gold.training_examples": (lambda nwp, obs: gold.training_examples(nwp.where("model = 'hrrr'"), obs), True),
         "gold.network_features": (lambda obs: features.network_features(obs.where("source = 'purpleair'"), sensors or {}), False),
         "gold.upwind_features": (features.upwind_features, False),
     }
-    return {table: refresh(lake, table, *how) for table, how in makers.items()}
+    return {table: refresh(lake, table, *makers[table]) for table in tables}

@@ -164,6 +164,10 @@ def test_boosted_needs_its_inputs_and_learns(spark):
         forecasters.make("gbm_terrain", "t2m").columns(g)
     with pytest.raises(ValueError, match="unknown model"):
         forecasters.make("nothing", "t2m")
+    both = g.withColumns({"st_elev_m": F.lit(1.0), "nb1_t2m": F.lit(1.0), "nbw_t2m": F.lit(2.0), "nbm_t2m": F.lit(3.0)})
+    with pytest.raises(ValueError, match="nb"):
+        forecasters.make("gbm_terrain_neighbours", "t2m").columns(both.drop("nb1_t2m", "nbw_t2m"))
+    assert {c for c in forecasters.make("gbm_nwp_neighbours", "t2m").columns(both) if c[:2] in ("nb", "st")} == {"st_elev_m", "nb1_t2m", "nbw_t2m"}
     m = forecasters.make("gbm_nwp", "t2m", rounds=5).fit(g)
     out = m.predict(g).agg(F.avg(F.abs(F.col("mu") - F.col("obs_t2m"))).alias("e"), F.min("sigma").alias("s")).first()
     assert out.e < 1.0 and out.s >= 0.1
