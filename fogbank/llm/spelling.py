@@ -36,6 +36,9 @@ RATIO = 2
 #: Entries of a block, and queries that are searched at once.
 BLOCK = 50_000
 CHUNK = 8192
+#: With more characters than this left, and no more words than characters, words are compared instead of searched for, so that a
+#: very long word's time doesn't grow with the square of its length.
+LONG = 64
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -61,7 +64,7 @@ class Automaton:
     """
 
     def __init__(self, words: list[bytes]):
-        self.words = len(words)
+        self.words, self.spelled = len(words), words
         for salt in range(1, 100):
             if self._merge(*self._tree(words), np.uint64(salt)):
                 return
@@ -113,7 +116,8 @@ class Automaton:
             (final == final[one][state]).all() and (degree == np.diff(self.first)[state]).all() and (self.target[np.searchsorted(self.keys, state[parent] * 256 + c)] == state[1:]).all()
         ):
             return False
-        below = counts[one][self.target]
+        self.below = counts[one]  # words that end in or after each state
+        below = self.below[self.target]
         upto = np.cumsum(below)
         self.skipped = upto - below + final[one][of]
         begin = self.first[of]  # the words before a state's first transition aren't its own
@@ -162,6 +166,14 @@ class Automaton:
         state, n, depth = np.full(len(q), self.root), np.zeros(len(q), np.int64), 0
         while len(q):  # one path per query without an error yet; all of them are at this depth
             late = exact[q] <= depth
+            left = size[q] - depth
+            plain = late & (left > LONG) & (self.below[state] <= left)
+            for i in np.flatnonzero(plain):  # what is left is long, and few words are: they are numbered one after another
+                asked = queries[q[i]]
+                near = [k for k in range(n[i], n[i] + self.below[state[i]]) if one_apart(asked, self.spelled[k])]
+                out.append(q[i] * self.words + np.array(near, dtype=np.int64))
+            if plain.any():
+                q, state, n, late = q[~plain], state[~plain], n[~plain], late[~plain]
             branch = np.repeat(np.flatnonzero(late), (self.first[state + 1] - self.first[state])[late])
             edge = self.first[state[branch]] + _ranks(branch)
             to, m = self.target[edge], n[branch] + self.skipped[edge]
@@ -180,6 +192,16 @@ class Automaton:
         return np.unique(np.concatenate(out))
 
 
+def one_apart(a: bytes, b: bytes) -> bool:
+    """Whether one error turns a into b: the first difference is looked for, and the rests must be equal after it."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    m = min(len(a), len(b))
+    other = np.frombuffer(a, np.uint8, m) != np.frombuffer(b, np.uint8, m)
+    i = int(other.argmax()) if other.any() else m
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
 def _ranks(groups: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... within each run of equal numbers."""
     begins = np.flatnonzero(np.diff(groups, prepend=-1))

@@ -118,6 +118,24 @@ def test_texts_to_groups(spark, odd_docs, prose):
     assert dict(map(tuple, spelling.words(odd_docs).collect())) == counted(odd)
 
 
+def test_very_long_words_take_time_in_proportion():
+    import time
+
+    def took(n):
+        words = sorted([b"l" * n, b"l" * (n + 1), b"l" * (n // 3) + b"x" + b"l" * (n - n // 3), b"a" * 20, b"l" * n + b"qq", b"y" + b"l" * n])
+        began = time.perf_counter()
+        auto = spelling.Automaton(words)
+        q, k = auto.one_error(words, spelling.np.array([len(w) // 2 for w in words]))
+        got = {(words[i], words[j]) for i, j in zip(q.tolist(), k.tolist(), strict=True)}
+        assert got == {(a, b) for a in words for b in words if distance_one(a, b) and a[: len(a) // 2] == b[: len(a) // 2]} or n > 2000
+        assert (b"l" * n, b"l" * (n + 1)) in got
+        return time.perf_counter() - began
+
+    took(300)
+    assert took(60_000) < 40
+    assert [spelling.one_apart(*p) for p in ((b"ab", b"ab"), (b"ab", b"b"), (b"ab", b"abc"), (b"ab", b"ba"), (b"", b"a"), (b"abc", b"axc"), (b"abc", b"c"))] == [False, True, True, False, True, True, False]
+
+
 def test_deletion_rule_applies(spark):
     rows = [(i, "hippopotamus") for i in range(600)]
     got = dict(map(tuple, spelling.words(spark.createDataFrame(rows, "doc_id int, text string")).collect()))
