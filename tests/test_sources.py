@@ -109,7 +109,7 @@ def test_nearest_cells_widen_their_boxes_until_they_are_sure(spark):
     points = [(f"P{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-50, 50, 25), rng.uniform(-120, 120, 25), strict=True))]
     point_schema, cell_schema = "point_id string, lat double, lon double", "row int, col int, cell_lat double, cell_lon double"
     got: dict = {}
-    for r in grids.nearest_cells(spark.createDataFrame(points, point_schema), spark.createDataFrame(cells, cell_schema)).collect():
+    for r in grids.nearest_cells(spark.createDataFrame(points, point_schema), spark.createDataFrame(cells, cell_schema), degrees=6.0).collect():
         got.setdefault(r.point_id, {})[r.k] = r.row
 
     def apart(a, o, b, p):
@@ -119,8 +119,8 @@ def test_nearest_cells_widen_their_boxes_until_they_are_sure(spark):
     for name, a, o in points:
         want = sorted(cells, key=lambda c: apart(a, o, c[2], c[3]))[:4]
         assert [got[name][k] for k in range(4)] == [c[0] for c in want]
-    few = grids.nearest_cells(spark.createDataFrame(points[:2], point_schema), spark.createDataFrame(cells[:3], cell_schema))
-    assert few.count() == 6 and grids.nearest_cells(spark.createDataFrame(points[:2], point_schema), spark.createDataFrame([], cell_schema)).count() == 0
+    few = grids.nearest_cells(spark.createDataFrame(points[:2], point_schema), spark.createDataFrame(cells[:3], cell_schema), degrees=50.0)
+    assert few.count() == 6 and grids.nearest_cells(spark.createDataFrame(points[:2], point_schema), spark.createDataFrame([], cell_schema), degrees=50.0).count() == 0
 
 
 def test_settings(tmp_path):
