@@ -214,3 +214,10 @@ def test_fits_at_once_give_the_same_scores_and_overlap(spark, monkeypatch):
     digits = [[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes] for m in made]
     one, four = (m.select(*d) for m, d in zip(made, digits, strict=True))
     assert one.count() == four.count() > 100 and one.exceptAll(four).isEmpty()
+
+
+def test_month_excluded_rms_windows_over_months_only(spark, at):
+    df = spark.createDataFrame([("t2m", at(1), 60, 13.0, 10.0), (None, at(1), 60, 12.0, 10.0)], "variable string, init_time timestamp, lead_min int, mu double, obs double")
+    got = scoring.month_excluded_rms(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Window [", 1)[1] and sorted(r.rms_other for r in got.collect()) == [2.0, 3.0]
