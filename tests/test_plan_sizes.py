@@ -103,3 +103,36 @@ def test_blend_makes_no_bias(spark, many):
     assert "stretch" in plan(every) and "stretch" not in plan(registry.queries()["blend_scores"](spark, many))
     whole = every.where("model_name = 'raw_hrrr'")
     assert raw.count() == whole.count() > 1000 and raw.exceptAll(whole).isEmpty()
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bias_asks_once_a_row_and_groups_nothing(spark, many):
+    """Rows go into the window once, errors twice more, and what comes out needs no second grouping."""
+    base = registry._base(spark, many)
+    plan = optimized(gold.rolling_bias(base, views.LATE))
+    assert plan.count("Aggregate") == optimized(base.select(*gold.KEY, "obs_t2m")).count("Aggregate")
+    assert "explode(sequence" not in plan.split("Window")[0]
+
+
+def test_bias_of_pruned_columns_carries_no_others(spark, many):
+    plan = optimized(gold.with_rolling_bias(registry._base(spark, many), views.LATE).select(*gold.KEY, "bias14_t2m"))
+    assert "hour_sin" not in plan and "nwp_v925" not in plan
+
+
+def test_scores_make_the_bias_of_rows_with_a_truth(spark, many):
+    assert "LeftOuter" not in optimized(registry._scores(spark, many))
+
+
+def test_neighbours_are_multiplied_after_the_shuffle(spark, many):
+    plan = optimized(registry.queries()["neighbour_features"](spark, many))
+    assert 0 <= plan.find("inline(near") < plan.find("RepartitionByExpression [init_time")
+
+
+def test_sigma_by_lead_makes_its_table_once(spark):
+    rows = spark.createDataFrame([(60, 2.0, 1.0), (60, 5.0, 1.0), (120, 4.0, 3.0), (180, 1.0, None)], "lead_min int, nwp_t2m double, obs_t2m double")
+    out = forecasters.make("raw_hrrr", "t2m").fit(rows).predict(rows)
+    assert optimized(out).count("Aggregate [lead_min") == 1
+    assert {r.lead_min: round(r.sigma, 6) for r in out.collect()} == {60: 2.915476, 120: 1.0, 180: 1.957738}

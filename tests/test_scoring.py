@@ -216,6 +216,28 @@ def test_fits_at_once_give_the_same_scores_and_overlap(spark, monkeypatch):
     assert one.count() == four.count() > 100 and one.exceptAll(four).isEmpty()
 
 
+def test_bootstrap_explodes_no_draws_and_keeps_nulls_and_infinities_apart(spark):
+    rows = [("t2m", "x", "1-3 h", p, str(d), m, 2.0 + d) for p, ms in (("null", [None, 4.0, 2.5]), ("inf", [float("inf"), 4.0, 2.5]), ("one", [None, None, 1.0])) for d, m in enumerate(ms)]
+    frame = scoring.bootstrap(spark.createDataFrame(rows, BLOCKS), 150)
+    assert "explode" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.point: r for r in frame.collect()}
+    for p, ms in (("null", [None, 4.0, 2.5]), ("inf", [float("inf"), 4.0, 2.5]), ("one", [None, None, 1.0])):
+        draws = []
+        for r in range(1, 151):
+            days = []
+            for j in range(3):
+                x = (r * 1664525 + j * 1013904223 + 12345) % 2147483647
+                for _ in range(4):
+                    x = (x * x + 12345) % 2147483647
+                days.append(x % 3)
+            known = [ms[i] for i in days if ms[i] is not None]
+            if known:
+                draws.append(1 - sum(known) / sum(2.0 + i for i in days))
+        draws.sort()
+        at = 0.975 * (len(draws) - 1)
+        assert got[p].skill_hi == pytest.approx(draws[int(at)] * (1 - at % 1) + draws[int(at) + 1] * (at % 1))
+
+
 def test_month_excluded_rms_windows_over_months_only(spark, at):
     df = spark.createDataFrame([("t2m", at(1), 60, 13.0, 10.0), (None, at(1), 60, 12.0, 10.0)], "variable string, init_time timestamp, lead_min int, mu double, obs double")
     got = scoring.month_excluded_rms(df)
