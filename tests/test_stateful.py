@@ -113,3 +113,24 @@ def test_two_streams_into_one_lake_lose_nothing(spark, tmp_path, at):
     again = live.rebuild_touched(lake, f"file://{tmp_path}/ck-one")
     again(spark.createDataFrame([("madis", "S1", at(1, 1), "t2m", 1.0, None, at(2))], schema), 0)
     assert lake.read("bronze.obs").count() == 3
+
+
+def test_stream_query_takes_a_slice_as_one_batch_however_many_its_files_are(spark, monkeypatch):
+    """As on a cluster, where a slice is several files: no row of it may be late for the rest."""
+    from fogbank.plans import registry, streams
+
+    runs, run = [], live.run_available
+
+    def counted(*args):
+        run(*args)
+        runs.append(spark.read.text(f"{args[3]}/offsets").select(F.input_file_name()).distinct().count())
+
+    monkeypatch.setattr(streams.live, "run_available", counted)
+    monkeypatch.setattr(streams, "ROWS", 5_000)
+    d = "/root/testdata/sf0.001"
+    base = registry._base(spark, d).select("point_id", "init_time", "lead_min", "valid_time", "obs_t2m", "obs_gust").cache()
+    got = registry.queries()["stream_truth"](spark, d)
+    want = registry.rounded(base)
+    assert base.count() > 4 * 5_000 and got.count() == base.count() and got.exceptAll(want).isEmpty()
+    assert len(runs) == -(-base.count() // 5_000) + 1 and runs[-1] <= 2 * len(runs)
+    base.unpersist()
