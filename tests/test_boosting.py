@@ -137,3 +137,12 @@ def test_a_step_brings_only_sums_to_the_driver(spark, monkeypatch):
     _, df = table(spark, 3000)
     boosting.fit(df, ["a", "b"], "y", F.lit(False), ["id"], "c", boosting.Settings(rounds=1, bins=8, leaves=4, task_rows=1))
     assert got and max(got) <= 4 * (2 * 8 + 7)
+
+
+def test_rows_are_packed_in_large_blocks(spark):
+    """Not in a block for each Arrow batch: every step's counting costs the same for a small block as for a large one."""
+    rows = spark.range(0, 25_000, 1, 1).selectExpr("double(id % 7) AS target", "false AS held", "id AS key", "double(id % 50) AS a")
+    scratch = []
+    blocks = boosting._blocks(rows, ["a"], [np.arange(10.0)], None, scratch)
+    assert blocks.count() == 1
+    boosting.release(scratch)
