@@ -243,3 +243,16 @@ def test_month_excluded_rms_windows_over_months_only(spark, at):
     got = scoring.month_excluded_rms(df)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Window [", 1)[1] and sorted(r.rms_other for r in got.collect()) == [2.0, 3.0]
+
+
+def test_a_forecast_equal_to_its_truth_but_for_rounding_is_in_the_bin_from_one_half(spark):
+    # errors of three forecasts before, whose mean is the next forecast's error: 27.81 - 12.3 = (15.4 + 15.52 + 15.61) / 3
+    mean = math.fsum(obs - nwp for obs, nwp in ((25.5, 10.1), (27.12, 11.6), (23.91, 8.3))) / 3
+    up, down = (math.nextafter(39.87, math.inf * s) for s in (1, -1))
+    same = [(27.81, 12.3 + mean, 20.0), (39.87, up, 24.0), (39.87, down, 24.0), (39.87, 39.87, 24.0), (0.0, 1e-15, 20.0), (50.0, math.nextafter(50.0, 99), 0.05)]
+    other = [(1.0, 1.0 + 1e-9, 20.0), (1.0 + 1e-9, 1.0, 20.0), (math.inf, 1.0, 20.0), (-math.inf, 1.0, 20.0)]
+    bins = []
+    for rows in (same, other):
+        frame = spark.createDataFrame([("t2m", "x", *r) for r in rows], "variable string, model_name string, obs double, mu double, sigma double")
+        bins.append({r.bin: r.n for r in scoring.pit_histogram(frame).collect()})
+    assert bins == [{5: len(same)}, {0: 1, 4: 1, 5: 1, 9: 1}]
