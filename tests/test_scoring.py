@@ -256,3 +256,25 @@ def test_a_forecast_equal_to_its_truth_but_for_rounding_is_in_the_bin_from_one_h
         frame = spark.createDataFrame([("t2m", "x", *r) for r in rows], "variable string, model_name string, obs double, mu double, sigma double")
         bins.append({r.bin: r.n for r in scoring.pit_histogram(frame).collect()})
     assert bins == [{5: len(same)}, {0: 1, 4: 1, 5: 1, 9: 1}]
+
+
+def test_pit_histogram_query_puts_forecasts_of_one_earlier_error_where_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from fogbank.plans import registry
+
+    # A report an hour after each of two cycles; the second's error is the first's in decimals, and by its last bits in bin 4 or 5.
+    bins = []
+    for k, (first, second) in enumerate(((15.07, 15.87), (30.33, 31.13))):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        con = duckdb.connect()
+        con.execute("CREATE TABLE events AS SELECT i AS event_id, make_timestamp((473400 + h) * 3600000000) AS ts, 0::BIGINT AS user_id, kind AS event_type, v::DOUBLE AS value FROM (VALUES "
+            f"(1, -1, 'signup', 50), (2, 0, 'click', {first}), (3, 23, 'signup', 50), (4, 24, 'click', {second})) t(i, h, kind, v)")
+        con.execute(f"COPY events TO '{folder}/events.parquet'")
+        cols = ("variable", "model_name", "bin", "n")
+        want = sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()['pit_histogram']})").fetchall())
+        got = sorted(tuple(r[c] for c in cols) for r in registry.queries()["pit_histogram"](spark, str(folder)).collect())
+        assert got == want
+        bins.append({r[2] for r in got if r[1] == "bias_rolling"})
+    assert 4 in bins[0] and 4 not in bins[1] and 5 in bins[1]
