@@ -146,3 +146,22 @@ def test_rows_are_packed_in_large_blocks(spark):
     blocks = boosting._blocks(rows, ["a"], [np.arange(10.0)], None, scratch)
     assert blocks.count() == 1
     boosting.release(scratch)
+
+
+def test_a_table_of_one_task_makes_the_trees_of_single_steps_in_a_few_jobs(spark, monkeypatch):
+    """Jobs of three rounds instead of one or more a round; categories without rows to train on; nodes of all tasks and of one."""
+    monkeypatch.setattr(boosting, "ROUNDS", 3)
+    rng = np.random.default_rng(5)
+    off = rng.normal(0, 2, 150)
+    rows = [(i, None if i % 11 == 0 else float(rng.normal()), None if i % 17 == 0 else int(c), float(off[c] + rng.normal())) for i, c in enumerate(rng.integers(0, 150, 4000))]
+    df = spark.createDataFrame(rows, "id long, a double, c int, y double").repartition(3)
+    made, jobs = [], []
+    for one_task in (0, 16):
+        settings = boosting.Settings(rounds=7, rate=0.5, leaves=9, bins=16, least_rows=10, category_rows=5, task_rows=1500, one_task=one_task)
+        spark.sparkContext.setJobGroup(f"one-{one_task}", "")
+        made.append(boosting.fit(df, ["a"], "y", (F.col("id") % 5 == 0) | (F.col("c") == 3), ["id"], "c", settings))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"one-{one_task}")))
+    spark.sparkContext.setJobGroup("", "")
+    text = [[sorted((s.feature, s.bar, s.missing_low, s.sums, None if s.chosen is None else s.chosen.tolist()) for s in t.splits) for t in m.trees] for m in made]
+    assert text[0] == text[1] and len(text[0]) > 3 and len(made[0].losses) == 8 and made[0].losses == made[1].losses
+    assert jobs[1] < jobs[0] - 7
