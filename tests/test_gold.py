@@ -86,3 +86,11 @@ def test_lag_ensemble(spark, at):
     r = gold.lag_ensemble(base, nwp).where("lead_min = 60").orderBy("init_time").collect()[3]
     assert (r.lag_n_t2m, r.lag_mean_t2m, r.lag_d1_t2m, r.lag_sd_gust) == (4, 11.5, 1.0, 0.0)
     assert base.agg({"lead_min": "max"}).first()[0] == 360
+
+
+def test_training_examples_deal_their_wide_rows_once(spark):
+    """The ensemble comes from windows over the forecasts as they are dealt for the truth: no pairs of cycles, no join of all rows by key."""
+    from fogbank.plans import registry
+
+    plan = registry.queries()["training_examples"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3 and "Join Inner" not in plan and plan.count("rightHint=(strategy=merge)") == 0
